@@ -10,6 +10,7 @@ import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _shipped: set[str] = set()
 
@@ -36,6 +37,11 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def broadcast_if_small(df: DataFrame, max_rows: int = 1_000_000) -> DataFrame:
+    """``df``, marked for broadcast only if its rows, counted here, are few; meant for written tables of a few numbers a row."""
+    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+
+
 def ship_package(spark: SparkSession) -> None:
     """Send this package's modules to the executors, as ``--py-files`` would; once for each application."""
     app = spark.sparkContext.applicationId
