@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plinth.llm import sentencepiece_codec, token_counts
+from plinth.llm import decontaminate, quality, sentencepiece_codec, simhash, token_counts, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +22,28 @@ def op1_token_counts(spark, sf_dir):
     return token_counts.token_counts(_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"))
 
 
+def op2_quality(spark, sf_dir):
+    return quality.quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op3_warc(spark, sf_dir):
+    out = warc.round_trip(_table(spark, sf_dir, "pages"))
+    return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op5_simhash(spark, sf_dir):
+    out = simhash.near_duplicates(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def op7_toxicity(spark, sf_dir):
+    return toxicity.toxicity_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op8_decontaminate(spark, sf_dir):
+    return decontaminate.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op10_sentencepiece(spark, sf_dir):
     out = sentencepiece_codec.sentencepiece_codec(_table(spark, sf_dir, "documents"), _tokenizer("piece_bpe_32k.model"))
     return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
@@ -29,7 +51,22 @@ def op10_sentencepiece(spark, sf_dir):
 
 QUERIES = {
     "op1_token_counts": op1_token_counts,
+    "op2_quality": op2_quality,
+    "op3_warc": op3_warc,
+    "op5_simhash": op5_simhash,
+    "op7_toxicity": op7_toxicity,
+    "op8_decontaminate": op8_decontaminate,
     "op10_sentencepiece": op10_sentencepiece,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op3_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages),
+        d AS (SELECT *, list_transform(range(0, 40), i -> strpos('0123456789abcdef', substr(h, CAST(i AS INT) + 1, 1)) - 1) AS nibbles, min(page_id) OVER (PARTITION BY h) AS least FROM p)
+        SELECT page_id, CAST(octet_length(encode(html)) AS BIGINT) AS payload_bytes,
+               array_to_string(list_transform(range(0, 32), k -> substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                   CAST(((nibbles[CAST((5 * k) // 4 AS INT) + 1] * 16 + nibbles[CAST((5 * k) // 4 AS INT) + 2]) // CAST(pow(2, 3 - (5 * k) % 4) AS BIGINT)) % 32 AS INT) + 1, 1)), '') AS payload_digest,
+               CASE WHEN page_id = least THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN page_id = least THEN NULL ELSE least END AS refers_to
+        FROM d""",
+}
