@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plinth.llm import decontaminate, quality, sentencepiece_codec, simhash, token_counts, toxicity, warc
+from plinth.llm import decontaminate, html_text, pii, quality, sentencepiece_codec, simhash, token_counts, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +31,11 @@ def op3_warc(spark, sf_dir):
     return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op4_html_text(spark, sf_dir):
+    pages = _table(spark, sf_dir, "pages")
+    return html_text.extract(pages, html_text.fit(pages))
+
+
 def op5_simhash(spark, sf_dir):
     out = simhash.near_duplicates(_table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -44,6 +49,14 @@ def op8_decontaminate(spark, sf_dir):
     return decontaminate.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op9_pii(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents")
+    found = pii.detect(docs, pii.fit(docs))
+    base = F.filter("spans", lambda s: s["base"])
+    counts = [F.size(F.filter(base, lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in pii.KINDS]
+    return found.select("doc_id", *counts, F.sha2(pii.joined(base), 256).alias("base_sha256"), pii.joined(F.col("spans")).alias("spans"))
+
+
 def op10_sentencepiece(spark, sf_dir):
     out = sentencepiece_codec.sentencepiece_codec(_table(spark, sf_dir, "documents"), _tokenizer("piece_bpe_32k.model"))
     return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
@@ -53,9 +66,11 @@ QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_quality": op2_quality,
     "op3_warc": op3_warc,
+    "op4_html_text": op4_html_text,
     "op5_simhash": op5_simhash,
     "op7_toxicity": op7_toxicity,
     "op8_decontaminate": op8_decontaminate,
+    "op9_pii": op9_pii,
     "op10_sentencepiece": op10_sentencepiece,
 }
 
