@@ -45,9 +45,10 @@ def load_tokenizer(path: str):
 def _words(enc, at: int) -> tuple[list[int], list[int]]:
     """Text positions at which words begin, and the index of each one's first token."""
     places, firsts, last = [], [], None
+    offsets = enc.offsets
     for k, w in enumerate(enc.word_ids):
         if w != last:
-            places.append(at + enc.offsets[k][0])
+            places.append(at + offsets[k][0])
             firsts.append(k)
             last = w
     return places, firsts
