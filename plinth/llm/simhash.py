@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from plinth.llm.components import connected_components
 from plinth.llm.golay import LENGTH, near_indices
-from plinth.session import checkpointed
+from plinth.session import broadcast_if_small, checkpointed
 
 #: (shift, bits) of the segments of a fingerprint.
 SEGMENTS = ((42, 22), (21, 21), (0, 21))
@@ -129,3 +129,15 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     least = checkpointed(named.groupBy("root").agg(F.min("first").alias("component_id")))
     groups = checkpointed(named.join(least, "root").select("fp", "component_id"))
     return docs.join(groups, "fp").select(id_col, "fp", "component_id")
+
+
+def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, seed: int = 42) -> DataFrame:
+    """The rows of ``df`` whose id is the least of its near-duplicate group, with their columns; of rows that repeat such an id one stays."""
+    ids = checkpointed(near_duplicates(df, id_col, text_col, words, seed).select(F.col(id_col).alias("id"), "component_id"))
+    gone = checkpointed(ids.where(~F.col("id").eqNullSafe(F.col("component_id"))).select("id").distinct())
+    kept = df.join(broadcast_if_small(gone), F.col(id_col).eqNullSafe(F.col("id")), "left_anti")
+    again = checkpointed(ids.groupBy("id").count().where("count > 1").select("id").join(gone, "id", "left_anti"))
+    if again.isEmpty():
+        return kept
+    repeated = F.col(id_col).eqNullSafe(F.col("id"))
+    return kept.join(again, repeated, "left_anti").unionByName(kept.join(again, repeated, "left_semi").dropDuplicates([id_col]))
