@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plinth.llm import decontaminate, html_text, pii, quality, sentencepiece_codec, simhash, token_counts, toxicity, warc
+from plinth.llm import decontaminate, html_text, pii, quality, sentencepiece_codec, simhash, token_counts, toxicity, vector_search, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,6 +41,10 @@ def op5_simhash(spark, sf_dir):
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op6_vector_search(spark, sf_dir):
+    return vector_search.top_k(_table(spark, sf_dir, "embeddings"))
+
+
 def op7_toxicity(spark, sf_dir):
     return toxicity.toxicity_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -69,6 +73,7 @@ QUERIES = {
     "op3_warc": op3_warc,
     "op4_html_text": op4_html_text,
     "op5_simhash": op5_simhash,
+    "op6_vector_search": op6_vector_search,
     "op7_toxicity": op7_toxicity,
     "op8_decontaminate": op8_decontaminate,
     "op9_pii": op9_pii,
@@ -85,4 +90,11 @@ ORACLES: dict[str, str] = {
                CASE WHEN page_id = least THEN 'response' ELSE 'revisit' END AS record_type,
                CASE WHEN page_id = least THEN NULL ELSE least END AS refers_to
         FROM d""",
+    "op6_vector_search": """
+        WITH e AS (SELECT vec_id, list_transform(embedding, x -> CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+                   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_inner_product(CAST(q.v AS DOUBLE[]), CAST(c.v AS DOUBLE[])) AS BIGINT) AS score
+              FROM e q JOIN e c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id),
+        r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+        SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""",
 }
