@@ -83,16 +83,16 @@ QUERIES = {
 ORACLES: dict[str, str] = {
     "op3_warc": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages),
-        d AS (SELECT *, list_transform(range(0, 40), i -> strpos('0123456789abcdef', substr(h, CAST(i AS INT) + 1, 1)) - 1) AS nibbles, min(page_id) OVER (PARTITION BY h) AS least FROM p)
+        d AS (SELECT *, list_transform(range(0, 40), lambda i: strpos('0123456789abcdef', substr(h, CAST(i AS INT) + 1, 1)) - 1) AS nibbles, min(page_id) OVER (PARTITION BY h) AS least FROM p)
         SELECT page_id, CAST(octet_length(encode(html)) AS BIGINT) AS payload_bytes,
-               array_to_string(list_transform(range(0, 32), k -> substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+               array_to_string(list_transform(range(0, 32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
                    CAST(((nibbles[CAST((5 * k) // 4 AS INT) + 1] * 16 + nibbles[CAST((5 * k) // 4 AS INT) + 2]) // CAST(pow(2, 3 - (5 * k) % 4) AS BIGINT)) % 32 AS INT) + 1, 1)), '') AS payload_digest,
                CASE WHEN page_id = least THEN 'response' ELSE 'revisit' END AS record_type,
                CASE WHEN page_id = least THEN NULL ELSE least END AS refers_to
         FROM d""",
     "op6_vector_search": """
-        WITH e AS (SELECT vec_id, list_transform(embedding, x -> CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
-                   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+        WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+                   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
         s AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_inner_product(CAST(q.v AS DOUBLE[]), CAST(c.v AS DOUBLE[])) AS BIGINT) AS score
               FROM e q JOIN e c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id),
         r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
