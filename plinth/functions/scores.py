@@ -80,10 +80,9 @@ def interval(low: Column, mid: Column, up: Column, down_factor: float = 0.98, up
     return [mid.cast("long").alias("price"), a.cast("long").alias("min"), b.cast("long").alias("max"), F.bround((b - a) / 2 / mid * 100, 1).alias("margin_percent")]
 
 
-def status_label(a: Column, b: Column, name_a: str, name_b: str, original: str = "Original") -> Column:
+def status_label(a: Column, b: Column, name_a: str, name_b: str, short: tuple[str, str] | None = None, original: str = "Original") -> Column:
     """One label for where the values of two columns came from."""
     is_a, is_b = a.eqNullSafe(original), b.eqNullSafe(original)
-    return (
-        F.when(is_a & is_b, F.lit(f"{original} Data")).when(a == b, F.concat(F.lit("Both: "), a)).when(is_a, F.concat(F.lit(f"{name_b}: "), b))
-        .when(is_b, F.concat(F.lit(f"{name_a}: "), a)).otherwise(F.concat(F.lit(f"Mixed ({name_b}:"), b, F.lit(f", {name_a}:"), a, F.lit(")")))
-    )
+    short_a, short_b = short or (name_a, name_b)
+    mixed = F.concat(F.lit(f"Mixed ({short_b}:"), b, F.lit(f", {short_a}:"), a, F.lit(")"))
+    return F.when(is_a & is_b, F.lit(f"{original} Data")).when(a == b, F.concat(F.lit("Both: "), a)).when(is_a, F.concat(F.lit(f"{name_b}: "), b)).when(is_b, F.concat(F.lit(f"{name_a}: "), a)).otherwise(mixed)
