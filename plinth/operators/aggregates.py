@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from plinth.session import checkpointed
+
 
 def kpi(df: DataFrame, value: str) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("total"), F.coalesce(F.avg(value), F.lit(0.0)).alias("avg_price"))
@@ -82,12 +84,29 @@ def pivot_counts(df: DataFrame, key: str, by: str, values) -> DataFrame:
     return df.where(F.col(by).isin(*values)).groupBy(key).pivot(by, list(values)).count().fillna(0)
 
 
+def running_totals(df: DataFrame, groups, value: str, counts) -> DataFrame:
+    """Adds ``<c>_upto`` and ``<c>_all`` for each count, and ``next_value``, to rows with distinct values in each group.
+
+    Rows are dealt by ranges of (group, value), summed within a range, and
+    moved by the totals of the ranges before, so that a group of any size is
+    spread over many tasks.
+    """
+    groups = list(groups)
+    dealt = checkpointed(df.repartitionByRange(*groups, value).withColumn("_part", F.spark_partition_id()))
+    parts = dealt.groupBy(*groups, "_part").agg(F.min(value).alias("_first"), *(F.sum(c).alias(f"_s_{c}") for c in counts))
+    over = Window.partitionBy(*groups).orderBy("_part")
+    before, whole = over.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy(*groups)
+    parts = parts.select(*(F.col(g).alias(f"_g{i}") for i, g in enumerate(groups)), F.col("_part").alias("_p"), F.lead("_first").over(over).alias("_next"), *(F.coalesce(F.sum(f"_s_{c}").over(before), F.lit(0)).alias(f"_before_{c}") for c in counts), *(F.sum(f"_s_{c}").over(whole).alias(f"{c}_all") for c in counts))
+    on = [F.col("_part") == F.col("_p"), *(F.col(g).eqNullSafe(F.col(f"_g{i}")) for i, g in enumerate(groups))]
+    own = Window.partitionBy(*groups, "_part").orderBy(value)
+    upto = own.rowsBetween(Window.unboundedPreceding, 0)
+    return dealt.join(parts, on).select(*df.columns, *((F.sum(c).over(upto) + F.col(f"_before_{c}")).alias(f"{c}_upto") for c in counts), *(f"{c}_all" for c in counts), F.coalesce(F.lead(value).over(own), F.col("_next")).alias("next_value"))
+
+
 def ecdf_columns(df: DataFrame, feature: str, value: str, counts) -> DataFrame:
     """Adds to distinct (feature, value) rows with counts the cumulative share of each count, and the next value."""
-    w = Window.partitionBy(feature).orderBy(value)
-    whole = Window.partitionBy(feature)
-    upto = w.rowsBetween(Window.unboundedPreceding, 0)
-    return df.select("*", *((F.sum(c).over(upto) / F.sum(c).over(whole)).alias(f"{c}_share") for c in counts), F.lead(value).over(w).alias("next_value"))
+    t = running_totals(df, [feature], value, counts)
+    return t.select(*df.columns, *((F.col(f"{c}_upto") / F.col(f"{c}_all")).alias(f"{c}_share") for c in counts), "next_value")
 
 
 def count_if(condition: Column) -> Column:
