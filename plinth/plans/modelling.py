@@ -109,7 +109,8 @@ def model_linear(spark, sf):
 
 @query("ols_inference")
 def ols_inference(spark, sf):
-    return models.inference(models.linear().fit(ready(spark, sf)), FEATURES)
+    columns = ["engine_cc_val", "mileage", "year", "risk"]  # the other features are linear in the first, and errors need a regular design
+    return models.inference(models.linear().fit(ready(spark, sf, columns)), columns)
 
 
 @query("model_ridge")
