@@ -14,7 +14,13 @@ from plinth.operators.aggregates import running_totals
 def pearson(df: DataFrame, columns, places: int = 6) -> DataFrame:
     """``a, b, r`` for each pair, over the rows where both are there; a constant gives 0."""
     pairs = list(combinations(columns, 2))
-    one = df.agg(*(F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"{k}") for k, (a, b) in enumerate(pairs)))
+
+    def value(a, b):  # F.corr divides by zero on a constant
+        x, y = F.col(a).cast("double"), F.col(b).cast("double")
+        spread = F.stddev_pop(F.when(y.isNotNull(), x)) * F.stddev_pop(F.when(x.isNotNull(), y))
+        return F.covar_pop(x, y) / F.nullif(spread, F.lit(0.0))
+
+    one = df.agg(*(value(a, b).alias(f"{k}") for k, (a, b) in enumerate(pairs)))
     r = lambda k: F.round(F.coalesce(F.nanvl(F.col(f"`{k}`"), F.lit(0.0)), F.lit(0.0)), places)
     return one.select(F.explode(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), r(k).alias("r")) for k, (a, b) in enumerate(pairs)))).alias("p")).select("p.*")
 
