@@ -25,7 +25,7 @@ def as_map(df: DataFrame, key: str, value: str, name: str) -> DataFrame:
 
 def boxplot(df: DataFrame, key: str, value: str) -> DataFrame:
     q = F.percentile(value, F.array(*(F.lit(x) for x in (0.0, 0.25, 0.5, 0.75, 1.0))))
-    return df.dropna(subset=[key, value]).groupBy(key).agg(q.alias("q")).select(key, *(F.col("q")[k].alias(n) for k, n in enumerate(("low", "q1", "median", "q3", "high"))))
+    return df.dropna(subset=[key, value]).groupBy(key).agg(q.alias("q")).select(key, *(F.round(F.col("q")[k], 4).alias(n) for k, n in enumerate(("low", "q1", "median", "q3", "high"))))
 
 
 def aligned_averages(df: DataFrame, key: str, value: str) -> DataFrame:

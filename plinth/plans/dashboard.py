@@ -50,12 +50,12 @@ def observe_row_counts(spark, sf):
 
 
 @query("anomaly_outside_interval", """
-    WITH q AS (SELECT brand, quantile_cont(price, 0.05) AS q05, quantile_cont(price, 0.95) AS q95 FROM listings WHERE price IS NOT NULL GROUP BY brand)
+    WITH q AS (SELECT brand, round(quantile_cont(price, 0.05), 4) AS q05, round(quantile_cont(price, 0.95), 4) AS q95 FROM listings WHERE price IS NOT NULL GROUP BY brand)
     SELECT ad_id, price FROM listings JOIN q USING (brand) WHERE NOT price BETWEEN q05 AND q95""")
 def anomaly_outside_interval(spark, sf):
     df = listings(spark, sf).select("ad_id", "brand", "price").where("price is not null")
     bounds = df.groupBy("brand").agg(F.percentile("price", F.array(F.lit(0.05), F.lit(0.95))).alias("q"))
-    return df.join(bounds, "brand").where(~F.col("price").between(F.col("q")[0], F.col("q")[1])).select("ad_id", "price")
+    return df.join(bounds, "brand").where(~F.col("price").between(F.round(F.col("q")[0], 4), F.round(F.col("q")[1], 4))).select("ad_id", "price")
 
 
 # joins
@@ -142,7 +142,7 @@ def agg_pairs_by_group(spark, sf):
     return agg.array_by_group(listings(spark, sf), "brand", "kb_mileage", "price")
 
 
-@query("agg_boxplot", "SELECT brand, min(price) AS low, quantile_cont(price, 0.25) AS q1, quantile_cont(price, 0.5) AS median, quantile_cont(price, 0.75) AS q3, max(price) AS high FROM listings WHERE price IS NOT NULL GROUP BY brand")
+@query("agg_boxplot", "SELECT brand, min(price) AS low, round(quantile_cont(price, 0.25), 4) AS q1, round(quantile_cont(price, 0.5), 4) AS median, round(quantile_cont(price, 0.75), 4) AS q3, max(price) AS high FROM listings WHERE price IS NOT NULL GROUP BY brand")
 def agg_boxplot(spark, sf):
     return agg.boxplot(listings(spark, sf), "brand", "price")
 
@@ -214,14 +214,14 @@ def win_group_stat(spark, sf):
     return listings(spark, sf).select("ad_id", F.median("kb_mileage").over(Window.partitionBy("seller_id")).alias("seller_median"))
 
 
-RESIDUALS = """r AS (SELECT ad_id, brand, series, price, round(avg(price) OVER (PARTITION BY brand, series), 4) AS predicted FROM listings WHERE price IS NOT NULL)"""
+RESIDUALS = """r AS (SELECT ad_id, brand, series, price, round(median(price) OVER (PARTITION BY brand, series), 4) AS predicted FROM listings WHERE price IS NOT NULL)"""
 
 
 def residuals(spark, sf):
-    """Price against its (brand, series) mean."""
+    """Price against its (brand, series) median."""
     df = listings(spark, sf).select("ad_id", "brand", "series", "price").where("price is not null")
-    means = df.groupBy("brand", "series").agg(F.round(F.avg("price"), 4).alias("predicted"))
-    return df.join(means, ["brand", "series"]).withColumn("residual", F.round(F.col("price") - F.col("predicted"), 4))
+    usual = df.groupBy("brand", "series").agg(F.round(F.median("price"), 4).alias("predicted"))
+    return df.join(usual, ["brand", "series"]).withColumn("residual", F.round(F.col("price") - F.col("predicted"), 4))
 
 
 @query("win_topk_rows", f"WITH {RESIDUALS} SELECT ad_id, price, predicted, round(price - predicted, 4) AS residual FROM r ORDER BY abs(price - predicted) DESC, ad_id, price LIMIT 10")

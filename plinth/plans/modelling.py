@@ -197,13 +197,13 @@ def model_quantile_interval(spark, sf):
     return out.select("ad_id", *(F.expm1(c).alias(c) for c in ("y", "q05", "q50", "q95")))
 
 
-@query("quantile_by_group", "SELECT brand, quantile_cont(price, 0.05) AS q05, quantile_cont(price, 0.5) AS q50, quantile_cont(price, 0.95) AS q95 FROM listings WHERE price IS NOT NULL GROUP BY brand")
+@query("quantile_by_group", "SELECT brand, round(quantile_cont(price, 0.05), 4) AS q05, round(quantile_cont(price, 0.5), 4) AS q50, round(quantile_cont(price, 0.95), 4) AS q95 FROM listings WHERE price IS NOT NULL GROUP BY brand")
 def quantile_by_group(spark, sf):
     q = F.percentile("price", F.array(F.lit(0.05), F.lit(0.5), F.lit(0.95)))
-    return listings(spark, sf).where("price is not null").groupBy("brand").agg(q.alias("q")).select("brand", *(F.col("q")[k].alias(n) for k, n in enumerate(("q05", "q50", "q95"))))
+    return listings(spark, sf).where("price is not null").groupBy("brand").agg(q.alias("q")).select("brand", *(F.round(F.col("q")[k], 4).alias(n) for k, n in enumerate(("q05", "q50", "q95"))))
 
 
-_Q = "q AS (SELECT brand, quantile_cont(price, 0.05) AS q05, quantile_cont(price, 0.5) AS q50, quantile_cont(price, 0.95) AS q95 FROM listings WHERE price IS NOT NULL GROUP BY brand), j AS (SELECT * FROM listings JOIN q USING (brand) WHERE price IS NOT NULL)"
+_Q = "q AS (SELECT brand, round(quantile_cont(price, 0.05), 4) AS q05, round(quantile_cont(price, 0.5), 4) AS q50, round(quantile_cont(price, 0.95), 4) AS q95 FROM listings WHERE price IS NOT NULL GROUP BY brand), j AS (SELECT * FROM listings JOIN q USING (brand) WHERE price IS NOT NULL)"
 
 
 def banded(spark, sf):
