@@ -113,7 +113,8 @@ def listing_pages(spark, sf):
     damage = F.concat(F.lit('<div class="car-damage-info">'), block("Değişmiş"), block("Lokal Boyalı"), block("Boyalı"), F.lit("</div>"))
     fee = F.concat(F.lit('<div class="tramer-info"><p>'), "note_text", F.lit("</p>"), cell("property-value", F.col("price_text"), "span"), F.lit("</div>"))
     page = F.concat(F.lit("<html><body>"), cell("desktop-information-price x", F.col("price_text")), cell("product-name-container", F.col("ad_text")), F.lit('<div class="product-location"><span>A</span> <span>'), F.coalesce("date_text", F.lit("")), F.lit("</span></div>"), F.lit('<div class="product-properties-details">'), item, F.lit("</div>"), section, F.lit('<div id="tab-description"><p>Temiz &amp; az <b>km</b></p></div>'), fee, damage, F.lit("</body></html>"))
-    return raw_listings(spark, sf).select(F.col("ad_id").alias("page_id"), page.alias("html"))
+    # the rows are few bytes and their pages take long to parse, so they are dealt evenly first
+    return raw_listings(spark, sf).repartition("ad_id").select(F.col("ad_id").alias("page_id"), page.alias("html"))
 
 
 @query("page_extract_attrs", "SELECT ad_id AS page_id, coalesce(price_text, '') AS price, coalesce(ad_text, '') AS title, date_text AS location, coalesce(power_text, '') AS power, coalesce(trade_text, '') AS trade, '<p>Temiz &amp; az <b>km</b></p>' AS description, note_text AS note FROM raw_listings")
