@@ -42,6 +42,14 @@ def broadcast_if_small(df: DataFrame, max_rows: int = 1_000_000) -> DataFrame:
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
+def prepare(spark: SparkSession) -> None:
+    """What every query needs: our modules on the executors, and Arrow batches small enough for long texts."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":  # the default; a size of the user's own stays
+        spark.conf.set(key, "1000")
+    ship_package(spark)
+
+
 def ship_package(spark: SparkSession) -> None:
     """Send this package's modules to the executors, as ``--py-files`` would; once for each application."""
     app = spark.sparkContext.applicationId
