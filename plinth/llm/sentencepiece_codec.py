@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Distinct marked words that a worker keeps; longer words than this aren't kept.
-TABLE_WORDS, WORD_CHARS = 300_000, 64
+TABLE_WORDS, WORD_CHARS = 100_000, 48
 MARK = "▁"
 _WORD = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 
@@ -70,7 +70,7 @@ def load_codec(model: str) -> Codec:
     return Codec(model)
 
 
-def sentencepiece_codec(df: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", batch_chars: int = 4_000_000) -> DataFrame:
+def sentencepiece_codec(df: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", batch_chars: int = 1_000_000) -> DataFrame:
     """``id_col, ids array<int>, decoded string`` for each row; ``model`` is the path of a model file that every executor has."""
     kind = df.schema[id_col].dataType
 
