@@ -7,12 +7,15 @@ has MinHash bands, and both kinds of key merely propose pairs: a pair links if
 the Jaccard similarity of the two whole shingle sets reaches the threshold.
 With 20 bands of 6 a pair at 0.8 is proposed with probability 0.998.
 
-Documents with equal shingle sets are one node.  Within a key's group nobody
-is paired with everybody: all members are verified against two heads, and then
-one member of each cluster that came of it against two heads of the clusters.
-So a group of copies costs two rows a member, whatever its size, and no group
-is left out or cut; a link between two members that fail against all heads of
-all their groups is missed, as is a pair that shares no key.
+Documents with equal shingle sets are one node.  Every pair of nodes that
+shares a key is either compared or in one component already.  First all members
+of a key's group are verified against two heads, then one member of each cluster
+that came of it against two heads of the clusters; so a group of copies, whatever
+its size, is mostly one cluster at two rows a member.  Then all pairs of members
+in different clusters are compared: those of few members as rows, those of many
+in cells of two blocks of members each, where only the pairs whose counts of
+shingles by hash allow the similarity are compared in full.  Members of the
+largest cluster meet the others only.  Missed is only a pair that shares no key.
 
 Null texts are empty texts, which are each other's copies.  A text of fewer
 words is one shingle.  Repeated rows are copies.
@@ -33,6 +36,8 @@ BANDS, ROWS = 20, 6
 _RANDOM = np.random.default_rng(20240501)
 _MULTIPLIERS = (_RANDOM.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
 _OFFSETS = _RANDOM.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
+#: Keys of at most so many open members are paired as rows, larger ones in blocks of about so many.
+FEW, BLOCK = 32, 256
 _BAND_MIX = (_RANDOM.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
 
 
@@ -76,6 +81,26 @@ def _jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both)
 
 
+def _similar_pairs(left: list[np.ndarray], right: list[np.ndarray], differ: np.ndarray, similarity: float):
+    """Places (i, j) of the similar pairs among those that ``differ`` marks.
+
+    Sets share at most the sum of the lesser counts of shingles in each of 256
+    parts of the hash range, so no similar pair fails that bound.
+    """
+    counts = lambda sets: np.stack([np.bincount(s >> np.uint32(24), minlength=256) for s in sets]).astype(np.int32)
+    of_left, of_right = counts(left), counts(right)
+    size = of_right.sum(axis=1)
+    for i, a in enumerate(left):
+        (js,) = np.nonzero(differ[i])
+        if not len(js):
+            continue
+        most = np.minimum(of_left[i], of_right[js]).sum(axis=1)
+        # the margin covers rounding; the comparison itself decides
+        for j in js[most >= similarity * (len(a) + size[js] - most) - 1e-6].tolist():
+            if _jaccard(a, right[j]) >= similarity:
+                yield i, j
+
+
 def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
     """``id_col, component_id`` for each row; ``component_id`` is the least id reachable over links."""
     kind = df.schema[id_col].dataType.simpleString()
@@ -127,11 +152,45 @@ def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         heads = checkpointed(members.groupBy("key").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi")).where("lo < hi"))
         return members.join(heads, "key").select(F.explode(F.array("lo", "hi")).alias("x"), F.col("digest").alias("y"))
 
+    def cell(keys, table):
+        own = table.column("blk").to_numpy()
+        digest, root = table.column("digest").to_numpy(), table.column("r").to_numpy()
+        sets = [np.frombuffer(s.as_py(), "<u4") for s in table.column("s")]
+        a, b = keys[1].as_py(), keys[2].as_py()
+        (at,), (to,) = np.nonzero(own == a), np.nonzero(own == b)
+        found = []
+        if len(at) and len(to):
+            differ = root[at][:, None] != root[to][None, :]
+            if a == b:
+                differ &= digest[at][:, None] < digest[to][None, :]
+            found = list(_similar_pairs([sets[i] for i in at], [sets[j] for j in to], differ, similarity))
+        return pa.table({"x": pa.array([digest[at[i]] for i, _ in found], pa.int64()), "y": pa.array([digest[to[j]] for _, j in found], pa.int64())})
+
+    def across(roots):
+        """Links of all pairs that share a key and have different roots, but those with the key's least or largest member, which are known."""
+        ends = checkpointed(live.groupBy("key").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi"), F.count(F.lit(1)).alias("n")).where("n > 3").select("key", "lo", "hi"))
+        members = live.join(ends, "key").where("digest <> lo and digest <> hi").select("key", "digest")
+        members = checkpointed(members.join(roots.withColumnRenamed("node", "digest"), "digest", "left").select("key", "digest", F.coalesce("root", "digest").alias("r")))
+        of_root = members.groupBy("key", "r").agg(F.count(F.lit(1)).alias("n"))
+        opened = of_root.groupBy("key").agg(F.sum("n").alias("n"), F.max(F.struct("n", "r")).alias("main"), F.count(F.lit(1)).alias("roots")).where("roots > 1")
+        opened = checkpointed(opened.select("key", "n", F.col("main.r").alias("main"), F.ceil(F.col("main.n") / BLOCK).cast("int").alias("b0"), F.ceil((F.col("n") - F.col("main.n")) / BLOCK).cast("int").alias("b1")))
+        members = checkpointed(members.join(opened, "key"))
+        few = members.where(F.col("n") <= FEW).select("key", "digest", "r")
+        pairs = few.withColumnsRenamed({"digest": "x", "r": "rx"}).join(few.withColumnsRenamed({"digest": "y", "r": "ry"}), "key").where("x < y and rx <> ry").select("x", "y")
+        dealt = F.xxhash64("digest", "key")
+        many = members.where(F.col("n") > FEW).withColumn("blk", F.when(F.col("r") == F.col("main"), F.pmod(dealt, "b0")).otherwise(F.col("b0") + F.pmod(dealt, "b1")).cast("int"))
+        with_block = F.explode(F.sequence(F.when(F.col("blk") < F.col("b0"), F.col("b0")).otherwise(F.lit(0)), F.col("b0") + F.col("b1") - 1))
+        cells = many.select("key", "digest", "r", "blk", with_block.alias("other")).select("key", F.least("blk", "other").alias("a"), F.greatest("blk", "other").alias("b"), "digest", "r", "blk")
+        compared = cells.join(sets, "digest").groupBy("key", "a", "b").applyInArrow(cell, "x long, y long")
+        return verified(pairs).union(compared)
+
     links = checkpointed(verified(to_heads(live).union(close)))
     roots = checkpointed(connected_components(links, "x", "y"))
     # once more among the clusters that share a key: one member of each, the least, with the least and largest of those
     split = live.join(roots.withColumnRenamed("node", "digest"), "digest", "left").groupBy("key", F.coalesce("root", "digest").alias("r")).agg(F.min("digest").alias("digest"))
     links = checkpointed(links.union(verified(to_heads(checkpointed(split.select("digest", "key"))))))
+    roots = checkpointed(connected_components(links, "x", "y"))
+    links = checkpointed(links.union(across(roots)))
     roots = connected_components(links, "x", "y")
     placed = nodes.join(roots.withColumnRenamed("node", "digest"), "digest", "left").select("digest", "first", F.coalesce("root", "digest").alias("root"))
     least = checkpointed(placed.groupBy("root").agg(F.min("first").alias("component_id")))

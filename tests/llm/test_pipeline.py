@@ -55,6 +55,39 @@ def test_similar_groups(spark):
     assert similarity.similar_groups(df.limit(0)).count() == 0
 
 
+def test_star_groups_near_the_threshold(spark):
+    """Copies of an original that are similar to it, but not to each other, in one group; brute force on all pairs that share a key."""
+    rng, word, _ = _texts(3, 0)
+    rows, sizes = [], (20, 100, 1000)
+    for n in sizes:
+        original = [word() for _ in range(204)]
+        star = [" ".join(original)]
+        while len(star) <= n:
+            copy, at = list(original), rng.randint(0, 4)
+            for k in range(4):
+                copy[min(203, 4 + at + 50 * k + rng.randint(0, 35))] = word()
+            star.append(" ".join(copy))
+        rng.shuffle(star)
+        rows += list(enumerate(star, len(rows)))
+    sets = [similarity.shingle_set(t, 5) for _, t in rows]
+    keys = [set(similarity.band_keys(s).tolist()) for s in sets]
+    sets = [set(s.tolist()) for s in sets]
+    start, links, true = 0, [], []
+    for n in sizes:
+        for i, j in combinations(range(start, start + n + 1), 2):
+            both = len(sets[i] & sets[j])
+            if both >= 0.8 * (len(sets[i]) + len(sets[j]) - both):
+                true.append((i, j))
+                if keys[i] & keys[j]:
+                    links.append((i, j))
+        start += n + 1
+    want, whole = roots(list(range(len(rows))), links), roots(list(range(len(rows))), true)
+    assert len(true) < 40 * len(rows) and len(set(whole.values())) <= 6  # stars, not cliques
+    got = {r.doc_id: r.component_id for r in similarity.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want
+    assert np.mean([got[i] == whole[i] for i in whole]) > 0.995
+
+
 @pytest.fixture
 def corpus(spark, tmp_path):
     rng, word, texts = _texts(7, 300)
