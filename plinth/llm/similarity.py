@@ -7,18 +7,24 @@ has MinHash bands, and both kinds of key merely propose pairs: a pair links if
 the Jaccard similarity of the two whole shingle sets reaches the threshold.
 With 20 bands of 6 a pair at 0.8 is proposed with probability 0.998.
 
-Documents with equal shingle sets are one node.  Every pair of nodes that
-shares a key is either compared or in one component already.  First all members
-of a key's group are verified against two heads, then one member of each cluster
-that came of it against two heads of the clusters; so a group of copies, whatever
-its size, is mostly one cluster at two rows a member.  Then all pairs of members
-in different clusters are compared: those of few members as rows, those of many
-in cells of two blocks of members each, where only the pairs whose counts of
-shingles by hash allow the similarity are compared in full.  Members of the
-largest cluster meet the others only.  Missed is only a pair that shares no key.
-
-Null texts are empty texts, which are each other's copies.  A text of fewer
-words is one shingle.  Repeated rows are copies.
+Documents with equal shingle sets are one node, which keeps the fingerprints of
+all of them.  Every pair of nodes that shares a key is either compared or in
+one component already:
+
+1.  A key's head is the member that meets most others under all its keys: of
+    edited copies mostly their original.  Each member is verified against it,
+    two rows a member, and components are taken.
+2.  Keys whose other members are not yet all in one component are compared
+    without a bound on partners, in cells of two blocks of members, so no task
+    holds a group.  Members of the key's largest component meet the others
+    only.  A cell counts common shingles through an inverted index and emits at
+    most one link for each of its members, never all pairs.
+
+Missed is only a pair that shares no key.  Null texts are empty texts, which
+are each other's copies.  A text of fewer words is one shingle; very long texts
+are whole sets, of eight bytes a shingle.  Repeated rows are copies.  Other
+columns are carried along and may have any name; an empty table gives an empty
+result.
 """
 
 from __future__ import annotations
@@ -36,8 +42,8 @@ BANDS, ROWS = 20, 6
 _RANDOM = np.random.default_rng(20240501)
 _MULTIPLIERS = (_RANDOM.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
 _OFFSETS = _RANDOM.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
-#: Keys of at most so many open members are paired as rows, larger ones in blocks of about so many.
-FEW, BLOCK = 32, 256
+#: Members of a block of a key's group, about.
+BLOCK = 256
 _BAND_MIX = (_RANDOM.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
 
 
@@ -74,137 +80,148 @@ def band_keys(shingles: np.ndarray) -> np.ndarray:
     return (((least ^ (least >> np.uint64(29))) * _BAND_MIX).reshape(BANDS, ROWS).sum(axis=1, dtype=np.uint64)).view(np.int64)
 
 
-def _jaccard(a: np.ndarray, b: np.ndarray) -> float:
-    if not len(a) and not len(b):
-        return 1.0
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return both / (len(a) + len(b) - both)
+def _reaches(both, a, b, similarity: float):
+    """Whether sets of ``a`` and ``b`` shingles with ``both`` in common are similar; two empty ones are."""
+    return both >= similarity * (a + b - both)
 
 
-def _similar_pairs(left: list[np.ndarray], right: list[np.ndarray], differ: np.ndarray, similarity: float):
-    """Places (i, j) of the similar pairs among those that ``differ`` marks.
+def cell_links(left: list[np.ndarray], left_root: np.ndarray, right: list[np.ndarray], right_root: np.ndarray, similarity: float):
+    """Places (i, j) of similar pairs that join everything similar on both sides.
 
-    Sets share at most the sum of the lesser counts of shingles in each of 256
-    parts of the hash range, so no similar pair fails that bound.
+    Pairs with equal roots, or joined by pairs found before, are passed over.
     """
-    counts = lambda sets: np.stack([np.bincount(s >> np.uint32(24), minlength=256) for s in sets]).astype(np.int32)
-    of_left, of_right = counts(left), counts(right)
-    size = of_right.sum(axis=1)
-    for i, a in enumerate(left):
-        (js,) = np.nonzero(differ[i])
-        if not len(js):
+    roots, part = np.unique(np.concatenate([left_root, right_root]), return_inverse=True)
+    group = np.arange(len(roots))  # of each root, a number that joined roots share
+    sizes = np.array([len(s) for s in right])
+    every = np.concatenate(right)
+    order = np.argsort(every, kind="stable")
+    every, owner = every[order], np.repeat(np.arange(len(right)), sizes)[order]
+    for i, s in enumerate(left):
+        own = part[i]
+        if (group[part[len(left) :]] == group[own]).all():
             continue
-        most = np.minimum(of_left[i], of_right[js]).sum(axis=1)
-        # the margin covers rounding; the comparison itself decides
-        for j in js[most >= similarity * (len(a) + size[js] - most) - 1e-6].tolist():
-            if _jaccard(a, right[j]) >= similarity:
+        lo, hi = np.searchsorted(every, s, "left"), np.searchsorted(every, s, "right")
+        n = hi - lo
+        at = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
+        both = np.bincount(owner[at], minlength=len(right))
+        for j in np.nonzero(_reaches(both, len(s), sizes, similarity))[0].tolist():
+            other = part[len(left) + j]
+            if group[other] != group[own]:
+                group[group == group[other]] = group[own]
                 yield i, j
 
 
-def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """``id_col, component_id`` for each row; ``component_id`` is the least id reachable over links."""
-    kind = df.schema[id_col].dataType.simpleString()
-    rows = df.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
+def _sketches(rows: DataFrame, words: int) -> DataFrame:
+    """``id, h, digest, fp, keys`` for each row of ``id, h, text``."""
+    kind = rows.schema["id"].dataType.simpleString()
 
     def sketch(batches):
         for b in batches:
             digests, fps, keys = [], [], []
-            for t in b.column(1):
+            for t in b.column(2):
                 s = shingle_set(t.as_py(), words)
                 digests.append(set_digest(s))
                 fps.append(fingerprint(t.as_py()))
                 keys.append(band_keys(s))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(digests, pa.int64()), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(keys, pa.list_(pa.int64()))], names=["id", "digest", "fp", "keys"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(digests, pa.int64()), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(keys, pa.list_(pa.int64()))], names=["id", "h", "digest", "fp", "keys"])
+
+    return checkpointed(rows.mapInArrow(sketch, f"id {kind}, h long, digest long, fp long, keys array<long>"))
+
 
-    docs = checkpointed(rows.mapInArrow(sketch, f"id {kind}, digest long, fp long, keys array<long>"))
-    nodes = checkpointed(docs.groupBy("digest").agg(F.min("id").alias("first"), F.min("fp").alias("fp"), F.min("keys").alias("keys")))
+def _placed(df: DataFrame, id_col: str, text_col: str, words: int, similarity: float) -> DataFrame:
+    """``id, h, digest, root`` for each row; ``h`` is a hash of the text, and rows of one group have one root."""
+    rows = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).select("id", F.xxhash64("text").alias("h"), "text")
+    docs = _sketches(rows, words)
+    nodes = checkpointed(docs.groupBy("digest").agg(F.min(F.struct("h", "id")).alias("source"), F.min("keys").alias("keys")))
+    prints = checkpointed(docs.select("digest", "fp").distinct())
     # equal fingerprints are one more key; those within two bits are linked through the least node of each
-    by_fp = checkpointed(nodes.groupBy("fp").agg(F.min("digest").alias("node")))
+    by_fp = checkpointed(prints.groupBy("fp").agg(F.min("digest").alias("node")))
     close = fingerprint_links(by_fp.select("fp")).join(by_fp.select(F.col("fp").alias("a"), F.col("node").alias("x")), "a").join(by_fp.select(F.col("fp").alias("b"), F.col("node").alias("y")), "b").select("x", "y")
-    keyed = nodes.select("digest", F.explode(F.array_append(F.col("keys"), F.xxhash64("fp", F.lit("fp")))).alias("key"))
-    shared = checkpointed(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"))
+    close = checkpointed(close.where("x <> y").distinct())
+    keyed = nodes.select("digest", F.explode("keys").alias("key")).union(prints.select("digest", F.xxhash64("fp", F.lit("fp"))))
+    shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     live = checkpointed(keyed.join(shared, "key"))
-    close = checkpointed(close)
-    named = checkpointed(live.select("digest").union(close.select("x")).union(close.select("y")).distinct())
-    first = nodes.join(named, "digest").select(F.col("first").alias("id"), "digest")
-    texts = rows.join(broadcast_if_small(checkpointed(first.select("id").distinct())), "id", "left_semi")
+    met = checkpointed(live.groupBy("digest").agg(F.sum("n").alias("met")))
+    heads = live.join(met, "digest").groupBy("key").agg(F.max(F.struct("met", "digest")).alias("head")).select("key", F.col("head.digest").alias("head"))
+    live = checkpointed(live.join(heads, "key"))
+    named = checkpointed(met.select("digest").union(close.select("x")).union(close.select("y")).distinct())
+    wanted = checkpointed(nodes.join(named, "digest").select(F.col("source.h").alias("h")).distinct())
+    texts = rows.join(broadcast_if_small(wanted), "h", "left_semi").select("text")
 
     def shingles(batches):
         for b in batches:
-            sets = [shingle_set(t.as_py(), words) for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([pa.array([set_digest(s) for s in sets], pa.int64()), pa.array([np.unique(s >> np.uint64(32)).astype(np.uint32).tobytes() for s in sets], pa.binary())], names=["digest", "s"])
+            sets = [shingle_set(t.as_py(), words) for t in b.column(0)]
+            yield pa.RecordBatch.from_arrays([pa.array([set_digest(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["digest", "s"])
 
     sets = checkpointed(texts.mapInArrow(shingles, "digest long, s binary").join(named, "digest", "left_semi").dropDuplicates(["digest"]))
 
     def verify(batches):
         for b in batches:
-            ok = [_jaccard(np.frombuffer(x.as_py(), "<u4"), np.frombuffer(y.as_py(), "<u4")) >= similarity for x, y in zip(b.column(2), b.column(3))]
+            ok = []
+            for x, y in zip(b.column(2), b.column(3)):
+                p, q = np.frombuffer(x.as_py(), "<u8"), np.frombuffer(y.as_py(), "<u8")
+                ok.append(bool(_reaches(len(np.intersect1d(p, q, assume_unique=True)), len(p), len(q), similarity)))
             part = b.filter(pa.array(ok, pa.bool_()))
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], names=["x", "y"])
 
-    def verified(pairs):
-        pairs = pairs.where("x <> y").distinct()
-        both = pairs.join(sets.select(F.col("digest").alias("x"), F.col("s").alias("sx")), "x").join(sets.select(F.col("digest").alias("y"), F.col("s").alias("sy")), "y")
-        return both.select("x", "y", "sx", "sy").mapInArrow(verify, "x long, y long")
+    pairs = live.where("digest <> head").select(F.least("digest", "head").alias("x"), F.greatest("digest", "head").alias("y")).union(close.select(F.least("x", "y"), F.greatest("x", "y"))).distinct()
+    both = pairs.join(sets.select(F.col("digest").alias("x"), F.col("s").alias("sx")), "x").join(sets.select(F.col("digest").alias("y"), F.col("s").alias("sy")), "y")
+    links = checkpointed(both.select("x", "y", "sx", "sy").mapInArrow(verify, "x long, y long"))
+    roots = checkpointed(connected_components(links, "x", "y"))
 
-    def to_heads(members):
-        """Each member of a key's group with the group's least and largest member."""
-        heads = checkpointed(members.groupBy("key").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi")).where("lo < hi"))
-        return members.join(heads, "key").select(F.explode(F.array("lo", "hi")).alias("x"), F.col("digest").alias("y"))
+    # what is left: keys whose members other than the head, which met all, have several roots
+    members = live.where("n > 2 and digest <> head").join(roots.withColumnRenamed("node", "digest"), "digest", "left").select("key", "digest", F.coalesce("root", "digest").alias("r"))
+    by_root = checkpointed(members.groupBy("key", "r").agg(F.count(F.lit(1)).alias("n")))
+    opened = by_root.groupBy("key").agg(F.sum("n").alias("n"), F.max(F.struct("n", "r")).alias("main"), F.count(F.lit(1)).alias("roots")).where("roots > 1")
+    # a lone block for a small group; else b0 blocks of the main component, then b1 of the others
+    lone = F.col("n") <= BLOCK
+    opened = opened.select("key", F.col("main.r").alias("main"), F.when(lone, 0).otherwise(F.ceil(F.col("main.n") / BLOCK)).cast("int").alias("b0"), F.when(lone, 1).otherwise(F.ceil((F.col("n") - F.col("main.n")) / BLOCK)).cast("int").alias("b1"))
+    dealt = F.xxhash64("digest", "key")
+    placed = members.join(checkpointed(opened), "key").withColumn("blk", F.when((F.col("r") == F.col("main")) & (F.col("b0") > 0), F.pmod(dealt, "b0")).otherwise(F.col("b0") + F.pmod(dealt, "b1")).cast("int"))
+    with_block = F.explode(F.sequence(F.when(F.col("blk") < F.col("b0"), F.col("b0")).otherwise(F.lit(0)), F.col("b0") + F.col("b1") - 1))
+    cells = placed.select("key", "digest", "r", "blk", with_block.alias("other")).select("key", F.least("blk", "other").alias("a"), F.greatest("blk", "other").alias("b"), "digest", "r", "blk")
 
     def cell(keys, table):
-        own = table.column("blk").to_numpy()
-        digest, root = table.column("digest").to_numpy(), table.column("r").to_numpy()
-        sets = [np.frombuffer(s.as_py(), "<u4") for s in table.column("s")]
-        a, b = keys[1].as_py(), keys[2].as_py()
-        (at,), (to,) = np.nonzero(own == a), np.nonzero(own == b)
-        found = []
-        if len(at) and len(to):
-            differ = root[at][:, None] != root[to][None, :]
-            if a == b:
-                differ &= digest[at][:, None] < digest[to][None, :]
-            found = list(_similar_pairs([sets[i] for i in at], [sets[j] for j in to], differ, similarity))
-        return pa.table({"x": pa.array([digest[at[i]] for i, _ in found], pa.int64()), "y": pa.array([digest[to[j]] for _, j in found], pa.int64())})
-
-    def across(roots):
-        """Links of all pairs that share a key and have different roots, but those with the key's least or largest member, which are known."""
-        ends = checkpointed(live.groupBy("key").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi"), F.count(F.lit(1)).alias("n")).where("n > 3").select("key", "lo", "hi"))
-        members = live.join(ends, "key").where("digest <> lo and digest <> hi").select("key", "digest")
-        members = checkpointed(members.join(roots.withColumnRenamed("node", "digest"), "digest", "left").select("key", "digest", F.coalesce("root", "digest").alias("r")))
-        of_root = members.groupBy("key", "r").agg(F.count(F.lit(1)).alias("n"))
-        opened = of_root.groupBy("key").agg(F.sum("n").alias("n"), F.max(F.struct("n", "r")).alias("main"), F.count(F.lit(1)).alias("roots")).where("roots > 1")
-        opened = checkpointed(opened.select("key", "n", F.col("main.r").alias("main"), F.ceil(F.col("main.n") / BLOCK).cast("int").alias("b0"), F.ceil((F.col("n") - F.col("main.n")) / BLOCK).cast("int").alias("b1")))
-        members = checkpointed(members.join(opened, "key"))
-        few = members.where(F.col("n") <= FEW).select("key", "digest", "r")
-        pairs = few.withColumnsRenamed({"digest": "x", "r": "rx"}).join(few.withColumnsRenamed({"digest": "y", "r": "ry"}), "key").where("x < y and rx <> ry").select("x", "y")
-        dealt = F.xxhash64("digest", "key")
-        many = members.where(F.col("n") > FEW).withColumn("blk", F.when(F.col("r") == F.col("main"), F.pmod(dealt, "b0")).otherwise(F.col("b0") + F.pmod(dealt, "b1")).cast("int"))
-        with_block = F.explode(F.sequence(F.when(F.col("blk") < F.col("b0"), F.col("b0")).otherwise(F.lit(0)), F.col("b0") + F.col("b1") - 1))
-        cells = many.select("key", "digest", "r", "blk", with_block.alias("other")).select("key", F.least("blk", "other").alias("a"), F.greatest("blk", "other").alias("b"), "digest", "r", "blk")
-        compared = cells.join(sets, "digest").groupBy("key", "a", "b").applyInArrow(cell, "x long, y long")
-        return verified(pairs).union(compared)
-
-    links = checkpointed(verified(to_heads(live).union(close)))
-    roots = checkpointed(connected_components(links, "x", "y"))
-    # once more among the clusters that share a key: one member of each, the least, with the least and largest of those
-    split = live.join(roots.withColumnRenamed("node", "digest"), "digest", "left").groupBy("key", F.coalesce("root", "digest").alias("r")).agg(F.min("digest").alias("digest"))
-    links = checkpointed(links.union(verified(to_heads(checkpointed(split.select("digest", "key"))))))
-    roots = checkpointed(connected_components(links, "x", "y"))
-    links = checkpointed(links.union(across(roots)))
-    roots = connected_components(links, "x", "y")
-    placed = nodes.join(roots.withColumnRenamed("node", "digest"), "digest", "left").select("digest", "first", F.coalesce("root", "digest").alias("root"))
-    least = checkpointed(placed.groupBy("root").agg(F.min("first").alias("component_id")))
-    groups = checkpointed(placed.join(least, "root").select("digest", "component_id"))
-    return docs.join(groups, "digest").select(F.col("id").alias(id_col), "component_id")
+        own, digest, root = (table.column(c).to_numpy() for c in ("blk", "digest", "r"))
+        found = [np.frombuffer(s.as_py(), "<u8") for s in table.column("s")]
+        (at,), (to,) = np.nonzero(own == keys[1].as_py()), np.nonzero(own == keys[2].as_py())
+        if not len(at) or not len(to):
+            return pa.table({"x": pa.array([], pa.int64()), "y": pa.array([], pa.int64())})
+        linked = list(cell_links([found[i] for i in at], root[at], [found[j] for j in to], root[to], similarity))
+        return pa.table({"x": pa.array([root[at[i]] for i, _ in linked], pa.int64()), "y": pa.array([root[to[j]] for _, j in linked], pa.int64())})
+
+    # links between roots, so that the second graph is no larger than what was left
+    more = checkpointed(cells.join(sets, "digest").groupBy("key", "a", "b").applyInArrow(cell, "x long, y long"))
+    if not more.isEmpty():
+        higher = connected_components(more, "x", "y").select(F.col("node").alias("root"), F.col("root").alias("higher"))
+        named_roots = roots.union(more.select(F.explode(F.array("x", "y")).alias("node")).distinct().withColumn("root", F.col("node"))).distinct()
+        roots = checkpointed(named_roots.join(higher, "root", "left").groupBy("node").agg(F.min(F.coalesce("higher", "root")).alias("root")))
+    return docs.select("id", "h", "digest").join(roots.withColumnRenamed("node", "digest"), "digest", "left").select("id", "h", "digest", F.coalesce("root", "digest").alias("root"))
+
+
+def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """``id_col, component_id`` for each row; ``component_id`` is the least id reachable over links (null if all ids there are)."""
+    placed = checkpointed(_placed(df, id_col, text_col, words, similarity))
+    least = checkpointed(placed.groupBy("root").agg(F.min("id").alias("component_id")))
+    return placed.join(least, "root").select(F.col("id").alias(id_col), "component_id")
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """The rows of ``df`` whose id is the least of their group, with their columns; of rows that repeat such an id one stays."""
-    ids = checkpointed(similar_groups(df, id_col, text_col, words, similarity).select(F.col(id_col).alias("id"), "component_id"))
-    gone = checkpointed(ids.where(~F.col("id").eqNullSafe(F.col("component_id"))).select("id").distinct())
-    again = checkpointed(ids.groupBy("id").count().where("count > 1").select("id"))
-    same = F.col(id_col).eqNullSafe(F.col("id"))
+    """The least row of each group, with its columns: that with the least id (nulls last), of rows that share it that with the least hash of the text.
+
+    A row is known by its id and text, so rows that share an id, null or not, but not their group are decided each on its
+    own; of rows that repeat both one stays.
+    """
+    placed = checkpointed(_placed(df, id_col, text_col, words, similarity))
+    least = checkpointed(placed.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "h")).alias("kept")))
+    decided = placed.join(least, "root").select(F.col("id").alias("_id"), F.col("h").alias("_h"), (F.col("id").eqNullSafe(F.col("kept.id")) & (F.col("h") == F.col("kept.h"))).alias("stays"))
+    decided = checkpointed(decided.groupBy("_id", "_h").agg(F.max("stays").alias("stays"), F.count(F.lit(1)).alias("n")))
+    gone = checkpointed(decided.where("not stays").select("_id", "_h"))
+    again = checkpointed(decided.where("stays and n > 1").select("_id", "_h"))
+    same = F.xxhash64(F.coalesce(df[text_col], F.lit(""))) == F.col("_h")
+    same = same & df[id_col].eqNullSafe(F.col("_id"))
     kept = df.join(broadcast_if_small(gone), same, "left_anti")
     if again.isEmpty():
         return kept
-    return kept.join(again, same, "left_anti").unionByName(kept.join(again, same, "left_semi").dropDuplicates([id_col]))
+    alike = kept.join(again, same, "left_semi")
+    return kept.join(again, same, "left_anti").unionByName(alike.dropDuplicates([id_col, text_col]))

@@ -140,3 +140,38 @@ def test_stages_and_run(spark, corpus):
     assert sum(1000 <= r.doc_id < 2000 for r in out) <= 3
     for r in out:
         assert r.ids == sp.encode(r.decoded) and r.n_tokens == len(r.ids)
+
+
+def test_recall_of_all_links_on_documents(spark):
+    """All pairs of whole shingle sets, found through an inverted index, on the given table."""
+    from tests.llm.test_simhash import roots
+
+    folder = "/root/testdata/sf0.01"
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").collect()]
+    sets = {i: naive_set(t or "") for i, t in rows}
+    at, links = {}, []
+    for i, s in sets.items():
+        both = {}
+        for x in s or [b""]:
+            for j in at.get(x, ()):
+                both[j] = both.get(j, 0) + 1
+            at.setdefault(x, []).append(i)
+        links += [(j, i) for j, n in both.items() if n >= 0.8 * (max(1, len(s)) + max(1, len(sets[j])) - n)]
+    want = roots(list(sets), links)
+    got = {r.doc_id: r.component_id for r in similarity.similar_groups(spark.read.parquet(f"{folder}/documents.parquet")).collect()}
+    found = sum(got[i] == got[j] for i, j in links)
+    assert len(links) > 50 and found >= 0.99 * len(links)
+    assert all(want[i] == want[got[i]] for i in got)
+
+
+def test_rows_of_one_id(spark):
+    """Rows that share an id, null or not, are decided by their own texts; columns may have the names used inside."""
+    rng, word, texts = _texts(11, 4)
+    rows = [(1, texts[0], "a", 1), (1, texts[1], "b", 2), (None, texts[2], "c", 3), (None, texts[3], "d", 4), (5, texts[1], "e", 5), (None, texts[0], "f", 6), (1, texts[0], "g", 7), (6, None, "h", 8), (7, "", "i", 9)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, id string, h int")
+    kept = similarity.keep_one(df)
+    assert kept.columns == df.columns
+    got = sorted((r.id for r in kept.collect()))
+    assert [x for x in got if x not in ("a", "g")] == ["b", "c", "d", "h"] and len(got) == 5
+    groups = similarity.similar_groups(df).collect()
+    assert len(groups) == len(rows) and sorted({r.component_id for r in groups if r.component_id}) == [1, 6]
