@@ -36,17 +36,18 @@ class BoostedTrees:
         return _sigmoid(self.margin(x))
 
 
-def fit_trees(x: np.ndarray, y: np.ndarray, rounds: int = 60, depth: int = 4, rate: float = 0.2, bins: int = 32, ridge: float = 1.0, least: float = 1.0) -> BoostedTrees:
+def fit_trees(x: np.ndarray, y: np.ndarray, rounds: int = 60, depth: int = 4, rate: float = 0.2, bins: int = 32, ridge: float = 1.0, least: float = 1.0, weights: np.ndarray | None = None) -> BoostedTrees:
     """Second-order boosting; cuts are sought among quantiles of each feature, all nodes of a level at once."""
     n, d = x.shape
     edges = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, bins + 1)[1:-1])) for j in range(d)]
     code = np.stack([np.searchsorted(edges[j], x[:, j], side="left") for j in range(d)])
-    p = float(np.clip(y.mean(), 1e-3, 1 - 1e-3))
+    w = np.ones(n) if weights is None else weights
+    p = float(np.clip(np.average(y, weights=w), 1e-3, 1 - 1e-3))
     model = BoostedTrees(depth, float(np.log(p / (1 - p))))
     z = np.full(n, model.base)
     for _ in range(rounds):
         q = _sigmoid(z)
-        g, h = q - y, np.maximum(q * (1 - q), 1e-6)
+        g, h = w * (q - y), w * np.maximum(q * (1 - q), 1e-6)
         inner = (1 << depth) - 1
         feature, cut = np.zeros(inner, np.int64), np.full(inner, np.inf)
         at = np.zeros(n, np.int64)

@@ -8,13 +8,17 @@ the set of kept nodes with the highest total log odds among the consistent
 ones, in which a kept node's ancestors are kept and nothing below a dropped
 node is: one pass up the tree and one down.
 
-Training uses at most ``max_pages`` pages of the table, those with the least
-hashed ids (a documented bound), whose ``article`` elements serve as labels,
-together with layouts drawn by rule, in which the main text stands in other
-elements and beside the other parts that pages have.  Each of both is half of the total weight.
+Training uses at most ``max_pages`` pages of the table (a documented bound), of
+those of at most ``max_chars`` characters the ones whose hashes are least.  They
+are taken whole, and their ``article`` elements serve as labels.  With them go
+layouts drawn by rule, in which the main text stands in other elements and
+beside the other parts that pages have.  Either source has half of the total
+weight, so neither outvotes the other.
 
 Nulls are empty pages; they and pages without main text give the empty text.
-Repeated rows are extracted each on its own.  Nothing of a text is cut off.
+Repeated rows are extracted each on its own, very long pages as whole, and an
+empty table gives an empty result, from trees of the layouts.  Other columns
+are not read, whatever their names.  Nothing of a text is cut off.
 """
 
 from __future__ import annotations
@@ -32,7 +36,7 @@ from pyspark.sql import functions as F
 
 from plinth.llm.boosting import BoostedTrees, fit_trees
 
-MAX_PAGES, LAYOUTS = 500, 500
+MAX_PAGES, MAX_CHARS, LAYOUTS = 500, 16_384, 500
 
 # Names of HTML elements.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -352,36 +356,42 @@ def layout(seed: int) -> str:
     return f"<html><head><title>{phrase(2, 8)}</title><style>p{{}}</style></head><body>{body}{foot}</body></html>"
 
 
-def fit(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", max_pages: int = MAX_PAGES, layouts: int = LAYOUTS) -> BoostedTrees:
-    """Trees from the features of a bounded sample's nodes; features are made where the pages are."""
+def fit(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", max_pages: int = MAX_PAGES, max_chars: int = MAX_CHARS, layouts: int = LAYOUTS) -> BoostedTrees:
+    """Trees from the features of a bounded sample's nodes; features are made where the pages are.
+
+    The sample's rows are put in an order of their own before training, so the model doesn't depend on partitions.
+    """
+
+    def packed(key, page, wanted):
+        nodes = ordered(parse(page))
+        return key, matrix(node_rows(nodes)).tobytes(), wanted(nodes).tobytes()
+
+    def batch(found):
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*found) if found else [[]] * 3, (pa.int64(), pa.binary(), pa.binary()))], names=["key", "x", "y"])
 
     def rows(batches):
         for b in batches:
-            x, y = [], []
-            for t in b.column(0):
-                nodes = ordered(parse(t.as_py()))
-                x.append(matrix(node_rows(nodes)))
-                y.append(article_labels(nodes))
-            x, y = np.concatenate(x), np.concatenate(y)
-            yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.list_(pa.float64())), pa.array(y)], names=["x", "y"])
-
-    spark = pages.sparkSession
-    chosen = pages.where(F.col(id_col).isNotNull() & F.contains(F.col(html_col), F.lit("<article"))).select(F.xxhash64(id_col).alias("h"), id_col).orderBy("h", id_col).limit(max_pages).select(id_col)
-    sample = pages.join(F.broadcast(chosen), id_col, "left_semi").select(F.substring(html_col, 1, 1 << 20))
-    own = [(r.x, r.y) for r in sample.mapInArrow(rows, "x array<double>, y double").limit(100 * max_pages).collect()]
-    drawn = spark.range(0, layouts, 1, 8).select(F.col("id"))
+            yield batch([packed(k.as_py(), t.as_py(), article_labels) for k, t in zip(b.column(0), b.column(1))])
 
     def drawn_rows(batches):
         for b in batches:
-            for k in b.column(0).to_pylist():
-                nodes = ordered(parse(layout(k)))
-                y = _labels(nodes, lambda n: _below(n, lambda up: "data-main" in up.attrs))
-                yield pa.RecordBatch.from_arrays([pa.array(list(matrix(node_rows(nodes))), pa.list_(pa.float64())), pa.array(y)], names=["x", "y"])
-
-    other = [(r.x, r.y) for r in drawn.mapInArrow(drawn_rows, "x array<double>, y double").collect()]
-    x = np.array([r[0] for r in own + other], float).reshape(-1, N_FEATURES)
-    y = np.array([r[1] for r in own + other], float)
-    return fit_trees(x, y, rounds=60, depth=5)
+            yield batch([packed(k, layout(k), lambda nodes: _labels(nodes, lambda n: _below(n, lambda up: "data-main" in up.attrs))) for k in b.column(0).to_pylist()])
+
+    def gathered(source, of):
+        found = sorted((r.key, bytes(r.x), bytes(r.y)) for r in source.mapInArrow(of, "key long, x binary, y binary").collect())
+        x = np.frombuffer(b"".join(r[1] for r in found)).reshape(-1, N_FEATURES)
+        return x, np.frombuffer(b"".join(r[2] for r in found))
+
+    spark = pages.sparkSession
+    fits = F.col(id_col).isNotNull() & F.contains(F.col(html_col), F.lit("<article")) & (F.length(html_col) <= max_chars)
+    key = F.xxhash64(F.col(id_col), F.col(html_col))
+    # keys first, so that no page but the chosen ones leaves its task
+    chosen = pages.where(fits).select(key.alias("key")).distinct().orderBy("key").limit(max_pages)
+    sample = pages.where(fits).select(key.alias("key"), F.col(html_col).alias("html")).join(F.broadcast(chosen), "key", "left_semi").dropDuplicates(["key"])
+    (x, y), (x2, y2) = gathered(sample, rows), gathered(spark.range(0, layouts, 1, 8), drawn_rows)
+    n, m = len(y), len(y2)
+    weights = np.concatenate([np.full(n, (n + m) / (2 * n) if m else 1.0) if n else np.zeros(0), np.full(m, (n + m) / (2 * m) if n else 1.0) if m else np.zeros(0)])
+    return fit_trees(np.concatenate([x, x2]), np.concatenate([y, y2]), rounds=60, depth=5, weights=weights)
 
 
 def extract(pages: DataFrame, model: BoostedTrees, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

@@ -60,3 +60,14 @@ def test_extraction(spark):
         n = np.array([len(x.text) for x in nodes])
         shares.append(2 * n[keep & y].sum() / max(1, n[keep].sum() + n[y].sum()))
     assert np.mean(shares) > 0.9
+
+
+def test_model_does_not_depend_on_partitions(spark):
+    """Whole pages of a sample chosen by hash, in an order of their own; pages past the bound train nothing."""
+    rows = [(k, f"u{k}", PAGE.format(ARTICLE.replace("title", f"title{k}" * (1 + k % 3)))) for k in range(60)]
+    rows += [(100, "long", PAGE.format("<article>" + "<p>Word.</p>" * 3000 + "</article>"))]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    models = [h.fit(d, max_pages=40, layouts=40) for d in (df.repartition(1), df.repartition(13), df.where("page_id < 100"))]
+    for m in models[1:]:
+        assert all((a == b).all() for x, y in ((models[0].features, m.features), (models[0].cuts, m.cuts), (models[0].leaves, m.leaves)) for a, b in zip(x, y))
+    assert h.fit(df.limit(0), layouts=40).features
