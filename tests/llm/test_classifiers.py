@@ -69,7 +69,7 @@ def test_noisy_or_finds_the_sentence(spark):
     docs, labels = _docs()
     df, lab = _frames(spark, docs, labels)
     model = toxicity.fit(df, lab)
-    assert {"zzfool", "zzscum"} <= set(model.index)
+    assert {"|zzfool|", "|zzscum|"} <= set(model.index)
     found = {r.doc_id: r.offending for r in toxicity.toxicity_scores(df, lab, model=model).collect()}
     for i, t, _ in docs:
         for s in found[i]:
@@ -81,3 +81,28 @@ def test_statistics_are_finite():
     for t in ("", " ", "a", "A" * 10, "é" * 10, "日本", "1\n2\n3", "\x00", "|||", "x" * 200_000):
         v = quality.text_statistics(t)
         assert len(v) == len(quality.FEATURES) and np.isfinite(v).all()
+
+
+def test_toxic_stems_count_in_words_never_seen(spark):
+    """Beginnings of words carry over to compounds; a very long text is scored to its end; other columns don't matter."""
+    import random
+
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(3, 8)))
+    sentence = lambda n: " ".join(word() for _ in range(n)) + ". "
+    docs = [(i, "".join(sentence(8) for _ in range(5)) + (f"{word()} vilex{word()} vilex{word()} {word()}. " if i % 5 == 2 else "")) for i in range(800)]
+    lab = spark.createDataFrame([(i, int(i % 5 == 2)) for i, _ in docs], "doc_id long, toxic int")
+    df = spark.createDataFrame([(*d, 0.5, "x") for d in docs], "doc_id long, text string, score double, label string")
+    model = toxicity.fit(df, lab)
+    got = toxicity.toxicity_scores(df, lab, model=model).collect()
+    out = [(r.doc_id % 5 == 2, r.predicted) for r in got if r.held_out]
+    assert len(out) > 100 and sum(a != b for a, b in out) <= 0.03 * len(out)
+    long = sentence(8) * 20_000
+    ends = spark.createDataFrame([(1, long), (2, long + "a vilexab vilexcd b.")], "doc_id long, text string")
+    assert {r.doc_id: r.predicted for r in toxicity.toxicity_scores(ends, lab, model=model).collect()} == {1: 0, 2: 1}
+
+
+def test_best_threshold():
+    p = np.array([0.9, 0.8, 0.7, 0.4, 0.4, 0.1])
+    assert 0.4 < toxicity.best_threshold(p, np.array([1, 1, 1, 0, 0, 0])) < 0.7
+    assert 0.1 < toxicity.best_threshold(p, np.array([1, 1, 1, 1, 1, 0])) < 0.4
