@@ -13,7 +13,10 @@ Reading.  The index comes first: selected records are sorted by file and
 offset, neighbouring byte ranges are coalesced into single reads of bounded
 size, and only these bytes are fetched.
 
-A null page is an empty payload, which is a payload like any other.  Rows that
+URLs come back as they were: one that a record's target field can't hold has a
+second field.  A null page is an empty payload, which is a payload like any
+other; very long pages are records like others.  An empty table gives an index
+without rows and an empty result; other columns are not read.  Rows that
 repeat a page id with the same payload are all responses if that id is the
 least.  Null ids and URLs are left out of the record and come back null; among
 equal payloads a null id is never the least unless all are null.
@@ -30,13 +33,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plinth.session import checkpointed, shared_path
+from plinth.session import broadcast_if_small, checkpointed, shared_path
 
-#: Bytes after which a task begins a new archive; of one read; of a gap that a read may pass over; of the part of a file that one task reads.
-ARCHIVE_BYTES, READ_BYTES, GAP_BYTES, TASK_BYTES = 256 << 20, 4 << 20, 64 << 10, 32 << 20
+#: Bytes after which a task begins a new archive; of one read; of a gap that a read may pass over; that one task reads, about.
+ARCHIVE_BYTES, READ_BYTES, GAP_BYTES, TASK_BYTES = 256 << 20, 4 << 20, 64 << 10, 16 << 20
 #: Fixed values of the format.
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "1970-01-01T00:00:00Z"
+#: What stays as it is in a target, escapes included; the field for a URL with other characters.
+ALLOWED, AS_GIVEN = ":/?#[]@!$&'()*+,;=-._~%", "X-Target-As-Given"
 INDEX = "file string, offset long, length long, page_id long, url string, digest string, record_type string"
 
 
@@ -57,7 +62,10 @@ def record(page_id, url, payload: bytes, digest: str, refers_to, size: int) -> b
     if page_id is not None:
         head.append(f"WARC-Record-ID: {_urn(page_id)}")
     if url is not None:
-        head.append(f"WARC-Target-URI: {quote(url, safe=':/?#[]@!$&()*+,;=-._~%')}")
+        target = quote(url, safe=ALLOWED)
+        head.append(f"WARC-Target-URI: {target}")
+        if target != url:  # characters that a URI can't have; the URL as it was stands in a field of its own
+            head.append(f"{AS_GIVEN}: {quote(url, safe='')}")
     head.append(f"WARC-Payload-Digest: sha1:{digest}")
     if refers_to is not None:
         head += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {_urn(refers_to)}"]
@@ -73,8 +81,9 @@ def parse(data: bytes) -> dict:
     block = rest[: int(fields["Content-Length"])]
     http, _, payload = block.partition(b"\r\n\r\n")
     size = next(int(x.split(b": ")[1]) for x in http.split(b"\r\n") if x.lower().startswith(b"content-length"))
+    url = unquote(fields[AS_GIVEN]) if AS_GIVEN in fields else fields.get("WARC-Target-URI")
     number = lambda urn: int(urn[len("<urn:x-page:") : -1]) if urn else None
-    return {"page_id": number(fields.get("WARC-Record-ID")), "url": fields.get("WARC-Target-URI"), "record_type": fields["WARC-Type"], "digest": fields["WARC-Payload-Digest"][5:], "refers_to": number(fields.get("WARC-Refers-To")), "payload": payload, "size": size}
+    return {"page_id": number(fields.get("WARC-Record-ID")), "url": url, "record_type": fields["WARC-Type"], "digest": fields["WARC-Payload-Digest"][5:], "refers_to": number(fields.get("WARC-Refers-To")), "payload": payload, "size": size}
 
 
 def _base32(hexdigest: str) -> str:
@@ -87,7 +96,7 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), payload.alias("html"), F.sha1(payload).alias("sha1"))
     same = checkpointed(rows.groupBy("sha1").agg(F.min("page_id").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1").select("sha1", "least"))
     revisit = F.col("least").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("least"))
-    rows = rows.join(same, "sha1", "left").select("page_id", "url", F.when(~revisit, F.col("html")).alias("html"), "sha1", F.when(revisit, F.col("least")).alias("refers_to"), F.octet_length("html").cast("long").alias("size"))
+    rows = rows.join(broadcast_if_small(same), "sha1", "left").select("page_id", "url", F.when(~revisit, F.col("html")).alias("html"), "sha1", F.when(revisit, F.col("least")).alias("refers_to"), F.octet_length("html").cast("long").alias("size"))
 
     def write(batches):
         from pyspark import TaskContext
@@ -160,12 +169,13 @@ def read_records(index: DataFrame, folder: str) -> DataFrame:
                             found.append(r)
                         k += n
                         column = lambda key, kind: pa.array([r[key] for r in found], kind)  # noqa: E731, B023
-                        urls = [None if r["url"] is None else unquote(r["url"]) for r in found]
-                        yield pa.RecordBatch.from_arrays([column("page_id", pa.int64()), pa.array(urls, pa.string()), column("record_type", pa.string()), column("refers_to", pa.int64()), column("size", pa.int64()), column("digest", pa.string()), pa.array([r["payload"] if r["record_type"] == "response" else None for r in found], pa.binary())], names=["page_id", "url", "record_type", "refers_to", "payload_bytes", "payload_digest", "payload"])
+                        yield pa.RecordBatch.from_arrays([column("page_id", pa.int64()), column("url", pa.string()), column("record_type", pa.string()), column("refers_to", pa.int64()), column("size", pa.int64()), column("digest", pa.string()), pa.array([r["payload"] if r["record_type"] == "response" else None for r in found], pa.binary())], names=["page_id", "url", "record_type", "refers_to", "payload_bytes", "payload_digest", "payload"])
                 lo = hi
 
-    part = F.floor(F.col("offset") / TASK_BYTES)
-    sought = index.select("file", "offset", "length").repartition("file", part).sortWithinPartitions("file", "offset")
+    # tasks by bytes to read: the index itself is so small that Spark would put it into one
+    total, n = index.agg(F.sum("length"), F.count(F.lit(1))).first()
+    tasks = max(1, -(-(total or 0) // TASK_BYTES), min(n, index.sparkSession.sparkContext.defaultParallelism))
+    sought = index.select("file", "offset", "length").repartitionByRange(int(tasks), "file", "offset").sortWithinPartitions("file", "offset")
     return sought.mapInArrow(read, "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary")
 
 
