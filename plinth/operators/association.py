@@ -4,25 +4,46 @@ from __future__ import annotations
 
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from plinth.operators.aggregates import running_totals
 
 
 def pearson(df: DataFrame, columns, places: int = 6) -> DataFrame:
-    """``a, b, r`` for each pair, over the rows where both are there; a constant gives 0."""
-    pairs = list(combinations(columns, 2))
-
-    def value(a, b):  # F.corr divides by zero on a constant
-        x, y = F.col(a).cast("double"), F.col(b).cast("double")
-        spread = F.stddev_pop(F.when(y.isNotNull(), x)) * F.stddev_pop(F.when(x.isNotNull(), y))
-        return F.covar_pop(x, y) / F.nullif(spread, F.lit(0.0))
-
-    one = df.agg(*(value(a, b).alias(f"{k}") for k, (a, b) in enumerate(pairs)))
-    r = lambda k: F.round(F.coalesce(F.nanvl(F.col(f"`{k}`"), F.lit(0.0)), F.lit(0.0)), places)
-    return one.select(F.explode(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), r(k).alias("r")) for k, (a, b) in enumerate(pairs)))).alias("p")).select("p.*")
+    """``a, b, r`` for each pair, over the rows where both are there; a constant gives 0.
+
+    One pass: each partition gives a matrix of sums over the rows that both columns of a pair have.
+    """
+    columns, d = list(columns), len(columns)
+    rows = df.select(*(F.col(c).cast("double").alias(c) for c in columns))
+    low = [v or 0.0 for v in rows.agg(*(F.min(c) for c in columns)).first()]  # sums of differences from it don't cancel
+
+    def partial(batches):
+        sums = np.zeros((4, d, d))
+        for b in batches:
+            x = np.column_stack([c.to_numpy(zero_copy_only=False).astype(float) for c in b.columns]) - low
+            there = (~np.isnan(x)).astype(float)
+            x = np.nan_to_num(x, nan=0.0)
+            for k, (p, q) in enumerate(((there, there), (x, there), (x * x, there), (x, x))):
+                sums[k] += p.T @ q
+        i, j = np.indices((d, d))
+        yield pa.RecordBatch.from_arrays([pa.array(v.reshape(-1)) for v in (i, j, *sums)], names=["i", "j", "n", "x", "xx", "xy"])
+
+    total = np.zeros((4, d, d))
+    shape = "i long, j long, n double, x double, xx double, xy double"
+    for r in rows.mapInArrow(partial, shape).groupBy("i", "j").agg(*(F.sum(c).alias(c) for c in ("n", "x", "xx", "xy"))).collect():  # a row for each pair of columns
+        total[:, r.i, r.j] = r.n, r.x, r.xx, r.xy
+    n, x, xx, xy = total
+    n = np.maximum(n, 1.0)
+    spread = xx / n - (x / n) ** 2
+    spread = np.where(spread > 1e-13 * xx / n, spread, 0.0)  # what rounding leaves of a constant
+    scale = np.sqrt(spread * spread.T)
+    r = np.divide(xy / n - x * x.T / n**2, scale, out=np.zeros((d, d)), where=scale > 0)
+    out = [(columns[i], columns[j], round(float(r[i, j]), places) + 0.0) for i, j in combinations(range(d), 2)]
+    return df.sparkSession.createDataFrame(out, "a string, b string, r double")
 
 
 def pair_counts(df: DataFrame, pairs) -> DataFrame:
@@ -57,7 +78,8 @@ def cramers_v(df: DataFrame, pairs, places: int = 6) -> DataFrame:
 
 def theils_u(df: DataFrame, pairs, places: int = 6) -> DataFrame:
     """``x, y, u``: how much of x's entropy y tells; 1 if x has none.  Not symmetric: name pairs in both orders."""
-    m = _margins(pair_counts(df, pairs)).withColumn("t", F.sum("n").over(Window.partitionBy("x", "y")))
+    counts = pair_counts(df, pairs)
+    m = _margins(counts).join(F.broadcast(counts.groupBy("x", "y").agg(F.sum("n").alias("t"))), ["x", "y"])  # a row for each pair of columns
     p = F.col("n") / F.col("t")
     per = m.groupBy("x", "y").agg(F.sum(p * F.ln(F.col("n") * F.col("t") / (F.col("na") * F.col("nb")))).alias("mi"), (-F.sum(p * F.ln(F.col("na") / F.col("t")))).alias("h"))
     return per.select("x", "y", F.round(F.when(F.abs("h") < 1e-12, 1.0).otherwise(F.col("mi") / F.col("h")), places).alias("u"))

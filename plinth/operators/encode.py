@@ -7,7 +7,13 @@ from pyspark.sql import functions as F
 
 
 def hashed(key: str, seed: int, parts: int) -> Column:
-    return F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(parts)).cast("int")
+    """A number below ``parts`` from the first 32 bits of the key's MD5, which other engines make alike."""
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(key).cast("string"), F.lit(""))))
+    return (F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % parts).cast("int")
+
+
+def hashed_sql(key: str, seed: int, parts: int) -> str:
+    return f"CAST(CAST('0x' || substr(md5('{seed}:' || coalesce(CAST({key} AS VARCHAR), '')), 1, 8) AS BIGINT) % {parts} AS INTEGER)"
 
 
 def holdout(df: DataFrame, key: str, train_percent: int = 80, seed: int = 42, name: str = "is_train") -> DataFrame:
@@ -27,14 +33,16 @@ def target_encoded(df: DataFrame, column: str, target: str, fold: str, name: str
     """
     y = F.col(target)
     per = df.where(y.isNotNull()).groupBy(column, fold).agg(F.count(F.lit(1)).alias("n"), F.sum(y).alias("s"), F.sum(y * y).alias("q"))
-    whole = per.groupBy(column).agg(*(F.sum(c).alias(f"{c}_all") for c in "nsq"))
+    # a category's sums, and those by fold as a small map, so that rows are joined once
+    folds_of = F.map_from_entries(F.collect_list(F.struct(fold, F.struct("n", "s", "q")))).alias("folds")
+    whole = per.where(F.col(fold).isNotNull()).groupBy(column).agg(*(F.sum(c).alias(f"{c}_all") for c in "nsq"), folds_of)
     by_fold = per.groupBy(fold).agg(*(F.sum(c).alias(f"{c}_fold") for c in "nsq"))
     every = per.agg(*(F.sum(c).alias(f"{c}_total") for c in "nsq"))
     by_fold = by_fold.crossJoin(F.broadcast(every)).select(F.col(fold).alias("_fold"), *((F.col(f"{c}_total") - F.col(f"{c}_fold")).alias(f"g_{c}") for c in "nsq"))
     out = df.join(F.broadcast(by_fold), F.col(fold) == F.col("_fold"), "left").drop("_fold")
-    out = out.join(per.select(F.col(column).alias("_c"), F.col(fold).alias("_f"), "n", "s", "q"), F.col(column).eqNullSafe(F.col("_c")) & (F.col(fold) == F.col("_f")), "left").drop("_c", "_f")
     out = out.join(whole.withColumnRenamed(column, "_c"), F.col(column).eqNullSafe(F.col("_c")), "left").drop("_c")
-    rest = {c: F.coalesce(F.col(f"{c}_all"), F.lit(0)) - F.coalesce(F.col(c), F.lit(0)) for c in "nsq"}
+    own = F.col("folds")[F.col(fold)]
+    rest = {c: F.coalesce(F.col(f"{c}_all"), F.lit(0)) - F.coalesce(own[c], F.lit(0)) for c in "nsq"}
     g_mean = F.col("g_s") / F.col("g_n")
     tau = F.col("g_q") / F.col("g_n") - g_mean * g_mean
     mean = rest["s"] / F.nullif(rest["n"], F.lit(0))

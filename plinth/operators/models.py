@@ -7,11 +7,12 @@ from itertools import combinations
 import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.evaluation import RegressionEvaluator
-from pyspark.ml.feature import PCA, CountVectorizer, RegexTokenizer, VectorAssembler
+from pyspark.ml.feature import PCA, CountVectorizerModel, RegexTokenizer, VectorAssembler
 from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from plinth.operators.encode import gram
 
@@ -75,18 +76,101 @@ def tuned(df: DataFrame, estimator, grid: dict, fold: str = "fold", k: int = 5,
     return model.bestModel, df.sparkSession.createDataFrame(rows, "parameters string, mse double").orderBy("mse", "parameters")
 
 
+def parameters(estimator) -> str:
+    """What was set on an estimator, by name."""
+    return ", ".join(sorted(f"{p.name}={v}" for p, v in estimator._paramMap.items()))  # noqa: SLF001
+
+
+def tuned_holdout(df: DataFrame, estimator, grid: dict, train: str = "is_train", y: str = "y") -> DataFrame:
+    """Every point of a grid fitted on the training rows, with its measures on the others; the best comes first."""
+    b = ParamGridBuilder()
+    for name, values in grid.items():
+        b = b.addGrid(getattr(estimator, name), values)
+    points, e = b.build(), RegressionEvaluator(labelCol=y)
+    fit_on, test = df.where(train), df.where(~F.col(train))
+    rows = []
+    for point in points:
+        predictions = estimator.fit(fit_on, point).transform(test).select(y, "prediction")
+        named = ", ".join(f"{p.name}={v}" for p, v in sorted(point.items(), key=lambda x: x[0].name))
+        rows.append((named, *(round(float(e.evaluate(predictions, {e.metricName: m})), 4) for m in ("rmse", "mae", "r2"))))
+    return df.sparkSession.createDataFrame(rows, "parameters string, rmse double, mae double, r2 double").orderBy("rmse", "parameters")
+
+
+def knn_grid(df: DataFrame, key: str, vector: str, y: str, asked: Column, ks, places: int = 6) -> DataFrame:
+    """``k, p, weights, mse``: mean of the k nearest, plain or by inverse distance, for rows ``asked`` against all others.
+
+    The neighbours of each metric are ranked once, up to the largest k.  An exact copy has all the weight.
+    """
+    queries = df.where(asked).select(F.col(key).alias("q"), F.col(vector).alias("qv"), F.col(y).alias("qy"))
+    gaps = F.zip_with("qv", vector, lambda a, b: F.abs(a - b))
+    total = lambda f: F.aggregate("gaps", F.lit(0.0), lambda s, x: s + f(x))
+    pairs = df.crossJoin(queries).where(F.col(key) != F.col("q")).select("q", "qy", key, y, gaps.alias("gaps"))
+    pairs = pairs.select("q", "qy", key, y, F.explode(F.array(*(F.struct(F.lit(p).alias("p"), F.round(d, 9).alias("d")) for p, d in ((1, total(lambda x: x)), (2, F.sqrt(total(lambda x: x * x))))))).alias("m")).select("q", "qy", key, y, "m.*")
+    near = pairs.withColumn("r", F.row_number().over(Window.partitionBy("q", "p").orderBy("d", key))).where(F.col("r") <= max(ks))
+    near = near.withColumn("k", F.explode(F.filter(F.array(*(F.lit(k) for k in ks)), lambda k: k >= F.col("r"))))
+    copy = (F.col("d") == 0).cast("double")
+    by = near.groupBy("k", "p", "q").agg(F.first("qy").alias("qy"), F.avg(y).alias("uniform"), F.sum(copy * F.col(y)).alias("cy"), F.sum(copy).alias("c"), F.sum(F.when(copy == 0, F.col(y) / F.col("d"))).alias("wy"), F.sum(F.when(copy == 0, 1 / F.col("d"))).alias("w"))
+    by = by.withColumn("distance", F.when(F.col("c") > 0, F.try_divide("cy", "c")).otherwise(F.try_divide("wy", "w")))
+    long = by.unpivot(["k", "p", "q", "qy"], ["uniform", "distance"], "weights", "prediction")
+    return long.groupBy("k", "p", "weights").agg(F.round(F.avg(F.pow(F.col("qy") - F.col("prediction"), 2)), places).alias("mse")).orderBy("mse", "k", "p", "weights")
+
+
 def fold_errors(df: DataFrame, estimator, fold: str = "fold", k: int = 5, y: str = "y") -> list[float]:
     """RMSE on each fold of a model fitted on the others."""
     e = RegressionEvaluator(labelCol=y, metricName="rmse")
     return [float(e.evaluate(estimator.fit(df.where(F.col(fold) != i)).transform(df.where(F.col(fold) == i)))) for i in range(k)]
 
 
+def fold_grams(df: DataFrame, columns, y: str = "y", fold: str = "fold") -> dict[int, np.ndarray]:
+    """For each fold the sums of products of (1, columns, y), centred on the means of all rows: two aggregations, whatever is fitted from them."""
+    names = [*columns, y]
+    means = df.agg(*(F.avg(c).alias(c) for c in names)).first()
+    z = [F.lit(1.0), *(F.col(c) - F.lit(means[c]) for c in names)]
+    pairs = [(i, j) for i in range(len(z)) for j in range(i, len(z))]
+    out = {}
+    for r in df.groupBy(fold).agg(*(F.sum(z[i] * z[j]).alias(f"g{k}") for k, (i, j) in enumerate(pairs))).collect():  # a row for each fold
+        out[r[0]] = g = np.zeros((len(z), len(z)))
+        for (i, j), v in zip(pairs, r[1:]):
+            g[i, j] = g[j, i] = v
+    return out
+
+
+def linear_errors(grams: dict[int, np.ndarray], at: list[int]) -> list[float]:
+    """RMSE on each fold of least squares with an intercept on the columns ``at``, fitted to the other folds."""
+    x, errors = [0, *(1 + i for i in at)], []
+    for i in sorted(grams):
+        g = sum(m for k, m in grams.items() if k != i)
+        scale = np.sqrt(np.maximum(np.diag(g)[x], 1e-300))
+        beta = np.linalg.pinv(g[np.ix_(x, x)] / np.outer(scale, scale), rcond=1e-10, hermitian=True) @ (g[x, -1] / scale) / scale
+        h = grams[i]
+        errors.append(float(np.sqrt(max(0.0, h[-1, -1] - 2 * beta @ h[x, -1] + beta @ h[np.ix_(x, x)] @ beta) / h[0, 0])))
+    return errors
+
+
+def compare_linear(df: DataFrame, configs: dict[str, list[str]], y: str = "y", fold: str = "fold") -> DataFrame:
+    """``compare_features`` of linear models, all from one pass over the rows."""
+    columns = sorted({c for cs in configs.values() for c in cs})
+    grams, rows = fold_grams(df, columns, y, fold), []
+    for name, cs in configs.items():
+        errors = linear_errors(grams, [columns.index(c) for c in cs])
+        rows += [(name, i, round(e, 4), round(float(np.mean(errors)), 4), round(float(np.std(errors)), 4)) for i, e in zip(sorted(grams), errors)]
+    return df.sparkSession.createDataFrame(rows, "config string, fold int, rmse double, mean_rmse double, std_rmse double")
+
+
+def lofo_linear(df: DataFrame, columns, y: str = "y", fold: str = "fold") -> DataFrame:
+    """``lofo`` of a linear model, all from one pass over the rows."""
+    columns, grams = list(columns), fold_grams(df, columns, y, fold)
+    error = lambda cs: float(np.mean(linear_errors(grams, [columns.index(c) for c in cs])))
+    rows = [(c, round(error([x for x in columns if x != c]) - error(columns), 4) + 0.0) for c in columns]
+    return df.sparkSession.createDataFrame(rows, "feature string, importance double").orderBy(F.desc("importance"), "feature")
+
+
 def compare_features(df: DataFrame, configs: dict[str, list[str]], estimator, fold: str = "fold", k: int = 5, y: str = "y") -> DataFrame:
     """For each named list of features the errors by fold, their mean and population deviation."""
     rows = []
     for name, columns in configs.items():
         errors = fold_errors(assembled(df, columns).select("features", y, fold), estimator, fold, k, y)
-        rows += [(name, i, e, float(np.mean(errors)), float(np.std(errors))) for i, e in enumerate(errors)]
+        rows += [(name, i, round(e, 4), round(float(np.mean(errors)), 4), round(float(np.std(errors)), 4)) for i, e in enumerate(errors)]
     return df.sparkSession.createDataFrame(rows, "config string, fold int, rmse double, mean_rmse double, std_rmse double")
 
 
@@ -94,7 +178,7 @@ def lofo(df: DataFrame, columns, estimator, fold: str = "fold", k: int = 5, y: s
     """How much the cross-validated error grows without each feature."""
     cv = lambda cs: float(np.mean(fold_errors(assembled(df, cs).select("features", y, fold), estimator, fold, k, y)))
     base = cv(columns)
-    return df.sparkSession.createDataFrame([(c, cv([x for x in columns if x != c]) - base) for c in columns], "feature string, importance double").orderBy(F.desc("importance"))
+    return df.sparkSession.createDataFrame([(c, round(cv([x for x in columns if x != c]) - base, 4) + 0.0) for c in columns], "feature string, importance double").orderBy(F.desc("importance"))
 
 
 def importances(model, columns) -> DataFrame:
@@ -135,7 +219,7 @@ def vif(df: DataFrame, columns) -> DataFrame:
     g = gram_arrays(df.dropna(subset=list(columns)), list(columns))
     v = np.diag(g) * np.diag(np.linalg.pinv(g))
     label = lambda x: "low" if x < 5 else "moderate" if x < 10 else "high"
-    return df.sparkSession.createDataFrame([(c, float(x), label(x)) for c, x in zip(columns, v)], "feature string, vif double, verdict string").orderBy(F.desc("vif"))
+    return df.sparkSession.createDataFrame([(c, round(float(x), 4), label(x)) for c, x in zip(columns, v)], "feature string, vif double, verdict string").orderBy(F.desc("vif"))
 
 
 def pls(g: np.ndarray, k: int) -> np.ndarray:
@@ -204,10 +288,15 @@ def inference(model, columns) -> DataFrame:
     return SparkSession.active().createDataFrame(rows, "feature string, coefficient double, std_error double, t double, p double, r2 double")
 
 
-def text_tokens(df: DataFrame, column: str, name: str = "tokens", size: int = 1000) -> DataFrame:
+def text_tokens(df: DataFrame, column: str, name: str = "tokens", most: int = 10_000):
+    """Rows with a count vector over all words of the column, those words in the vector's order, and in how many rows each is; more words than ``most`` are an error."""
     words = RegexTokenizer(inputCol="_text", outputCol="_words", pattern=r"\W+", minTokenLength=1)
-    rows = df.withColumn("_text", F.coalesce(column, F.lit("")))
-    return Pipeline(stages=[words, CountVectorizer(inputCol="_words", outputCol=name, vocabSize=size)]).fit(rows).transform(rows).drop("_text", "_words")
+    rows = words.transform(df.withColumn("_text", F.coalesce(column, F.lit(""))))
+    in_rows = {r.word: r.n for r in rows.select(F.explode(F.array_distinct("_words")).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n")).limit(most + 1).collect()}
+    if len(in_rows) > most:
+        raise ValueError(f"{column} has more than {most} words; a vector over all of them isn't a feature")
+    known = sorted(in_rows)
+    return CountVectorizerModel.from_vocabulary(known or [""], "_words", name).transform(rows).drop("_text", "_words"), known, in_rows
 
 
 def linear_contributions(df: DataFrame, coefficients: dict[str, float]) -> DataFrame:

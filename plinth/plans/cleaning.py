@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from plinth.functions import scores, text
 from plinth.plans.registry import query
+from plinth.sources import listings as source
 from plinth.sources.listings import PARTS, STATES, listings, raw_listings
 
 MONTH_CASE = " ".join(f"WHEN '{m}' THEN {k}" for k, m in enumerate(text.MONTHS, 1))
@@ -84,17 +85,44 @@ def damage_flags(spark, sf):
     return raw_listings(spark, sf).select("ad_id", *text.damage_flags("damage_text"))
 
 
-#: Typed column by raw column: the part of the mapping that the raw view carries.
+def _same(c):
+    return F.col(c)
+
+
+_NUMBER = "TRY_CAST(nullif(replace(regexp_replace({c}, '[^0-9,]', '', 'g'), ',', '.'), '') AS DOUBLE)"
+#: The typed listing table: for each column its raw column, the expression, and the same in SQL.
 SILVER = {
-    "ad_id": lambda: text.first_integer("ad_text"), "price": lambda: text.number("price_text"), "listing_date": lambda: text.turkish_date("date_text"), "search_date": lambda: text.run_timestamp("run_label").cast("date"),
-    "scraped_at": lambda: text.iso_timestamp("scraped_text"), "kb_trade_available": lambda: text.equals("trade_text", "Evet"), "is_heavy_damaged": lambda: text.contains_any("note_text", text.HEAVY_PHRASES), "count_changed": lambda: text.or_zero("changed_count").cast("smallint"),
+    "ad_id": ("ad_text", text.first_integer, "TRY_CAST(nullif(regexp_extract(ad_text, '([0-9]+)', 1), '') AS BIGINT)"),
+    "listing_date": ("date_text", text.turkish_date, f"(SELECT CASE WHEN len(s) = 3 THEN TRY_CAST(s[3] || '-' || lpad(CAST(CASE s[2] {MONTH_CASE} END AS VARCHAR), 2, '0') || '-' || lpad(s[1], 2, '0') AS DATE) END FROM (SELECT string_split(trim(date_text), ' ') AS s))"),
+    "price": ("price_text", text.number, _NUMBER.format(c="price_text")),
+    **{n: (f"raw_{n}", _same, f"raw_{n}") for n in source.TEXT_LABELS},
+    **{n: (f"raw_{n}", text.number, _NUMBER.format(c=f"raw_{n}")) for n in source.NUMBER_LABELS},
+    **{n: (f"raw_{n}", text.or_zero, f"coalesce(raw_{n}, 0)") for n in source.COUNT_LABELS},
+    "count_changed": ("changed_count", text.or_zero, "coalesce(changed_count, 0)"),
+    "kb_is_heavy_damaged": ("raw_kb_is_heavy_damaged", lambda c: text.equals(c, "Evet"), "coalesce(raw_kb_is_heavy_damaged = 'Evet', false)"),
+    "kb_trade_available": ("raw_kb_trade_available", lambda c: text.equals(c, "Takasa Uygun"), "coalesce(raw_kb_trade_available = 'Takasa Uygun', false)"),
+    "gb_is_first_owner": ("raw_gb_is_first_owner", lambda c: F.coalesce(F.contains(c, F.lit("İlk Sahibi")), F.lit(False)), "coalesce(contains(raw_gb_is_first_owner, 'İlk Sahibi'), false)"),
+    "is_heavy_damaged": ("note_text", lambda c: text.contains_any(c, text.HEAVY_PHRASES), "coalesce(contains(lower(note_text), 'ağır hasar') OR contains(lower(note_text), 'agir hasar'), false)"),
+    "scraped_at": ("scraped_text", text.iso_timestamp, "TRY_CAST(scraped_text AS TIMESTAMP)"),
+    "search_date": ("run_label", lambda c: text.run_timestamp(c).cast("date"), "CAST(try_strptime(run_label, '%Y-%m-%d_%H-%M') AS DATE)"),
 }
+#: Raw columns that give four columns each: least, largest, middle, and whether there is a range.
+RANGES = {"engine_cc": "raw_engine_cc", "power_hp": "power_text"}
+
+
+def _silver_sql() -> str:
+    runs = ", ".join(f"list_transform(regexp_extract_all(replace({c}, '.', ''), '[0-9]+'), lambda x: CAST(x AS DOUBLE)) AS {n}_runs" for n, c in RANGES.items())
+    four = [e for n in RANGES for e in (f"list_min({n}_runs) AS {n}_low", f"list_max({n}_runs) AS {n}_up", f"(list_min({n}_runs) + list_max({n}_runs)) / 2 AS {n}_val", f"coalesce(len({n}_runs) > 1, false) AS {n}_is_range")]
+    flags = _damage_sql().removeprefix("SELECT ad_id, ").removesuffix(" FROM raw_listings")
+    return f"SELECT {', '.join([*(f'{e} AS {n}' for n, (_, _, e) in SILVER.items()), *four])}, {flags} FROM (SELECT *, {runs} FROM raw_listings)"
 
 
-@query("rename_project")
+@query("rename_project", _silver_sql())
 def rename_project(spark, sf):
-    power = text.range4("power_text")
-    return raw_listings(spark, sf).select(*(f().alias(n) for n, f in SILVER.items()), *(power[a].cast("int").alias(f"power_hp_{b}") for a, b in (("low", "low"), ("up", "up"), ("mid", "val"))), power["is_range"].alias("power_hp_is_range"), *text.damage_flags("damage_text"))
+    """All columns of the typed listing table."""
+    ranges = {n: text.range4(c) for n, c in RANGES.items()}
+    four = [r[a].alias(f"{n}_{b}") for n, r in ranges.items() for a, b in (("low", "low"), ("up", "up"), ("mid", "val"), ("is_range", "is_range"))]
+    return raw_listings(spark, sf).select(*(f(c).alias(n) for n, (c, f, _) in SILVER.items()), *four, *text.damage_flags("damage_text"))
 
 
 @query("derive_const_minus", "SELECT ad_id, 2026 - gb_year AS vehicle_age FROM listings")

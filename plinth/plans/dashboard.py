@@ -198,14 +198,6 @@ def agg_value_counts(spark, sf):
     return agg.value_counts(listings(spark, sf), "series").orderBy(F.desc("n"), "series")
 
 
-@query("agg_flag_totals", """
-    WITH f AS (SELECT coalesce(price > 90000, false) AS z, coalesce(kb_mileage > 45000, false) AS iso FROM listings)
-    SELECT CAST(count(*) FILTER (z) AS BIGINT) AS n_z, CAST(count(*) FILTER (iso) AS BIGINT) AS n_iso, CAST(count(*) FILTER (z OR iso) AS BIGINT) AS n_any FROM f""")
-def agg_flag_totals(spark, sf):
-    z, iso = F.coalesce(F.col("price") > 90000, F.lit(False)), F.coalesce(F.col("kb_mileage") > 45000, F.lit(False))
-    return listings(spark, sf).agg(agg.count_if(z).alias("n_z"), agg.count_if(iso).alias("n_iso"), agg.count_if(z | iso).alias("n_any"))
-
-
 # windows
 
 

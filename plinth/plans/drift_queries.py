@@ -42,7 +42,9 @@ def drift_flag(spark, sf):
     return assoc.drift(two_versions(spark, sf), COLUMNS, "side").select("feature", "drift_detected")
 
 
-@query("drift_versions")
+@query("drift_versions", f"""{_DRIFT}, n AS (SELECT feature, sqrt(CAST(sum(1 - side) AS DOUBLE) * sum(side) / count(*)) AS en FROM l GROUP BY feature), x AS (SELECT feature, ks, emd, emd / std AS e, (en + 0.12 + 0.11 / en) * ks AS x FROM k JOIN d USING (feature) JOIN n USING (feature)),
+    p AS (SELECT feature, any_value(ks) AS ks, any_value(emd) AS emd, any_value(e) AS e, greatest(0, least(1, sum(2 * pow(-1, j - 1) * exp(-2 * j * j * x * x)))) AS p FROM x, (SELECT unnest(range(1, 101)) AS j) GROUP BY feature)
+    SELECT feature, p < 0.05 AND e > 0.1 AS drift_detected, round_even(p, 5) AS p_value, round_even(ks, 4) AS ks_statistic, round_even(emd, 2) AS emd_score, round_even(e, 3) AS normalized_emd FROM p""")
 def drift_versions(spark, sf):
     return assoc.drift(two_versions(spark, sf), COLUMNS, "side")
 

@@ -11,6 +11,8 @@ from pyspark.sql.window import Window
 
 from plinth.functions import scores
 from plinth.operators import encode, evaluate, models
+from plinth.plans import least_squares as ls
+from plinth.plans.least_squares import REGULAR
 from plinth.plans.registry import query
 from plinth.session import checkpointed, shared_path
 from plinth.sources import io
@@ -35,12 +37,12 @@ def fitted(spark, sf, name, estimator):
     return models.as_row(spark, name, models.metrics(model.transform(df.where("not is_train"))))
 
 
-@query("split_holdout")
+@query("split_holdout", f"SELECT ad_id, {encode.hashed_sql('ad_id', 42, 100)} < 80 AS is_train FROM listings")
 def split_holdout(spark, sf):
     return encode.holdout(listings(spark, sf).select("ad_id"), "ad_id")
 
 
-@query("kfold_assign")
+@query("kfold_assign", f"SELECT ad_id, {encode.hashed_sql('ad_id', 42, 5)} AS fold FROM listings")
 def kfold_assign(spark, sf):
     return encode.folds(listings(spark, sf).select("ad_id"), "ad_id")
 
@@ -77,15 +79,27 @@ def fill_category_literal(spark, sf):
     return listings(spark, sf).select("ad_id", "model", "kb_fuel").fillna("Bilinmiyor")
 
 
-@query("encode_text_tokens")
+@query("encode_text_tokens", r"""
+    WITH t AS (SELECT coalesce(model, '') AS m, count(*) AS times, list_filter(regexp_split_to_array(lower(coalesce(any_value(model), '')), '\W+'), lambda w: w <> '') AS words FROM listings GROUP BY 1),
+    w AS (SELECT m, times, unnest(words) AS word FROM t), c AS (SELECT m, times, word, count(*) AS n FROM w GROUP BY ALL), d AS (SELECT word, sum(times) AS df FROM c GROUP BY word),
+    s AS (SELECT m, count(*) AS k, sqrt(sum(n * n)) AS l2, arg_min(word, (df, word)) AS rarest FROM c JOIN d USING (word) GROUP BY m)
+    SELECT ad_id, CAST(len(words) AS DOUBLE) AS n_tokens, CAST(coalesce(s.k, 0) AS BIGINT) AS n_distinct, round(coalesce(s.l2, 0), 6) AS l2, coalesce(s.rarest, '') AS rarest
+    FROM listings JOIN t ON coalesce(model, '') = t.m LEFT JOIN s ON s.m = t.m""")
 def encode_text_tokens(spark, sf):
-    df = models.text_tokens(listings(spark, sf).select("ad_id", "model"), "model")
+    """Of each row's vector over the whole vocabulary: tokens, distinct ones, length, and the word that fewest rows have."""
     from pyspark.ml.functions import vector_to_array
 
-    return df.select("ad_id", F.aggregate(vector_to_array("tokens"), F.lit(0.0), lambda a, x: a + x).alias("n_tokens"))
+    df, words, in_rows = models.text_tokens(listings(spark, sf).select("ad_id", "model"), "model")
+    rank = {w: k for k, w in enumerate(sorted(words, key=lambda w: (in_rows[w], w)))}
+    names = F.array(*(F.lit(w) for w in sorted(words, key=rank.get)))
+    order = F.array(*(F.lit(rank[w]) for w in words))
+    df = df.select("ad_id", vector_to_array("tokens").alias("v"))
+    held = F.filter(F.transform(F.sequence(F.lit(0), F.size("v") - 1), lambda i: F.when(F.col("v")[i] > 0, order[i])), lambda r: r.isNotNull())
+    total = lambda f: F.aggregate("v", F.lit(0.0), lambda a, x: a + f(x))
+    return df.select("ad_id", total(lambda x: x).alias("n_tokens"), F.size(held).cast("long").alias("n_distinct"), F.round(F.sqrt(total(lambda x: x * x)), 6).alias("l2"), F.when(F.size(held) > 0, names[F.array_min(held)]).otherwise("").alias("rarest"))
 
 
-@query("assemble_features")
+@query("assemble_features", f"WITH {ls.FRAME} SELECT ad_id, [power_hp_val, torque_nm, engine_cc_val, mileage, year, risk] AS features FROM f")
 def assemble_features(spark, sf):
     from pyspark.ml.functions import vector_to_array
 
@@ -97,20 +111,26 @@ def gram_matrix(spark, sf):
     return encode.gram(listings(spark, sf), ["engine_cc_val", "gb_year", "part_id"])
 
 
-@query("stat_vif")
+def _vif_sql() -> str:
+    n = len(REGULAR)
+    raw = f"SELECT 0 AS k, {', '.join(f'sum({a} * {b}) AS g_{i}_{j}' for i, a in enumerate(REGULAR) for j, b in enumerate(REGULAR))} FROM f"
+    rows = " UNION ALL ".join(f"SELECT '{c}' AS feature, v_0.g_{i}_{i} * v_{n}.g_{i}_{i} AS vif FROM v_0, v_{n}" for i, c in enumerate(REGULAR))
+    return f"WITH {ls.FRAME}, {ls.swept('v', raw, n, ())} SELECT feature, round(vif, 4) AS vif, CASE WHEN vif < 5 THEN 'low' WHEN vif < 10 THEN 'moderate' ELSE 'high' END AS verdict FROM ({rows})"
+
+
+@query("stat_vif", _vif_sql())
 def stat_vif(spark, sf):
-    return models.vif(frame(spark, sf), FEATURES)
+    return models.vif(frame(spark, sf), REGULAR)  # the other features are linear in the first, so their inflation has no bound
 
 
-@query("model_linear")
+@query("model_linear", f"WITH {ls.FRAME}, {ls.fitted('m', REGULAR, 'is_train')} SELECT 'linear' AS model, {ls.METRICS} FROM m_p WHERE NOT is_train")
 def model_linear(spark, sf):
     return fitted(spark, sf, "linear", models.linear())
 
 
 @query("ols_inference")
 def ols_inference(spark, sf):
-    columns = ["engine_cc_val", "mileage", "year", "risk"]  # the other features are linear in the first, and errors need a regular design
-    return models.inference(models.linear().fit(ready(spark, sf, columns)), columns)
+    return models.inference(models.linear().fit(ready(spark, sf, REGULAR)), REGULAR)  # the other features are linear in the first, and errors need a regular design
 
 
 @query("model_ridge")
@@ -142,20 +162,19 @@ def model_pls(spark, sf):
     return models.pls_errors(encode.standardized(frame(spark, sf), FEATURES).cache(), FEATURES, "y", len(FEATURES))
 
 
-_KNN = 5
+_KNN = range(3, 21)
 
 
 @query("model_knn", f"""
-    WITH e AS (SELECT vec_id, embedding, CAST(label AS DOUBLE) AS y FROM embeddings), p AS (SELECT a.vec_id, a.y AS y, b.y AS yb, b.vec_id AS other, round(list_distance(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 9) AS d FROM e a JOIN e b ON a.vec_id % 100 = 0 AND b.vec_id % 100 <> 0),
-    r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY d, other) AS r FROM p) SELECT vec_id, any_value(y) AS y, round(avg(yb), 6) AS prediction FROM r WHERE r <= {_KNN} GROUP BY vec_id""")
+    WITH e AS (SELECT vec_id, embedding, CAST(label AS DOUBLE) AS y FROM embeddings), b AS (SELECT a.vec_id, a.y AS y, b.y AS yb, b.vec_id AS other, list_transform(range(1, len(a.embedding) + 1), lambda i: abs(CAST(a.embedding[i] AS DOUBLE) - CAST(b.embedding[i] AS DOUBLE))) AS g FROM e a JOIN e b ON a.vec_id % 100 = 0 AND b.vec_id <> a.vec_id),
+    p AS (SELECT vec_id, y, yb, other, 1 AS p, round(list_sum(g), 9) AS d FROM b UNION ALL SELECT vec_id, y, yb, other, 2, round(sqrt(list_sum(list_transform(g, lambda x: x * x))), 9) FROM b),
+    r AS (SELECT *, row_number() OVER (PARTITION BY vec_id, p ORDER BY d, other) AS r FROM p), t AS (SELECT * FROM r WHERE r <= {max(_KNN)}), k AS (SELECT unnest({list(_KNN)}) AS k),
+    g AS (SELECT k, p, vec_id, any_value(y) AS y, avg(yb) AS plain, CASE WHEN min(d) = 0 THEN sum(CASE WHEN d = 0 THEN yb ELSE 0 END) / sum(CASE WHEN d = 0 THEN 1 ELSE 0 END) ELSE sum(yb / d) / sum(1 / d) END AS near FROM t JOIN k ON r <= k GROUP BY k, p, vec_id)
+    SELECT CAST(k AS INT) AS k, CAST(p AS INT) AS p, weights, round(avg(pow(y - prediction, 2)), 6) AS mse FROM (SELECT k, p, 'uniform' AS weights, y, plain AS prediction FROM g UNION ALL SELECT k, p, 'distance', y, near FROM g) GROUP BY ALL""")
 def model_knn(spark, sf):
-    """A stated query set (ids divisible by 100) against all other rows."""
+    """A stated query set (ids divisible by 100) against all other rows; one ranked table of neighbours for each metric serves every k and weighting."""
     e = table(spark, sf, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"), F.col("label").cast("double").alias("y"))
-    queries = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("q"), F.col("v").alias("qv"), F.col("y").alias("qy"))
-    d = F.sqrt(F.aggregate(F.zip_with("qv", "v", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x))
-    pairs = e.where("vec_id % 100 <> 0").crossJoin(queries).select("q", "qy", "vec_id", "y", F.round(d, 9).alias("d"))
-    near = pairs.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy("d", "vec_id"))).where(F.col("r") <= _KNN)
-    return near.groupBy(F.col("q").alias("vec_id")).agg(F.first("qy").alias("y"), F.round(F.avg("y"), 6).alias("prediction"))
+    return models.knn_grid(e, "vec_id", "v", "y", F.col("vec_id") % 100 == 0, _KNN)
 
 
 @query("model_tree")
@@ -165,17 +184,17 @@ def model_tree(spark, sf):
 
 @query("model_bagging")
 def model_bagging(spark, sf):
-    return fitted(spark, sf, "bagging", models.bagging(numTrees=10, subsamplingRate=0.8, maxDepth=6))
+    return models.tuned_holdout(ready(spark, sf), models.bagging(maxDepth=6), {"numTrees": [5, 10], "subsamplingRate": [0.6, 1.0], "featureSubsetStrategy": ["0.5", "all"]})
 
 
 @query("model_forest")
 def model_forest(spark, sf):
-    return fitted(spark, sf, "forest", models.forest(numTrees=15, maxDepth=6))
+    return models.tuned_holdout(ready(spark, sf), models.forest(), {"numTrees": [5, 15], "maxDepth": [4, 7]})
 
 
 @query("model_gbt")
 def model_gbt(spark, sf):
-    return fitted(spark, sf, "boosted", models.boosted(maxIter=10, maxDepth=4, stepSize=0.1, subsamplingRate=0.8))
+    return models.tuned_holdout(ready(spark, sf), models.boosted(), {"maxIter": [5, 10], "stepSize": [0.1, 0.3], "maxDepth": [3, 5], "subsamplingRate": [0.7, 1.0]})
 
 
 @query("model_early_stop")
@@ -230,25 +249,49 @@ def eval_coverage(spark, sf):
     return evaluate.coverage(banded(spark, sf), "price", "q05", "q95").select(F.round("coverage_percent", 4).alias("coverage_percent"))
 
 
+def regular_pipeline() -> Pipeline:
+    return Pipeline(stages=[VectorAssembler(inputCols=REGULAR, outputCol="features", handleInvalid="skip"), models.linear()])
+
+
 def saved_model(spark, sf):
+    """A stored version: the model and, beside it, the quantiles of its residuals, which make its interval."""
     df = frame(spark, sf)
-    pipeline = Pipeline(stages=[VectorAssembler(inputCols=FEATURES, outputCol="features", handleInvalid="skip"), models.linear()])
-    return models.save(pipeline.fit(df.where("is_train")), shared_path(spark, "models"), "v1"), df
+    model = regular_pipeline().fit(df.where("is_train"))
+    path = models.save(model, shared_path(spark, "models"), "v1")
+    residual = F.col("y") - F.col("prediction")
+    model.transform(df.where("is_train")).agg(F.percentile(residual, F.array(F.lit(0.05), F.lit(0.95))).alias("q")).select(F.col("q")[0].alias("low"), F.col("q")[1].alias("up")).write.parquet(f"{path}-interval")
+    return path, df
 
 
-@query("score_batch")
+@query("score_batch", f"""WITH {ls.FRAME}, {ls.fitted('m', REGULAR, 'is_train')}, q AS (SELECT quantile_cont(y - prediction, 0.05) AS low, quantile_cont(y - prediction, 0.95) AS up FROM m_p WHERE is_train),
+    p AS (SELECT ad_id, risk, exp(prediction) - 1 AS mid, (exp(prediction + low) - 1) * 0.98 AS a, (exp(prediction + up) - 1) * 1.02 AS b FROM m_p, q WHERE NOT is_train)
+    SELECT ad_id, CAST(trunc(mid) AS BIGINT) AS price, CAST(trunc(a) AS BIGINT) AS min, CAST(trunc(b) AS BIGINT) AS max, round_even((b - a) / 2 / mid * 100, 1) AS margin_percent, 'v1' AS version, risk AS calculated_risk_score FROM p""")
 def score_batch(spark, sf):
-    """Requests scored by a stored version, with the widened interval and the score of their damage."""
+    """Requests scored by a stored version, with its widened interval and the score of their damage."""
     path, df = saved_model(spark, sf)
-    scored = PipelineModel.load(path).transform(df.where("not is_train"))
-    p = F.expm1("prediction")
-    return scored.select("ad_id", *scores.interval(p * 0.9, p, p * 1.1), F.lit("v1").alias("version"), F.col("risk").alias("calculated_risk_score"))
+    scored = PipelineModel.load(path).transform(df.where("not is_train")).crossJoin(F.broadcast(spark.read.parquet(f"{path}-interval")))
+    p = F.col("prediction")
+    return scored.select("ad_id", *scores.interval(F.expm1(p + F.col("low")), F.expm1(p), F.expm1(p + F.col("up"))), F.lit("v1").alias("version"), F.col("risk").alias("calculated_risk_score"))
+
+
+_CONFIGS = {"all": FEATURES, "no_power": [c for c in FEATURES if c not in ("power_hp_val", "torque_nm")], "no_risk": [c for c in FEATURES if c != "risk"], "engine": ["engine_cc_val", "power_hp_val", "torque_nm"]}
+
 
+def _independent(columns) -> list[str]:
+    """Features that predict alike: power and torque are linear in the engine's size."""
+    engine = [c for c in columns if c in ("engine_cc_val", "power_hp_val", "torque_nm")]
+    return ["engine_cc_val"] * bool(engine) + [c for c in columns if c not in engine]
 
-@query("cv_config_compare")
+
+def _compare_sql() -> str:
+    fits = ", ".join(ls.by_fold(n, _independent(cs)) for n, cs in _CONFIGS.items())
+    rows = " UNION ALL ".join(f"SELECT '{n}' AS config, fold, rmse, avg(rmse) OVER () AS m, stddev_pop(rmse) OVER () AS s FROM {n}_e" for n in _CONFIGS)
+    return f"WITH {ls.FRAME}, {fits} SELECT config, fold, round(rmse, 4) AS rmse, round(m, 4) AS mean_rmse, round(s, 4) AS std_rmse FROM ({rows})"
+
+
+@query("cv_config_compare", _compare_sql().replace(" all_", " c_all_").replace("(all_", "(c_all_"))
 def cv_config_compare(spark, sf):
-    configs = {"all": FEATURES, "no_power": [c for c in FEATURES if c not in ("power_hp_val", "torque_nm")], "no_risk": [c for c in FEATURES if c != "risk"], "engine": ["engine_cc_val", "power_hp_val", "torque_nm"]}
-    return models.compare_features(frame(spark, sf).cache(), configs, models.linear())
+    return models.compare_linear(frame(spark, sf), _CONFIGS)
 
 
 @query("grid_search")
@@ -256,9 +299,16 @@ def grid_search(spark, sf):
     return models.tuned(ready(spark, sf), models.linear(), {"regParam": [0.0, 0.01, 0.1]})[1]
 
 
-@query("importance_lofo")
+def _lofo_sql() -> str:
+    left = {c: _independent([x for x in FEATURES if x != c]) for c in FEATURES}
+    fits = ", ".join([ls.by_fold("whole", REGULAR), *(ls.by_fold(f"no_{c}", cs) for c, cs in left.items())])
+    rows = " UNION ALL ".join(f"SELECT '{c}' AS feature, round((SELECT avg(rmse) FROM no_{c}_e) - (SELECT avg(rmse) FROM whole_e), 4) + 0.0 AS importance" for c in FEATURES)
+    return f"WITH {ls.FRAME}, {fits} {rows}"
+
+
+@query("importance_lofo", _lofo_sql())
 def importance_lofo(spark, sf):
-    return models.lofo(frame(spark, sf).cache(), FEATURES, models.linear())
+    return models.lofo_linear(frame(spark, sf), FEATURES)
 
 
 @query("importance_builtin")
@@ -284,20 +334,25 @@ def ablation_subsets(spark, sf):
     return models.group_mean_ablation(df.cache(), ["brand", "series", "model"], "fold")
 
 
-_B = {"engine_cc_val": 2.0, "gb_year": -3.5}
+_Z = [f"z_{c}" for c in REGULAR]
 
 
-@query("attrib_linear", "WITH m AS (SELECT avg(engine_cc_val) AS a, avg(gb_year) AS b FROM listings) SELECT ad_id, round(2.0 * (engine_cc_val - a), 4) AS contribution_engine_cc_val, round(-3.5 * (gb_year - b), 4) AS contribution_gb_year FROM listings, m")
+@query("attrib_linear", f"""WITH {ls.FRAME}, {ls.fitted('m', REGULAR)}, a AS (SELECT {', '.join(f'avg({z}) AS a_{z}' for z in _Z)} FROM f), c AS (SELECT ad_id, {', '.join(f'g_{i}_y * ({z} - a_{z}) AS c_{c}' for i, (c, z) in enumerate(zip(REGULAR, _Z), 1))} FROM f, a, m_{len(REGULAR) + 1})
+    SELECT ad_id, {', '.join(f'round(c_{c}, 6) AS contribution_{c}, round(avg(abs(c_{c})) OVER (), 6) AS mean_abs_{c}' for c in REGULAR)} FROM c""")
 def attrib_linear(spark, sf):
-    out = models.linear_contributions(listings(spark, sf).select("ad_id", "engine_cc_val", "gb_year"), _B)
-    return out.select("ad_id", *(F.round(f"contribution_{c}", 4).alias(f"contribution_{c}") for c in _B))
+    """Contributions of the fitted linear model to each row's log price, and their mean absolute values."""
+    df = frame(spark, sf)
+    model = models.linear().fit(models.assembled(df, REGULAR))
+    out = checkpointed(models.linear_contributions(df.select("ad_id", *REGULAR), dict(zip(REGULAR, map(float, model.coefficients)))))
+    usual = out.agg(*(F.round(F.avg(F.abs(f"contribution_{c}")), 6).alias(f"mean_abs_{c}") for c in REGULAR))
+    return out.crossJoin(F.broadcast(usual)).select("ad_id", *(F.round(f"contribution_{c}", 6).alias(f"contribution_{c}") for c in REGULAR), *(f"mean_abs_{c}" for c in REGULAR))
 
 
 @query("leaderboard")
 def leaderboard(spark, sf):
     df = ready(spark, sf)
     train, test = df.where("is_train"), df.where("not is_train")
-    rows = [models.as_row(spark, n, models.metrics(e.fit(train).transform(test))) for n, e in (("linear", models.linear()), ("lasso", models.lasso(0.001)), ("tree", models.tree(maxDepth=5)), ("boosted", models.boosted(maxIter=5, maxDepth=3)))]
+    rows = [models.as_row(spark, n, models.metrics(e.fit(train).transform(test))).withColumn("parameters", F.lit(models.parameters(e))) for n, e in (("linear", models.linear()), ("lasso", models.lasso(0.001)), ("tree", models.tree(maxDepth=5)), ("boosted", models.boosted(maxIter=5, maxDepth=3)))]
     out = rows[0]
     for r in rows[1:]:
         out = out.unionByName(r)
@@ -313,11 +368,12 @@ def sink_metrics_json(spark, sf):
     return spark.read.schema("r2 double, mae double, rmse double, mape double, coverage_percent double, train_size bigint, model_type string").json(folder)
 
 
-@query("final_refit")
+@query("final_refit", f"""WITH {ls.FRAME}, {ls.fitted('m', REGULAR)}, {ls.by_fold('c', REGULAR)}, e AS (SELECT round(avg(rmse), 4) AS cv_rmse FROM c_e)
+    SELECT 'in sample' AS model, {ls.METRICS}, any_value(cv_rmse) AS cv_rmse FROM m_p, e UNION ALL SELECT 'last fold', {ls.METRICS}, any_value(cv_rmse) FROM m_p, e WHERE fold = 4""")
 def final_refit(spark, sf):
     """Errors by fold, then a fit on all rows, stored and read again, with its in-sample and last-fold measures."""
-    df = frame(spark, sf).cache()
-    pipeline = Pipeline(stages=[VectorAssembler(inputCols=FEATURES, outputCol="features", handleInvalid="skip"), models.linear()])
+    df = checkpointed(frame(spark, sf))
+    pipeline = regular_pipeline()
     errors = models.fold_errors(df, pipeline)
     model = PipelineModel.load(models.save(pipeline.fit(df), shared_path(spark, "models"), "final"))
     out = models.as_row(spark, "in sample", models.metrics(model.transform(df))).unionByName(models.as_row(spark, "last fold", models.metrics(model.transform(df.where("fold = 4")))))

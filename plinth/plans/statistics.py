@@ -110,10 +110,23 @@ def stat_zscore_outlier(spark, sf):
     return outliers.zscore_flags(residuals(spark, sf), "residual", 2.0).where("is_z").select("ad_id", "residual")
 
 
-@query("outlier_consolidate", f"{_Z} SELECT ad_id, price, predicted, residual FROM z WHERE is_z OR ad_id % 97 = 0")
+ISOLATED = ("price", "kb_mileage", "power_hp_val", "torque_nm")
+
+
+def flagged(spark, sf):
+    """Residuals with both flags of the outlier operators."""
+    iso = outliers.isolation_flags(listings(spark, sf), "ad_id", ISOLATED)
+    return outliers.consolidated(outliers.zscore_flags(residuals(spark, sf), "residual", 2.0), iso, "ad_id")
+
+
+@query("outlier_consolidate")
 def outlier_consolidate(spark, sf):
-    df = outliers.zscore_flags(residuals(spark, sf), "residual", 2.0).withColumn("is_iso", F.col("ad_id") % 97 == 0)
-    return df.where("is_z or is_iso").select("ad_id", "price", "predicted", "residual")
+    return flagged(spark, sf).where("is_z or is_iso").select("ad_id", "price", "predicted", "residual", "is_z", "is_iso")
+
+
+@query("agg_flag_totals")
+def agg_flag_totals(spark, sf):
+    return outliers.flag_totals(flagged(spark, sf))
 
 
 @query("outlier_by_model", f"{_Z} SELECT series, count(*) AS n FROM z WHERE is_z GROUP BY series ORDER BY n DESC, series LIMIT 20")
@@ -123,7 +136,7 @@ def outlier_by_model(spark, sf):
 
 @query("stat_isolation_forest")
 def stat_isolation_forest(spark, sf):
-    return outliers.isolation_flags(listings(spark, sf), "ad_id", ("price", "kb_mileage", "power_hp_val", "torque_nm"))
+    return outliers.isolation_flags(listings(spark, sf), "ad_id", ISOLATED)
 
 
 @query("resid_moments", f"""WITH {RESIDUALS}, e AS (SELECT round(price - predicted, 4) AS x FROM r), m AS (SELECT count(*) AS n, avg(x) AS a, stddev_samp(x) AS s, stddev_pop(x) AS d FROM e)
@@ -137,6 +150,8 @@ def resid_ks_normal(spark, sf):
     return outliers.ks_normal(residuals(spark, sf), "residual")
 
 
-@query("resid_qq")
+@query("resid_qq", f"""WITH {RESIDUALS}, e AS (SELECT round(price - predicted, 4) AS v FROM r), c AS (SELECT v, count(*) AS n FROM e GROUP BY v), t AS (SELECT v, n, sum(n) OVER (ORDER BY v) AS upto, sum(n) OVER () AS total FROM c),
+    q AS (SELECT v, n, CASE WHEN total = 1 THEN 0.5 ELSE (upto - (n - 1) / 2.0 - 0.3175) / (total + 0.365) END AS p FROM t), s AS (SELECT v, n, {outliers.normal_quantile_sql('p')} AS q FROM q), m AS (SELECT sum(n) AS t, sum(q * n) AS sq, sum(v * n) AS sv, sum(q * q * n) AS sqq, sum(v * v * n) AS svv, sum(q * v * n) AS sqv FROM s)
+    SELECT round((sqv - sq * sv / t) / (sqq - sq * sq / t), 6) AS slope, round((sv - (sqv - sq * sv / t) / (sqq - sq * sq / t) * sq) / t, 6) AS intercept, round((sqv - sq * sv / t) / sqrt((sqq - sq * sq / t) * (svv - sv * sv / t)), 6) AS r FROM m""")
 def resid_qq(spark, sf):
     return outliers.qq_line(residuals(spark, sf), "residual")

@@ -34,8 +34,22 @@ SELECT CAST(l_orderkey * 10 + l_linenumber AS BIGINT) AS ad_id,
        {_FLAGS}
 FROM lineitem JOIN part ON l_partkey = p_partkey"""
 
+#: Columns of the typed listing table that a page gives as they are, and those that it gives as numbers with units.
+TEXT_LABELS = ("ad_title", "brand", "series", "model", "location", "kb_transmission", "kb_fuel", "kb_body_type", "kb_color", "kb_drivetrain", "kb_condition", "kb_seller_type", "gb_fuel", "gb_transmission", "gb_color", "gb_warranty_status", "gb_usage_type", "gb_segment", "gb_body_type", "description_text")
+NUMBER_LABELS = ("kb_mileage", "kb_fuel_cons_avg", "kb_fuel_tank", "gb_mileage", "gb_mtv_yearly", "torque_nm", "cylinder_count", "max_speed_kmh", "accel_0_100", "city_fuel_cons", "highway_fuel_cons", "length_mm", "width_mm", "height_mm", "weight_kg", "curb_weight_kg", "trunk_capacity_lt", "wheelbase_mm")
+COUNT_LABELS = ("kb_year", "gb_year", "tramer_fee", "count_painted", "count_local_painted")
+_DETAILS = ",\n".join([
+    *(f"       CASE WHEN (l_orderkey + {k}) % 29 = 0 THEN NULL ELSE concat(p_type, ' ', CAST((l_suppkey + {k}) % {k + 3} AS STRING)) END AS raw_{c}" for k, c in enumerate(TEXT_LABELS)),
+    *(f"       CASE WHEN (l_orderkey + {k}) % 23 = 0 THEN NULL WHEN (l_orderkey + {k}) % 31 = 0 THEN '-' ELSE concat(CAST(p_size + {k} AS STRING), '.', lpad(CAST(l_suppkey % 1000 AS STRING), 3, '0'), ',', CAST(l_linenumber AS STRING), ' x') END AS raw_{c}" for k, c in enumerate(NUMBER_LABELS)),
+    *(f"       CAST(CASE WHEN (l_orderkey + {k}) % 13 = 0 THEN NULL ELSE p_size + {k} END AS INT) AS raw_{c}" for k, c in enumerate(COUNT_LABELS)),
+    "       CASE WHEN l_orderkey % 3 = 0 THEN 'Evet' WHEN l_orderkey % 3 = 1 THEN 'Hayır' ELSE NULL END AS raw_kb_is_heavy_damaged",
+    "       CASE WHEN l_suppkey % 3 = 0 THEN 'Takasa Uygun' WHEN l_suppkey % 3 = 1 THEN 'Takasa Uygun Değil' ELSE NULL END AS raw_kb_trade_available",
+    "       CASE WHEN l_suppkey % 2 = 0 THEN 'Evet, İlk Sahibi' WHEN l_suppkey % 5 = 0 THEN NULL ELSE 'Hayır' END AS raw_gb_is_first_owner",
+    "       CASE WHEN l_partkey % 7 = 0 THEN concat('1.', CAST(300 + p_size AS STRING), ' - 1.', CAST(600 + p_size AS STRING), ' cm3') WHEN l_partkey % 7 = 1 THEN NULL ELSE concat(CAST(1000 + p_size AS STRING), ' cc') END AS raw_engine_cc",
+])
+
 #: Raw texts of a listing as a page shows them, from the same rows.
-RAW = """
+RAW = f"""
 SELECT CAST(l_orderkey * 10 + l_linenumber AS BIGINT) AS ad_id,
        CASE WHEN l_orderkey % 41 = 0 THEN NULL ELSE concat('No: ', CAST(l_orderkey AS STRING), '-', CAST(l_linenumber AS STRING)) END AS ad_text,
        CASE WHEN l_orderkey % 53 = 0 THEN NULL WHEN l_orderkey % 59 = 0 THEN '-' ELSE concat(CAST(CAST(floor(l_extendedprice / 1000) AS BIGINT) AS STRING), '.', lpad(CAST(CAST(floor(l_extendedprice) AS BIGINT) % 1000 AS STRING), 3, '0'), ',', CAST(l_linenumber AS STRING), ' TL') END AS price_text,
@@ -51,7 +65,8 @@ SELECT CAST(l_orderkey * 10 + l_linenumber AS BIGINT) AS ad_id,
        CASE WHEN l_orderkey % 3 = 0 THEN 'AĞIR HASAR kaydı' WHEN l_orderkey % 3 = 1 THEN 'agir hasar var' ELSE p_name END AS note_text,
        CASE WHEN l_orderkey % 8 = 0 THEN '' ELSE concat_ws('; ', CASE WHEN l_orderkey % 19 = 0 THEN 'Tavan: Değişmiş' WHEN l_orderkey % 19 = 1 THEN 'Tavan: Lokal Boyalı' END, CASE WHEN l_orderkey % 19 = 0 THEN 'Tavan: Boyalı' END,
             CASE WHEN l_orderkey % 17 = 0 THEN 'Motor Kaputu: Boyalı' WHEN l_orderkey % 17 = 1 THEN 'Motor Kaputu: Değişen' END, CASE WHEN l_orderkey % 13 = 0 THEN 'Sol Ön Kapı: Lokal Boyalı' WHEN l_orderkey % 13 = 1 THEN 'Sol Ön Kapı: Boyalı' END, CASE WHEN l_orderkey % 11 = 0 THEN 'Sağ Arka Çamurluk: Değişmiş' END) END AS damage_text,
-       CAST(CASE WHEN l_orderkey % 9 = 0 THEN NULL ELSE p_size END AS INT) AS changed_count
+       CAST(CASE WHEN l_orderkey % 9 = 0 THEN NULL ELSE p_size END AS INT) AS changed_count,
+{_DETAILS}
 FROM lineitem JOIN part ON l_partkey = p_partkey"""
 
 VIEWS = {"listings": LISTINGS, "raw_listings": RAW}
