@@ -13,10 +13,36 @@ def kpi(df: DataFrame, value: str) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("total"), F.coalesce(F.avg(value), F.lit(0.0)).alias("avg_price"))
 
 
-def array_by_group(df: DataFrame, key: str, *values: str) -> DataFrame:
-    """Sorted array of a value (or of tuples) for each key; rows with a null among them are left out.  Unbounded: ``boxplot`` is the form for scale."""
+def arrays_by_group(df: DataFrame, key: str, *values: str, size: int = 10_000) -> DataFrame:
+    """``key, chunk, points``: the sorted values (or tuples) of each key in arrays of at most ``size``; rows with a null among them are left out.
+
+    Places come from running counts of distinct values, so no task holds a key's rows.
+    """
     item = F.col(values[0]) if len(values) == 1 else F.array(*(F.col(v).cast("double") for v in values))
-    return df.dropna(subset=[key, *values]).groupBy(key).agg(F.sort_array(F.collect_list(item)).alias("points"))
+    n = df.dropna(subset=[key, *values]).select(key, item.alias("_v")).groupBy(key, "_v").agg(F.count(F.lit(1)).alias("n"))
+    ranked = running_totals(n, [key], "_v", ["n"])
+    first, last = F.col("n_upto") - F.col("n"), F.col("n_upto") - 1
+    # a value's copies fall into consecutive chunks
+    whole = F.lit(size)
+    parts = ranked.select(key, "_v", first.alias("_a"), last.alias("_b"), F.explode(F.sequence(F.floor(first / whole), F.floor(last / whole))).alias("chunk"))
+    copies = F.least("_b", (F.col("chunk") + 1) * size - 1) - F.greatest("_a", F.col("chunk") * size) + 1
+    parts = parts.select(key, "chunk", "_v", copies.cast("int").alias("_n")).groupBy(key, "chunk").agg(F.sort_array(F.collect_list(F.struct("_v", "_n"))).alias("p"))
+    return parts.select(key, F.col("chunk").cast("long").alias("chunk"), F.flatten(F.transform("p", lambda s: F.array_repeat(s["_v"], s["_n"]))).alias("points"))
+
+
+def exact_quantiles(df: DataFrame, keys, value: str, shares) -> DataFrame:
+    """``keys, q``: for each group the interpolated quantiles of the non-null values, exactly.
+
+    From running counts of distinct values dealt by range, so no task holds a group's values; a group without values is left out.
+    """
+    keys = list(keys)
+    n = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v")).groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("n"))
+    ranked = running_totals(n, keys, "_v", ["n"])
+    at = [(F.col("n_all") - 1) * F.lit(float(p)) for p in shares]
+    ends = [F.min(F.when(F.col("n_upto") > f(h), F.col("_v"))).alias(f"_{name}{k}") for k, h in enumerate(at) for name, f in (("lo", F.floor), ("hi", F.ceil))]
+    out = ranked.groupBy(*keys).agg(F.first("n_all").alias("n_all"), *ends)
+    q = [F.col(f"_lo{k}") + (F.col(f"_hi{k}") - F.col(f"_lo{k}")) * (h - F.floor(h)) for k, h in enumerate(at)]
+    return out.select(*keys, F.array(*q).alias("q"))
 
 
 def as_map(df: DataFrame, key: str, value: str, name: str) -> DataFrame:
@@ -24,8 +50,7 @@ def as_map(df: DataFrame, key: str, value: str, name: str) -> DataFrame:
 
 
 def boxplot(df: DataFrame, key: str, value: str) -> DataFrame:
-    q = F.percentile(value, F.array(*(F.lit(x) for x in (0.0, 0.25, 0.5, 0.75, 1.0))))
-    return df.dropna(subset=[key, value]).groupBy(key).agg(q.alias("q")).select(key, *(F.round(F.col("q")[k], 4).alias(n) for k, n in enumerate(("low", "q1", "median", "q3", "high"))))
+    return exact_quantiles(df.dropna(subset=[key, value]), [key], value, (0.0, 0.25, 0.5, 0.75, 1.0)).select(key, *(F.round(F.col("q")[k], 4).alias(n) for k, n in enumerate(("low", "q1", "median", "q3", "high"))))
 
 
 def aligned_averages(df: DataFrame, key: str, value: str) -> DataFrame:

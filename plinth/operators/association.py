@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plinth.operators.aggregates import running_totals
+from plinth.operators.aggregates import exact_quantiles, running_totals
 
 
 def pearson(df: DataFrame, columns, places: int = 6) -> DataFrame:
@@ -87,7 +87,7 @@ def theils_u(df: DataFrame, pairs, places: int = 6) -> DataFrame:
 
 def binned(df: DataFrame, column: str, name: str) -> DataFrame:
     """Adds the Freedman-Diaconis bin of a column; no spread between the quartiles gives one bin, null stays null."""
-    s = df.agg(F.percentile(column, F.array(F.lit(0.25), F.lit(0.75))).alias("q"), F.count(column).alias("n"), F.min(column).alias("low"))
+    s = df.agg(F.count(column).alias("n"), F.min(column).alias("low")).join(exact_quantiles(df, [], column, (0.25, 0.75)), how="left")  # one row each
     s = s.select((2 * (F.col("q")[1] - F.col("q")[0]) / F.pow(F.col("n").cast("double"), F.lit(1 / 3))).alias("_w"), F.col("low").alias("_low"))
     bin_ = F.when(F.col("_w") > 0, F.floor((F.col(column) - F.col("_low")) / F.col("_w"))).otherwise(F.when(F.col(column).isNotNull(), F.lit(0)))
     return df.crossJoin(F.broadcast(s)).withColumn(name, bin_.cast("long")).drop("_w", "_low")

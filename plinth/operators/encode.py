@@ -52,6 +52,14 @@ def target_encoded(df: DataFrame, column: str, target: str, fold: str, name: str
     return out.select(*df.columns, value.alias(name))
 
 
+def levels_of(df: DataFrame, column: str, most: int = 1000) -> list:
+    """The distinct non-null values of a column; more than ``most`` are an error, as they would all become columns."""
+    found = [r[0] for r in df.select(column).where(F.col(column).isNotNull()).distinct().limit(most + 1).collect()]
+    if len(found) > most:
+        raise ValueError(f"{column} has more than {most} levels")
+    return sorted(found)
+
+
 def one_hot(df: DataFrame, column: str, levels) -> DataFrame:
     """0/1 columns for the levels but the first; unknown and null are all zeros."""
     return df.select("*", *(F.coalesce((F.col(column) == v).cast("int"), F.lit(0)).alias(f"{column}_{v}") for v in sorted(levels)[1:]))

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from plinth.operators.aggregates import exact_quantiles
 from plinth.operators.encode import gram
 
 
@@ -311,10 +312,11 @@ def conformal_interval(scored: DataFrame, y: str, levels=((), ), low: float = 0.
     ``scored`` has ``prediction`` from models that didn't see the row.
     """
     out = scored.withColumn("_r", F.col(y) - F.col("prediction"))
-    q = F.percentile("_r", F.array(F.lit(low), F.lit(up)))
     picks = []
     for k, level in enumerate(levels):
-        stats = out.groupBy(*level).agg(q.alias(f"_q{k}"), F.count(F.lit(1)).alias(f"_n{k}"))
+        stats = exact_quantiles(out, level, "_r", (low, up)).withColumnRenamed("q", f"_q{k}")
+        sizes = out.groupBy(*level).agg(F.count(F.lit(1)).alias(f"_n{k}"))
+        stats = stats.join(sizes, list(level)) if level else stats.crossJoin(sizes)  # one row each
         stats = stats.withColumn(f"_q{k}", F.when(F.col(f"_n{k}") >= (least_rows if level else 0), F.col(f"_q{k}"))).drop(f"_n{k}")
         out = out.join(stats, list(level), "left") if level else out.crossJoin(F.broadcast(stats))
         picks.append(F.col(f"_q{k}"))

@@ -7,12 +7,14 @@ from itertools import combinations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plinth.operators.aggregates import exact_quantiles
+
 
 def describe(df: DataFrame, columns, places: int = 4) -> DataFrame:
     """``column`` with count, mean, sample deviation, minimum, quartiles and maximum of each."""
     long = df.select(*(F.col(c).cast("double") for c in columns)).unpivot([], list(columns), "column", "v")
-    q = F.percentile("v", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    out = long.groupBy("column").agg(F.count("v").alias("n"), F.round(F.avg("v"), places).alias("mean"), F.round(F.stddev_samp("v"), places).alias("std"), F.min("v").alias("low"), q.alias("q"), F.max("v").alias("high"))
+    out = long.groupBy("column").agg(F.count("v").alias("n"), F.round(F.avg("v"), places).alias("mean"), F.round(F.stddev_samp("v"), places).alias("std"), F.min("v").alias("low"), F.max("v").alias("high"))
+    out = out.join(F.broadcast(exact_quantiles(long, ["column"], "v", (0.25, 0.5, 0.75))), "column", "left")  # a row for each column
     return out.select("column", "n", "mean", "std", "low", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"), "high")
 
 

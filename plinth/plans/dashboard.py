@@ -54,7 +54,7 @@ def observe_row_counts(spark, sf):
     SELECT ad_id, price FROM listings JOIN q USING (brand) WHERE NOT price BETWEEN q05 AND q95""")
 def anomaly_outside_interval(spark, sf):
     df = listings(spark, sf).select("ad_id", "brand", "price").where("price is not null")
-    bounds = df.groupBy("brand").agg(F.percentile("price", F.array(F.lit(0.05), F.lit(0.95))).alias("q"))
+    bounds = agg.exact_quantiles(df, ["brand"], "price", (0.05, 0.95))
     return df.join(bounds, "brand").where(~F.col("price").between(F.round(F.col("q")[0], 4), F.round(F.col("q")[1], 4))).select("ad_id", "price")
 
 
@@ -85,13 +85,12 @@ MODES = """SELECT brand, series, arg_min(gb_segment, (-n, gb_segment)) FILTER (g
 
 def segment_filled(df):
     """Segment from the listing, else its (brand, series) mode, else the common one if the group is unknown."""
-    known = df.where("ad_id % 5 <> 0")
-    modes = agg.mode_by_group(known, ["brand", "series"], "gb_segment").withColumn("known", F.lit(True))
+    modes = agg.mode_by_group(df, ["brand", "series"], "gb_segment").withColumn("known", F.lit(True))
     filled = F.when(F.col("gb_segment").isNotNull(), F.col("gb_segment")).when(F.col("known"), F.col("mode")).otherwise(F.lit(scores.COMMON_SEGMENT))
     return df.join(modes, ["brand", "series"], "left").select("ad_id", filled.alias("segment_clean"))
 
 
-FILLED = f"""WITH known AS (SELECT * FROM listings WHERE ad_id % 5 <> 0), m AS ({MODES.replace('listings', 'known')})
+FILLED = f"""WITH m AS ({MODES})
     SELECT ad_id, CASE WHEN gb_segment IS NOT NULL THEN gb_segment WHEN m.brand IS NOT NULL THEN mode ELSE 'C Segment' END AS segment_clean
     FROM listings l LEFT JOIN m ON l.brand = m.brand AND l.series = m.series"""
 CODES = "CASE segment_clean " + " ".join(f"WHEN '{s}' THEN {k}" for s, k in scores.SEGMENT_CODES.items()) + " ELSE 3 END"
@@ -107,7 +106,7 @@ def join_map_literal(spark, sf):
     return listings(spark, sf).select("ad_id", scores.segment_code(F.col("gb_segment")).alias("segment_encoded"))
 
 
-@query("mode_fill_group", f"WITH f AS ({FILLED.replace('WITH known', 'WITH known', 1)}) SELECT ad_id, segment_clean, {CODES} AS segment_encoded FROM f")
+@query("mode_fill_group", f"WITH f AS ({FILLED}) SELECT ad_id, segment_clean, {CODES} AS segment_encoded FROM f")
 def mode_fill_group(spark, sf):
     return segment_filled(listings(spark, sf)).withColumn("segment_encoded", scores.segment_code(F.col("segment_clean")))
 
@@ -115,7 +114,8 @@ def mode_fill_group(spark, sf):
 @query("join_group_agg_back", "SELECT ad_id, brand, power_hp_val, median(power_hp_val) OVER (PARTITION BY brand) AS brand_median FROM listings")
 def join_group_agg_back(spark, sf):
     df = listings(spark, sf).select("ad_id", "brand", "power_hp_val")
-    return df.join(df.groupBy("brand").agg(F.median("power_hp_val").alias("brand_median")), "brand").select("ad_id", "brand", "power_hp_val", "brand_median")
+    medians = agg.exact_quantiles(df, ["brand"], "power_hp_val", (0.5,)).select("brand", F.col("q")[0].alias("brand_median"))
+    return df.join(medians, "brand", "left").select("ad_id", "brand", "power_hp_val", "brand_median")
 
 
 @query("join_scalar_broadcast", "SELECT ad_id, round(price / (SELECT max(price) FROM listings), 6) AS share FROM listings")
@@ -132,14 +132,17 @@ def agg_kpi(spark, sf):
     return agg.kpi(filters.filter_dynamic(listings(spark, sf), {"kb_fuel": "Dizel"}), "price").select("total", F.round("avg_price", 4).alias("avg_price"))
 
 
-@query("agg_array_by_group", "SELECT brand, list_sort(list(price)) AS points FROM listings WHERE price IS NOT NULL GROUP BY brand")
+_CHUNKED = "SELECT brand, CAST(floor((r - 1) / 10000) AS BIGINT) AS chunk, list(v ORDER BY v) AS points FROM (SELECT brand, v, row_number() OVER (PARTITION BY brand ORDER BY v) AS r FROM (SELECT brand, {v} AS v FROM listings WHERE {where})) GROUP BY ALL"
+
+
+@query("agg_array_by_group", _CHUNKED.format(v="price", where="price IS NOT NULL"))
 def agg_array_by_group(spark, sf):
-    return agg.array_by_group(listings(spark, sf), "brand", "price")
+    return agg.arrays_by_group(listings(spark, sf), "brand", "price")
 
 
-@query("agg_pairs_by_group", "SELECT brand, list_sort(list([CAST(kb_mileage AS DOUBLE), price])) AS points FROM listings WHERE price IS NOT NULL AND kb_mileage IS NOT NULL GROUP BY brand")
+@query("agg_pairs_by_group", _CHUNKED.format(v="[CAST(kb_mileage AS DOUBLE), price]", where="price IS NOT NULL AND kb_mileage IS NOT NULL"))
 def agg_pairs_by_group(spark, sf):
-    return agg.array_by_group(listings(spark, sf), "brand", "kb_mileage", "price")
+    return agg.arrays_by_group(listings(spark, sf), "brand", "kb_mileage", "price")
 
 
 @query("agg_boxplot", "SELECT brand, min(price) AS low, round(quantile_cont(price, 0.25), 4) AS q1, round(quantile_cont(price, 0.5), 4) AS median, round(quantile_cont(price, 0.75), 4) AS q3, max(price) AS high FROM listings WHERE price IS NOT NULL GROUP BY brand")
@@ -162,9 +165,9 @@ def agg_radar(spark, sf):
     return agg.averages_by(listings(spark, sf), "brand", RADAR)
 
 
-@query("agg_global_max", "SELECT count(DISTINCT brand) AS n_keys, " + ", ".join(f"CASE WHEN count(DISTINCT brand) <= 5 THEN round(max({c}) * 1.1, 4) END AS max_{c}" for c in RADAR) + " FROM listings WHERE brand IN ('Brand#1', 'Brand#2', 'Brand#3')")
+@query("agg_global_max", "SELECT count(DISTINCT kb_fuel) AS n_keys, " + ", ".join(f"CASE WHEN count(DISTINCT kb_fuel) <= 5 THEN round(max({c}) * 1.1, 4) END AS max_{c}" for c in RADAR) + " FROM listings")
 def agg_global_max(spark, sf):
-    return agg.axis_limits(listings(spark, sf).where(F.col("brand").isin("Brand#1", "Brand#2", "Brand#3")), "brand", RADAR)
+    return agg.axis_limits(listings(spark, sf), "kb_fuel", RADAR)
 
 
 @query("agg_damage_sum", " UNION ALL ".join(f"SELECT '{p}' AS part, CAST(sum({p}_degisen + {p}_boyali) AS BIGINT) AS value FROM listings" for p in PARTS))
@@ -203,7 +206,9 @@ def agg_value_counts(spark, sf):
 
 @query("win_group_stat", "SELECT ad_id, median(kb_mileage) OVER (PARTITION BY seller_id) AS seller_median FROM listings")
 def win_group_stat(spark, sf):
-    return listings(spark, sf).select("ad_id", F.median("kb_mileage").over(Window.partitionBy("seller_id")).alias("seller_median"))
+    df = listings(spark, sf).select("ad_id", "seller_id", "kb_mileage")
+    medians = agg.exact_quantiles(df, ["seller_id"], "kb_mileage", (0.5,)).select("seller_id", F.col("q")[0].alias("seller_median"))
+    return df.join(medians, "seller_id", "left").select("ad_id", "seller_median")
 
 
 RESIDUALS = """r AS (SELECT ad_id, brand, series, price, round(median(price) OVER (PARTITION BY brand, series), 4) AS predicted FROM listings WHERE price IS NOT NULL)"""
@@ -212,7 +217,7 @@ RESIDUALS = """r AS (SELECT ad_id, brand, series, price, round(median(price) OVE
 def residuals(spark, sf):
     """Price against its (brand, series) median."""
     df = listings(spark, sf).select("ad_id", "brand", "series", "price").where("price is not null")
-    usual = df.groupBy("brand", "series").agg(F.round(F.median("price"), 4).alias("predicted"))
+    usual = agg.exact_quantiles(df, ["brand", "series"], "price", (0.5,)).select("brand", "series", F.round(F.col("q")[0], 4).alias("predicted"))
     return df.join(usual, ["brand", "series"]).withColumn("residual", F.round(F.col("price") - F.col("predicted"), 4))
 
 

@@ -49,10 +49,10 @@ def quarantine_errors(spark, sf):
     return count(bad, "error").unionByName(count(good, "record"))
 
 
-@query("scan_csv", "SELECT ad_id, brand, gb_year FROM listings WHERE gb_year = 1997")
+@query("scan_csv", "SELECT ad_id, brand, gb_year FROM listings")
 def scan_csv(spark, sf):
     folder = shared_path(spark, "csv")
-    listings(spark, sf).select("ad_id", "brand", "gb_year").where("gb_year = 1997").write.option("header", True).csv(folder)
+    listings(spark, sf).select("ad_id", "brand", "gb_year").write.option("header", True).csv(folder)
     return io.scan_csv(spark, folder, "ad_id bigint, brand string, gb_year int")
 
 

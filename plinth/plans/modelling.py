@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 
 from plinth.functions import scores
 from plinth.operators import encode, evaluate, models
+from plinth.operators.aggregates import exact_quantiles
 from plinth.plans import least_squares as ls
 from plinth.plans.least_squares import REGULAR
 from plinth.plans.registry import query
@@ -63,8 +64,7 @@ def encode_target_eb(spark, sf):
 @query("encode_onehot_drop_first", "SELECT ad_id, CAST(coalesce(kb_fuel = 'Dizel', false) AS INT) AS kb_fuel_Dizel, CAST(coalesce(kb_fuel = 'Elektrik', false) AS INT) AS kb_fuel_Elektrik FROM listings")
 def encode_onehot_drop_first(spark, sf):
     df = listings(spark, sf).select("ad_id", "kb_fuel")
-    levels = [r[0] for r in df.select("kb_fuel").where("kb_fuel is not null").distinct().limit(1000).collect()]
-    return encode.one_hot(df, "kb_fuel", levels).drop("kb_fuel")
+    return encode.one_hot(df, "kb_fuel", encode.levels_of(df, "kb_fuel")).drop("kb_fuel")
 
 
 @query("scale_standard", "WITH s AS (SELECT avg(engine_cc_val) AS m1, stddev_pop(engine_cc_val) AS s1, avg(gb_mileage) AS m2, stddev_pop(gb_mileage) AS s2 FROM listings WHERE ad_id % 5 <> 0) SELECT ad_id, round((engine_cc_val - m1) / s1, 6) AS engine_cc_val, round((gb_mileage - m2) / s2, 6) AS gb_mileage FROM listings, s")
@@ -218,8 +218,7 @@ def model_quantile_interval(spark, sf):
 
 @query("quantile_by_group", "SELECT brand, round(quantile_cont(price, 0.05), 4) AS q05, round(quantile_cont(price, 0.5), 4) AS q50, round(quantile_cont(price, 0.95), 4) AS q95 FROM listings WHERE price IS NOT NULL GROUP BY brand")
 def quantile_by_group(spark, sf):
-    q = F.percentile("price", F.array(F.lit(0.05), F.lit(0.5), F.lit(0.95)))
-    return listings(spark, sf).where("price is not null").groupBy("brand").agg(q.alias("q")).select("brand", *(F.round(F.col("q")[k], 4).alias(n) for k, n in enumerate(("q05", "q50", "q95"))))
+    return exact_quantiles(listings(spark, sf), ["brand"], "price", (0.05, 0.5, 0.95)).select("brand", *(F.round(F.col("q")[k], 4).alias(n) for k, n in enumerate(("q05", "q50", "q95"))))
 
 
 _Q = "q AS (SELECT brand, round(quantile_cont(price, 0.05), 4) AS q05, round(quantile_cont(price, 0.5), 4) AS q50, round(quantile_cont(price, 0.95), 4) AS q95 FROM listings WHERE price IS NOT NULL GROUP BY brand), j AS (SELECT * FROM listings JOIN q USING (brand) WHERE price IS NOT NULL)"
@@ -259,7 +258,7 @@ def saved_model(spark, sf):
     model = regular_pipeline().fit(df.where("is_train"))
     path = models.save(model, shared_path(spark, "models"), "v1")
     residual = F.col("y") - F.col("prediction")
-    model.transform(df.where("is_train")).agg(F.percentile(residual, F.array(F.lit(0.05), F.lit(0.95))).alias("q")).select(F.col("q")[0].alias("low"), F.col("q")[1].alias("up")).write.parquet(f"{path}-interval")
+    exact_quantiles(model.transform(df.where("is_train")).select(residual.alias("r")), [], "r", (0.05, 0.95)).select(F.col("q")[0].alias("low"), F.col("q")[1].alias("up")).write.parquet(f"{path}-interval")
     return path, df
 
 

@@ -16,10 +16,12 @@ _shipped: set[str] = set()
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder the cluster names in ``spark.checkpoint.dir``; a folder of our own only where it is unset."""
+    """The shared folder the cluster names in ``spark.checkpoint.dir``; a folder of our own only where it is unset and all runs on one machine."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     root = named or spark.sparkContext.getCheckpointDir()
     if root is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="spark-")
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(root)
