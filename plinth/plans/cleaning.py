@@ -117,12 +117,23 @@ def _silver_sql() -> str:
     return f"SELECT {', '.join([*(f'{e} AS {n}' for n, (_, _, e) in SILVER.items()), *four])}, {flags} FROM (SELECT *, {runs} FROM raw_listings)"
 
 
+def _apart(df, name):
+    """The same rows, counted: a node that keeps the projections on either side from being merged into one too large to compile."""
+    return df.observe(name, F.count(F.lit(1)).alias("n"))
+
+
 @query("rename_project", _silver_sql())
 def rename_project(spark, sf):
-    """All columns of the typed listing table."""
+    """All columns of the typed listing table, in three projections."""
     ranges = {n: text.range4(c) for n, c in RANGES.items()}
     four = [r[a].alias(f"{n}_{b}") for n, r in ranges.items() for a, b in (("low", "low"), ("up", "up"), ("mid", "val"), ("is_range", "is_range"))]
-    return raw_listings(spark, sf).select(*(f(c).alias(n) for n, (c, f, _) in SILVER.items()), *four, *text.damage_flags("damage_text"))
+    used = sorted({c for c, _, _ in SILVER.values()} | set(RANGES.values()) | {"damage_text"})
+    raw = _apart(raw_listings(spark, sf).select(*used), "raw")
+    first = [n for n in SILVER if n not in source.NUMBER_LABELS]
+    later = [c for n, (c, _, _) in SILVER.items() if n in source.NUMBER_LABELS]
+    typed = _apart(raw.select(*(SILVER[n][1](SILVER[n][0]).alias(n) for n in first), *four, *later, "damage_text"), "typed")
+    typed = _apart(typed.select(*(c for c in typed.columns if c not in later), *(SILVER[n][1](SILVER[n][0]).alias(n) for n in source.NUMBER_LABELS)), "numbers")
+    return typed.select(*(c for c in typed.columns if c != "damage_text"), *text.damage_flags("damage_text"))
 
 
 @query("derive_const_minus", "SELECT ad_id, 2026 - gb_year AS vehicle_age FROM listings")

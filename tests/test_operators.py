@@ -123,3 +123,97 @@ def test_page_records():
     r = pages.record(page)
     assert r["location"] == "Ankara" and r["damage"] == ["Kaput: Lokal Boyalı"] and r["fee_text"] == "1.200 TL" and r["price"] is None
     assert pages.record("")["attributes"] == []
+
+
+def test_outlier_flags_given_as_tables(spark):
+    from plinth.operators import outliers
+
+    z = spark.createDataFrame([(1, True), (2, False), (2, True), (3, False), (4, False)], "ad_id long, is_z boolean")
+    iso = spark.createDataFrame([(1, False), (2, False), (2, True), (3, True)], "ad_id long, is_iso boolean")
+    both = outliers.consolidated(z, iso, "ad_id")
+    assert sorted((r.ad_id, r.is_z, r.is_iso) for r in both.collect()) == [(1, True, False), (2, False, True), (2, True, True), (3, False, True), (4, False, False)]
+    assert tuple(outliers.flag_totals(both).first()) == (2, 3, 4)
+
+
+def test_isolation_forest_on_few_rows_and_any_partitioning(spark):
+    from plinth.operators import outliers
+
+    rows = [(i, float(i % 17), float(i % 5)) for i in range(400)] + [(1000, 900.0, -700.0)]
+    df = spark.createDataFrame(rows, "k long, a double, b double")
+    got = [{r.k: r.score for r in outliers.isolation_scores(d, "k", ("a", "b"), trees=20).collect()} for d in (df.repartition(1), df.repartition(7))]
+    assert got[0] == got[1] and max(got[0], key=got[0].get) == 1000
+    flags = outliers.isolation_flags(df, "k", ("a", "b"), contamination=0.01, trees=20).where("is_iso").collect()
+    assert 1000 in {r.k for r in flags} and len(flags) <= 8
+    few = outliers.isolation_scores(df.limit(3), "k", ("a", "b"), trees=5)
+    assert few.count() == 3 and outliers.isolation_scores(df.limit(0), "k", ("a", "b"), trees=5).count() == 0
+
+
+def test_pearson_with_nulls_and_constants(spark):
+    import numpy as np
+
+    from plinth.operators import association
+
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(300, 3)) * [1, 1e4, 1] + [0, 5e6, 7]
+    rows = [tuple(None if rng.random() < 0.2 else float(v) for v in r) + (2.5,) for r in x]
+    got = {(r.a, r.b): r.r for r in association.pearson(spark.createDataFrame(rows, "p double, q double, r double, c double"), ["p", "q", "r", "c"]).collect()}
+    a = np.array(rows, float)
+    for i, j in ((0, 1), (0, 2), (1, 2)):
+        ok = ~np.isnan(a[:, i]) & ~np.isnan(a[:, j])
+        assert abs(got["pqr"[i], "pqr"[j]] - np.corrcoef(a[ok, i], a[ok, j])[0, 1]) < 2e-6
+    assert got["p", "c"] == 0
+
+
+def test_exact_quantiles_and_arrays(spark):
+    import numpy as np
+
+    from plinth.operators import aggregates
+
+    rng = np.random.default_rng(2)
+    rows = [(None if i % 11 == 0 else f"g{i % 3}", None if i % 7 == 0 else float(rng.integers(0, 40))) for i in range(500)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    shares = (0.0, 0.05, 0.5, 0.9, 1.0)
+    got = {r.g: r.q for r in aggregates.exact_quantiles(df, ["g"], "v", shares).collect()}
+    for g in {g for g, _ in rows}:
+        assert np.allclose(got[g], np.quantile([v for h, v in rows if h == g and v is not None], shares))
+    chunks = aggregates.arrays_by_group(df, "g", "v", size=16).collect()
+    for g in ("g0", "g1", "g2"):
+        mine = sorted((r.chunk, r.points) for r in chunks if r.g == g)
+        assert all(len(p) == 16 for _, p in mine[:-1]) and [v for _, p in mine for v in p] == sorted(v for h, v in rows if h == g and v is not None)
+
+
+def test_linear_inference_and_fold_errors_in_closed_form(spark):
+    import numpy as np
+
+    from plinth.operators import models
+
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(400, 2))
+    y = 2 + x @ [1.5, -0.5] + 0.3 * rng.normal(size=400)
+    df = spark.createDataFrame([(float(a), float(b), float(2 * a + 1), float(t), i % 5) for i, ((a, b), t) in enumerate(zip(x, y))], "a double, b double, a2 double, y double, fold int")
+    got = {r.feature: r for r in models.inference(models.linear().fit(models.assembled(df, ["a", "b"])), ["a", "b"]).collect()}
+    d = np.column_stack([x, np.ones(400)])
+    beta = np.linalg.solve(d.T @ d, d.T @ y)
+    s2 = ((y - d @ beta) ** 2).sum() / 397
+    for k, c in enumerate(("a", "b", "intercept")):
+        assert abs(got[c].coefficient - beta[k]) < 1e-8 and abs(got[c].std_error - np.sqrt(s2 * np.linalg.inv(d.T @ d)[k, k])) < 1e-8
+    wanted = []
+    for i in range(5):
+        out = np.arange(400) % 5 == i
+        b = np.linalg.lstsq(d[~out], y[~out], rcond=None)[0]
+        wanted.append(np.sqrt(((y[out] - d[out] @ b) ** 2).mean()))
+    grams = models.fold_grams(df, ["a", "b", "a2"])
+    assert np.allclose(models.linear_errors(grams, [0, 1]), wanted) and np.allclose(models.linear_errors(grams, [0, 1, 2]), wanted)
+
+
+def test_text_tokens_cover_every_word(spark):
+    import pytest
+
+    from plinth.operators import models
+
+    df = spark.createDataFrame([("a b a",), (None,), ("C-d",)], "t string")
+    out, words, rows = models.text_tokens(df, "t")
+    assert words == ["a", "b", "c", "d"] and rows["a"] == 1
+    assert sorted(tuple(r.tokens.toArray()) for r in out.collect()) == [(0, 0, 0, 0), (0, 0, 1, 1), (2, 1, 0, 0)]
+    with pytest.raises(ValueError):
+        models.text_tokens(df, "t", most=3)
