@@ -4,32 +4,52 @@ A marked word is a run of whitespace markers and the characters up to the next
 marker.  When no piece of the vocabulary has a marker behind another character
 (checked on the model itself), merges never cross the start of a marked word,
 so each distinct marked word is segmented once, and the ids of a text are the
-ids of its marked words by position.  The table of distinct words is kept by
-each Python worker for the rows that it sees, and is emptied when it reaches
-its bound, so its memory doesn't follow the corpus; a table across the cluster
-would have to shuffle every occurrence of every word.
-
-Nulls count as the empty text (no ids, decoded to the empty text).  Repeated
-rows are encoded each on its own; columns other than the named two aren't read.
+ids of its marked words by position.
+
+1.  Each task lists the distinct words of its texts, block by block of bounded
+    size, dealt by their hashes to buckets: of a block, a bucket gets one row.
+    Occurrences aren't shuffled, only these lists.
+2.  A bucket's task segments each distinct word of all blocks once, and gives
+    every block the ids of its words in the order in which they came.
+3.  The ids of a block are written as one file in the shared folder, and the
+    tasks that read the texts again put the ids in place by position.
+
+A block's file says by a digest which words its ids belong to.  Should a task
+meet other texts than those its file was made from (rows that come in another
+order when they are computed again), it segments the words on the spot, so the
+result never depends on that.
+
+Nulls count as the empty text (no ids, decoded to the empty text).  Very long
+texts are blocks of their own.  Repeated rows are encoded each on its own, an
+empty table gives an empty result, and columns other than the named two aren't
+read, whatever their names.
 """
 
 from __future__ import annotations
 
 import functools
 import re
+import struct
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Distinct marked words that a worker keeps; longer words than this aren't kept.
-TABLE_WORDS, WORD_CHARS = 100_000, 48
+from plinth.session import shared_path
+
+#: Characters of a block of texts, and of all texts for each bucket of words, about.
+BLOCK_CHARS, BUCKET_CHARS = 8_000_000, 32_000_000
 MARK = "▁"
 _WORD = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 
 
+def marked_words(text: str) -> list[str]:
+    return _WORD.findall(MARK + text.replace(" ", MARK)) if text else []
+
+
 class Codec:
-    """Segments marked words with the library, each distinct one once."""
+    """Segments marked words with the library."""
 
     def __init__(self, model: str):
         import sentencepiece
@@ -37,55 +57,191 @@ class Codec:
         self.sp = sentencepiece.SentencePieceProcessor(model_file=model)
         pieces = [self.sp.id_to_piece(i) for i in range(self.sp.get_piece_size())]
         crossing = [p for p in pieces if MARK in p.lstrip(MARK)]
-        identity = all(self.sp.normalize(x) == MARK + x.replace(" ", MARK) for x in ("a  b", " ½ﬁ\n\t", "é "))
+        identity = all(self.sp.normalize(x) == MARK + x.replace(" ", MARK) for x in ("a  b", " ½ﬁ\n\t", "é "))
         if crossing or not identity:
             raise ValueError("pieces of this model cross whitespace markers, or it changes its input; a table of marked words can't represent it")
         self.lone = [self.sp.piece_to_id(MARK)]
-        self.table: dict[str, list[int]] = {}
 
     def segment(self, words: list[str]) -> list[list[int]]:
         """Ids of marked words.  The library puts one marker before what it is given, so a word goes in without its first one."""
         found = self.sp.encode([w[1:].replace(MARK, " ") for w in words], num_threads=1)
         return [self.lone if w == MARK else ids for w, ids in zip(words, found)]
 
-    def encode(self, text: str) -> list[int]:
-        if not text:
-            return []
-        words = _WORD.findall(MARK + text.replace(" ", MARK))
-        table = self.table
-        fresh = [w for w in dict.fromkeys(words) if w not in table]
-        if fresh:
-            if len(table) + len(fresh) > TABLE_WORDS:
-                table.clear()
-                fresh = list(dict.fromkeys(words))
-            found = dict(zip(fresh, self.segment(fresh)))
-            table.update((w, ids) for w, ids in found.items() if len(w) <= WORD_CHARS)
-            if any(len(w) > WORD_CHARS for w in fresh):
-                return [i for w in words for i in (table[w] if w in table else found[w])]
-        return [i for w in words for i in table[w]]
-
 
 @functools.lru_cache(maxsize=2)
 def load_codec(model: str) -> Codec:
     return Codec(model)
 
 
-def sentencepiece_codec(df: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", batch_chars: int = 1_000_000) -> DataFrame:
-    """``id_col, ids array<int>, decoded string`` for each row; ``model`` is the path of a model file that every executor has."""
-    kind = df.schema[id_col].dataType
+def packed_words(words: list[str]) -> bytes:
+    """Lengths, then the words; what ``unpacked_words`` reads."""
+    data = [w.encode("utf-8", "surrogatepass") for w in words]
+    return struct.pack("<I", len(data)) + np.array([len(x) for x in data], np.uint32).tobytes() + b"".join(data)
+
+
+def unpacked_words(data: bytes) -> list[str]:
+    (n,) = struct.unpack_from("<I", data)
+    ends = np.cumsum(np.frombuffer(data, np.uint32, n, 4), dtype=np.int64) + 4 + 4 * n
+    starts = [4 + 4 * n, *ends[:-1].tolist()] if n else []
+    return [data[a:b].decode("utf-8", "surrogatepass") for a, b in zip(starts, ends.tolist())]
+
+
+def packed_ids(found: list[list[int]]) -> bytes:
+    flat = np.array([i for ids in found for i in ids], np.uint32)
+    kind = np.uint16 if not len(flat) or flat.max() < 1 << 16 else np.uint32
+    return struct.pack("<II", len(found), np.dtype(kind).itemsize) + np.array([len(ids) for ids in found], np.uint32).tobytes() + flat.astype(kind).tobytes()
+
+
+def unpacked_ids(data: bytes) -> list[list[int]]:
+    n, width = struct.unpack_from("<II", data)
+    sizes = np.frombuffer(data, np.uint32, n, 8)
+    flat = np.frombuffer(data, {2: np.uint16, 4: np.uint32}[width], int(sizes.sum()), 8 + 4 * n).tolist()
+    ends = np.cumsum(sizes, dtype=np.int64).tolist()
+    return [flat[a:b] for a, b in zip([0, *ends[:-1]], ends)]
+
+
+def _blocks(batches, block_chars: int):
+    """(number, ids of rows, texts) of consecutive rows that hold about so many characters."""
+    number, keys, texts, size = 0, [], [], 0
+    for b in batches:
+        for key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            if texts and size + len(text) > block_chars:
+                yield number, keys, texts
+                number, keys, texts, size = number + 1, [], [], 0
+            keys.append(key)
+            texts.append(text)
+            size += len(text)
+    if texts:
+        yield number, keys, texts
+
+
+def _buckets(texts: list[str], buckets: int) -> dict[int, list[str]]:
+    """The distinct words of texts by bucket, in the order in which they come."""
+    from xxhash import xxh32_intdigest
+
+    seen: dict = {}
+    for t in texts:
+        seen.update(dict.fromkeys(marked_words(t)))
+    out: dict = {}
+    for w in seen:
+        out.setdefault(xxh32_intdigest(w.encode("utf-8", "surrogatepass")) % buckets, []).append(w)
+    return out
+
+
+def word_lists(rows: DataFrame, buckets: int, block_chars: int) -> DataFrame:
+    """``part, block, bucket, words`` of the rows' tasks."""
+
+    def run(batches):
+        from pyspark import TaskContext
+
+        part = TaskContext.get().partitionId()
+        for number, _, texts in _blocks(batches, block_chars):
+            found = sorted((k, packed_words(ws)) for k, ws in _buckets(texts, buckets).items())
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array([part] * len(found), pa.int32()), pa.array([number] * len(found), pa.int32()), pa.array([k for k, _ in found], pa.int32()), pa.array([w for _, w in found], pa.binary())], names=["part", "block", "bucket", "words"])
+
+    return rows.mapInArrow(run, "part int, block int, bucket int, words binary")
+
+
+def word_ids(lists: DataFrame, model: str, buckets: int) -> DataFrame:
+    """``part, block, bucket, digest, ids``: for each list the ids of its words, each distinct word segmented once."""
 
     def run(batches):
-        codec = load_codec(model)
+        from xxhash import xxh64_intdigest
+
+        codec, at, table = load_codec(model), None, {}
         for b in batches:
-            texts, lo = b.column(1).to_pylist(), 0
+            out = []
+            for r in b.to_pylist():
+                if r["bucket"] != at:
+                    at, table = r["bucket"], {}
+                words = unpacked_words(r["words"])
+                fresh = [w for w in words if w not in table]
+                table.update(zip(fresh, map(tuple, codec.segment(fresh))))
+                out.append((r["part"], r["block"], at, int(np.uint64(xxh64_intdigest(r["words"])).view(np.int64)), packed_ids([table[w] for w in words])))
+            kinds = (pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out) if out else [[]] * 5, kinds)], names=["part", "block", "bucket", "digest", "ids"])
+
+    # a bucket is in one task, its rows one after the other
+    dealt = lists.repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    return dealt.mapInArrow(run, "part int, block int, bucket int, digest long, ids binary")
+
+
+def _filesystem(path: str):
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri("file://" + path[5:] if path.startswith("file:/") and not path.startswith("file://") else path)
+
+
+def write_tables(ids: DataFrame, folder: str) -> None:
+    """One file for each block: its lists' buckets, digests and ids.  An attempt writes a name of its own and moves it, so that a file is always whole."""
+
+    def write(table: pa.Table) -> pa.Table:
+        from pyspark import TaskContext
+
+        where, top = _filesystem(folder)
+        part, block = table.column("part")[0].as_py(), table.column("block")[0].as_py()
+        where.create_dir(top, recursive=True)
+        name = f"{top}/{part}-{block}"
+        own = f"{name}.{TaskContext.get().taskAttemptId()}"
+        with where.open_output_stream(own, compression=None) as f, pa.ipc.new_file(f, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+            w.write_table(table)
+        where.move(own, name)
+        return pa.table({"n": pa.array([table.num_rows], pa.int64())})
+
+    ids.groupBy("part", "block").applyInArrow(write, "n long").agg(F.sum("n")).collect()  # one number
+
+
+def _table(where, name: str, by_bucket: dict[int, list[str]], codec: Codec) -> dict[str, list[int]]:
+    """Word to ids for one block, from its file as far as that was made from the same words."""
+    from xxhash import xxh64_intdigest
+
+    held = {}
+    if where is not None:
+        try:
+            with where.open_input_file(name) as f:
+                for r in pa.ipc.open_file(f).read_all().to_pylist():
+                    held[r["bucket"]] = r
+        except FileNotFoundError:
+            pass
+    table: dict = {}
+    for bucket, words in by_bucket.items():
+        r = held.get(bucket)
+        same = r is not None and r["digest"] == int(np.uint64(xxh64_intdigest(packed_words(words))).view(np.int64))
+        table.update(zip(words, unpacked_ids(r["ids"]) if same else codec.segment(words)))
+    return table
+
+
+def sentencepiece_codec(df: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", batch_chars: int = 1_000_000, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """``id_col, ids array<int>, decoded string`` for each row; ``model`` is the path of a model file that every executor has.
+
+    The table of words is made when this is called, the texts are encoded when the result is read.
+    """
+    spark, kind = df.sparkSession, df.schema[id_col].dataType
+    rows = df.select(id_col, F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
+    buckets = max(1, -(-chars // BUCKET_CHARS), min(2 * spark.sparkContext.defaultParallelism, -(-chars // 100_000)))
+    folder = shared_path(spark, "words")
+    write_tables(word_ids(word_lists(rows, buckets, block_chars), model, buckets), folder)
+
+    def run(batches):
+        from pyspark import TaskContext
+
+        part, codec = TaskContext.get().partitionId(), load_codec(model)
+        where, top = _filesystem(folder)
+        for number, keys, texts in _blocks(batches, block_chars):
+            table = _table(where, f"{top}/{part}-{number}", _buckets(texts, buckets), codec)
+            lo = 0
             while lo < len(texts):
                 hi, size = lo, 0
                 while hi < len(texts) and (hi == lo or size + len(texts[hi]) <= batch_chars):
                     size += len(texts[hi])
                     hi += 1
-                ids = [codec.encode(t) for t in texts[lo:hi]]
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(ids, pa.list_(pa.int32())), pa.array(codec.sp.decode(ids, num_threads=1), pa.string())], names=[id_col, "ids", "decoded"])
+                ids = [[i for w in marked_words(t) for i in table[w]] for t in texts[lo:hi]]
+                yield pa.RecordBatch.from_arrays([pa.array(keys[lo:hi], kinds), pa.array(ids, pa.list_(pa.int32())), pa.array(codec.sp.decode(ids, num_threads=1), pa.string())], names=[id_col, "ids", "decoded"])
                 lo = hi
 
-    rows = df.select(id_col, F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    kinds = to_arrow_type(kind)
     return rows.mapInArrow(run, f"`{id_col}` {kind.simpleString()}, ids array<int>, decoded string")

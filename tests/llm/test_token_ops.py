@@ -41,7 +41,7 @@ def test_token_counts_rows(spark):
     assert token_counts.token_counts(df.limit(0), BPE).count() == 0
 
 
-def test_codec_equals_library(spark, monkeypatch):
+def test_codec_equals_library(spark):
     sp = sentencepiece.SentencePieceProcessor(model_file=PIECE)
     df = spark.createDataFrame([(k, t, [1]) for k, t in enumerate(TEXTS)], "doc_id long, text string, ids array<int>")
     rows = sentencepiece_codec.sentencepiece_codec(df, PIECE).orderBy("doc_id").collect()
@@ -49,10 +49,34 @@ def test_codec_equals_library(spark, monkeypatch):
     for r, t in zip(rows, TEXTS):
         assert r.ids == sp.encode(t or ""), repr(t)[:80]
         assert r.decoded == sp.decode(r.ids)
-    monkeypatch.setattr(sentencepiece_codec, "TABLE_WORDS", 5)
-    codec = sentencepiece_codec.Codec(PIECE)
-    assert [codec.encode(t or "") for t in TEXTS] == [sp.encode(t or "") for t in TEXTS]
     assert sentencepiece_codec.sentencepiece_codec(df.limit(0), PIECE).count() == 0
+    # blocks of few texts, more tasks, a change of order between the passes: still the library's ids
+    small = sentencepiece_codec.sentencepiece_codec(df.repartition(5), PIECE, block_chars=500)
+    assert {r.doc_id: r.ids for r in small.collect()} == {r.doc_id: r.ids for r in rows}
+
+
+def test_each_distinct_word_is_segmented_once(spark):
+    texts = [(k, f"the cat {k % 3} sat on the mat") for k in range(40)] + [(99, None), (100, "")]
+    df = spark.createDataFrame(texts, "doc_id long, text string").repartition(4)
+    lists = sentencepiece_codec.word_lists(df.fillna(""), 3, 200)
+    ids = sentencepiece_codec.word_ids(lists, PIECE, 3)
+    made = {(r.part, r.block, r.bucket): r.ids for r in ids.collect()}
+    sp = sentencepiece.SentencePieceProcessor(model_file=PIECE)
+    seen = set()
+    for r in lists.collect():
+        words = sentencepiece_codec.unpacked_words(bytes(r.words))
+        seen |= set(words)
+        assert sentencepiece_codec.unpacked_ids(bytes(made[r.part, r.block, r.bucket])) == [sp.encode(w[1:]) for w in words]
+    assert seen == {"▁the", "▁cat", "▁0", "▁1", "▁2", "▁sat", "▁on", "▁mat"}
+
+
+def test_texts_other_than_the_table_was_made_from():
+    codec = sentencepiece_codec.load_codec(PIECE)
+    words = {0: ["▁a", "▁", "▁bcd"]}
+    assert sentencepiece_codec._table(None, "", words, codec) == dict(zip(words[0], codec.segment(words[0])))
+    packed = sentencepiece_codec.packed_ids([[1, 70_000], [], [3]])
+    assert sentencepiece_codec.unpacked_ids(packed) == [[1, 70_000], [], [3]]
+    assert sentencepiece_codec.unpacked_words(sentencepiece_codec.packed_words(["", "é\x00", "b"])) == ["", "é\x00", "b"]
 
 
 def test_digests(spark):
