@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from plinth.session import shared_path
 
 #: Characters of a block of texts, and of all texts for each bucket of words, about.
-BLOCK_CHARS, BUCKET_CHARS = 8_000_000, 32_000_000
+BLOCK_CHARS, BUCKET_CHARS = 16_000_000, 32_000_000
 MARK = "▁"
 _WORD = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 
