@@ -8,7 +8,9 @@ the identity.  The score is the logistic of the difference of the two classes'
 log densities, from Mahalanobis distances by the Cholesky factors, which are
 made once and sent along with the task.
 
-Nulls are scored as the empty text.  Repeated rows are scored each on its own.
+Nulls are scored as the empty text, very long texts whole, in blocks of bytes.
+Repeated rows are scored each on its own, an empty table gives an empty result,
+and other columns are not read, whatever their names.
 A training label that is null or not 0 or 1 is ignored; of several labels for
 one id the largest counts.  If a class has no training rows, scores are the
 share of label 1 among the rows there are, 0.5 if there are none.

@@ -21,8 +21,9 @@ Two fingerprints differ in at most two bits exactly if they share one of
 those, and any two that share one differ in at most two, so hanging each on
 the least of its group gives the same components with 65 rows a member.
 
-Null texts are empty texts; repeated rows count each; columns other than the
-two named ones are not read; an empty table gives an empty result.
+Null texts are empty texts; very long ones are taken whole, in blocks of
+shingles; repeated rows count each; columns other than the two named ones are
+not read; an empty table gives an empty result.
 """
 
 from __future__ import annotations

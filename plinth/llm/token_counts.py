@@ -1,14 +1,16 @@
 """Token counts of whole texts, with overlap resynchronisation for huge ones.
 
 Ordinary texts go to the tokenizer as they are.  A huge text is encoded in
-overlapping chunks with offsets, so memory stays bounded by the chunk.  Two
+overlapping chunks with offsets, so memory stays bounded by the chunk wherever
+the text has boundaries.  Two
 chunks are spliced at a *proven* common boundary: a place where a word of the
 tokenizer's own split begins in both, and which lies so far before the end of
 the left chunk that nothing behind that end can have moved it.  What follows
 such a place doesn't depend on what stands before it, so the right chunk's ids
 from there on are the ids of the whole text.  If the overlap holds no such
 place (one very long word, say) the overlap is doubled, up to the left
-chunk's start, where it always succeeds.
+chunk's start, where it always succeeds; a text that is one word without any
+boundary is so encoded as a whole in the end, which exact counts need.
 
 Nulls count as the empty text, which has no tokens.  Repeated rows are counted
 each on its own, an empty table gives an empty result, and columns other than
