@@ -46,9 +46,10 @@ def broadcast_if_small(df: DataFrame, max_rows: int = 1_000_000) -> DataFrame:
 
 def prepare(spark: SparkSession) -> None:
     """What every query needs: our modules on the executors, and Arrow batches small enough for long texts."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(key) == "10000":  # the default; a size of the user's own stays
-        spark.conf.set(key, "1000")
+    # in place of the defaults only; sizes of the user's own stay
+    for key, default, ours in (("maxRecordsPerBatch", "10000", "1000"), ("maxBytesPerBatch", "67108864b", "4194304")):
+        if spark.conf.get(f"spark.sql.execution.arrow.{key}") == default:
+            spark.conf.set(f"spark.sql.execution.arrow.{key}", ours)
     ship_package(spark)
 
 
