@@ -30,6 +30,9 @@ from __future__ import annotations
 import functools
 import re
 import struct
+from array import array
+from itertools import groupby
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +43,8 @@ from plinth.session import shared_path
 
 #: Characters of a block of texts, and of all texts for each bucket of words, about.
 BLOCK_CHARS, BUCKET_CHARS = 16_000_000, 32_000_000
+#: Bytes of ids that a task holds before it hands them on, about.
+OUT_BYTES = 4_000_000
 MARK = "▁"
 _WORD = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 
@@ -60,12 +65,21 @@ class Codec:
         identity = all(self.sp.normalize(x) == MARK + x.replace(" ", MARK) for x in ("a  b", " ½ﬁ\n\t", "é "))
         if crossing or not identity:
             raise ValueError("pieces of this model cross whitespace markers, or it changes its input; a table of marked words can't represent it")
-        self.lone = [self.sp.piece_to_id(MARK)]
+        self.lone = id_bytes([self.sp.piece_to_id(MARK)])
 
-    def segment(self, words: list[str]) -> list[list[int]]:
+    def segment(self, words: list[str]) -> list[bytes]:
         """Ids of marked words.  The library puts one marker before what it is given, so a word goes in without its first one."""
-        found = self.sp.encode([w[1:].replace(MARK, " ") for w in words], num_threads=1)
-        return [self.lone if w == MARK else ids for w, ids in zip(words, found)]
+        out = []
+        for lo in range(0, len(words), 10_000):
+            part = words[lo : lo + 10_000]
+            found = self.sp.encode([w[1:].replace(MARK, " ") for w in part], num_threads=1)
+            out += [self.lone if w == MARK else id_bytes(ids) for w, ids in zip(part, found)]
+        return out
+
+
+def id_bytes(ids) -> bytes:
+    """Ids as four bytes each, the form that tables of words hold: a third of the memory of lists."""
+    return array("I", ids).tobytes()
 
 
 @functools.lru_cache(maxsize=2)
@@ -86,36 +100,34 @@ def unpacked_words(data: bytes) -> list[str]:
     return [data[a:b].decode("utf-8", "surrogatepass") for a, b in zip(starts, ends.tolist())]
 
 
-def packed_ids(found: list[list[int]]) -> bytes:
-    flat = np.array([i for ids in found for i in ids], np.uint32)
+def packed_ids(found: list[bytes]) -> bytes:
+    """Numbers of ids, then the ids in two bytes where these do; what ``unpacked_ids`` reads."""
+    flat = np.frombuffer(b"".join(found), np.uint32)
     kind = np.uint16 if not len(flat) or flat.max() < 1 << 16 else np.uint32
-    return struct.pack("<II", len(found), np.dtype(kind).itemsize) + np.array([len(ids) for ids in found], np.uint32).tobytes() + flat.astype(kind).tobytes()
+    return struct.pack("<II", len(found), np.dtype(kind).itemsize) + np.array([len(ids) // 4 for ids in found], np.uint32).tobytes() + flat.astype(kind).tobytes()
 
 
-def unpacked_ids(data: bytes) -> list[list[int]]:
+def unpacked_ids(data: bytes) -> list[bytes]:
     n, width = struct.unpack_from("<II", data)
     sizes = np.frombuffer(data, np.uint32, n, 8)
-    flat = np.frombuffer(data, {2: np.uint16, 4: np.uint32}[width], int(sizes.sum()), 8 + 4 * n).tolist()
-    ends = np.cumsum(sizes, dtype=np.int64).tolist()
+    flat = np.frombuffer(data, {2: np.uint16, 4: np.uint32}[width], int(sizes.sum()), 8 + 4 * n).astype(np.uint32).tobytes()
+    ends = (4 * np.cumsum(sizes, dtype=np.int64)).tolist()
     return [flat[a:b] for a, b in zip([0, *ends[:-1]], ends)]
 
 
-def _blocks(batches, block_chars: int):
-    """(number, ids of rows, texts) of consecutive rows that hold about so many characters."""
-    number, keys, texts, size = 0, [], [], 0
+def _rows(batches, block_chars: int):
+    """(number of the block, id, text) of each row; a block is consecutive rows that hold about so many characters."""
+    number, size = 0, 0
     for b in batches:
-        for key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            if texts and size + len(text) > block_chars:
-                yield number, keys, texts
-                number, keys, texts, size = number + 1, [], [], 0
-            keys.append(key)
-            texts.append(text)
+        for key, text in zip(b.column(0), b.column(1)):
+            text = text.as_py()
+            if size and size + len(text) > block_chars:
+                number, size = number + 1, 0
             size += len(text)
-    if texts:
-        yield number, keys, texts
+            yield number, key.as_py(), text
 
 
-def _buckets(texts: list[str], buckets: int) -> dict[int, list[str]]:
+def _buckets(texts, buckets: int) -> dict[int, list[str]]:
     """The distinct words of texts by bucket, in the order in which they come."""
     from xxhash import xxh32_intdigest
 
@@ -135,8 +147,8 @@ def word_lists(rows: DataFrame, buckets: int, block_chars: int) -> DataFrame:
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
-        for number, _, texts in _blocks(batches, block_chars):
-            found = sorted((k, packed_words(ws)) for k, ws in _buckets(texts, buckets).items())
+        for number, block in groupby(_rows(batches, block_chars), itemgetter(0)):
+            found = sorted((k, packed_words(ws)) for k, ws in _buckets(map(itemgetter(2), block), buckets).items())
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array([part] * len(found), pa.int32()), pa.array([number] * len(found), pa.int32()), pa.array([k for k, _ in found], pa.int32()), pa.array([w for _, w in found], pa.binary())], names=["part", "block", "bucket", "words"])
 
@@ -149,18 +161,26 @@ def word_ids(lists: DataFrame, model: str, buckets: int) -> DataFrame:
     def run(batches):
         from xxhash import xxh64_intdigest
 
-        codec, at, table = load_codec(model), None, {}
+        def batch(out):
+            kinds = (pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), kinds)], names=["part", "block", "bucket", "digest", "ids"])
+
+        codec, at, table, out, size = load_codec(model), None, {}, [], 0
         for b in batches:
-            out = []
-            for r in b.to_pylist():
-                if r["bucket"] != at:
-                    at, table = r["bucket"], {}
-                words = unpacked_words(r["words"])
+            for part, block, bucket, data in zip(*b.columns):
+                if bucket.as_py() != at:
+                    at, table = bucket.as_py(), {}
+                data = data.as_py()
+                words = unpacked_words(data)
                 fresh = [w for w in words if w not in table]
-                table.update(zip(fresh, map(tuple, codec.segment(fresh))))
-                out.append((r["part"], r["block"], at, int(np.uint64(xxh64_intdigest(r["words"])).view(np.int64)), packed_ids([table[w] for w in words])))
-            kinds = (pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out) if out else [[]] * 5, kinds)], names=["part", "block", "bucket", "digest", "ids"])
+                table.update(zip(fresh, codec.segment(fresh)))
+                out.append((part.as_py(), block.as_py(), at, int(np.uint64(xxh64_intdigest(data)).view(np.int64)), packed_ids([table[w] for w in words])))
+                size += len(out[-1][-1])
+                if size > OUT_BYTES:
+                    yield batch(out)
+                    out, size = [], 0
+        if out:
+            yield batch(out)
 
     # a bucket is in one task, its rows one after the other
     dealt = lists.repartition(buckets, "bucket").sortWithinPartitions("bucket")
@@ -192,7 +212,7 @@ def write_tables(ids: DataFrame, folder: str) -> None:
     ids.groupBy("part", "block").applyInArrow(write, "n long").agg(F.sum("n")).collect()  # one number
 
 
-def _table(where, name: str, by_bucket: dict[int, list[str]], codec: Codec) -> dict[str, list[int]]:
+def _table(where, name: str, by_bucket: dict[int, list[str]], codec: Codec) -> dict[str, bytes]:
     """Word to ids for one block, from its file as far as that was made from the same words."""
     from xxhash import xxh64_intdigest
 
@@ -229,7 +249,8 @@ def sentencepiece_codec(df: DataFrame, model: str, id_col: str = "doc_id", text_
 
         part, codec = TaskContext.get().partitionId(), load_codec(model)
         where, top = _filesystem(folder)
-        for number, keys, texts in _blocks(batches, block_chars):
+        for number, block in groupby(_rows(batches, block_chars), itemgetter(0)):
+            _, keys, texts = zip(*block)
             table = _table(where, f"{top}/{part}-{number}", _buckets(texts, buckets), codec)
             lo = 0
             while lo < len(texts):
@@ -237,8 +258,11 @@ def sentencepiece_codec(df: DataFrame, model: str, id_col: str = "doc_id", text_
                 while hi < len(texts) and (hi == lo or size + len(texts[hi]) <= batch_chars):
                     size += len(texts[hi])
                     hi += 1
-                ids = [[i for w in marked_words(t) for i in table[w]] for t in texts[lo:hi]]
-                yield pa.RecordBatch.from_arrays([pa.array(keys[lo:hi], kinds), pa.array(ids, pa.list_(pa.int32())), pa.array(codec.sp.decode(ids, num_threads=1), pa.string())], names=[id_col, "ids", "decoded"])
+                ids = [b"".join([table[w] for w in marked_words(t)]) for t in texts[lo:hi]]
+                ends = np.cumsum([0, *[len(x) // 4 for x in ids]]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(ids), np.int32)))
+                decoded = codec.sp.decode([np.frombuffer(x, np.int32).tolist() for x in ids], num_threads=1)
+                yield pa.RecordBatch.from_arrays([pa.array(keys[lo:hi], kinds), lists, pa.array(decoded, pa.string())], names=[id_col, "ids", "decoded"])
                 lo = hi
 
     from pyspark.sql.pandas.types import to_arrow_type

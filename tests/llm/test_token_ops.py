@@ -66,7 +66,7 @@ def test_each_distinct_word_is_segmented_once(spark):
     for r in lists.collect():
         words = sentencepiece_codec.unpacked_words(bytes(r.words))
         seen |= set(words)
-        assert sentencepiece_codec.unpacked_ids(bytes(made[r.part, r.block, r.bucket])) == [sp.encode(w[1:]) for w in words]
+        assert sentencepiece_codec.unpacked_ids(bytes(made[r.part, r.block, r.bucket])) == [sentencepiece_codec.id_bytes(sp.encode(w[1:])) for w in words]
     assert seen == {"▁the", "▁cat", "▁0", "▁1", "▁2", "▁sat", "▁on", "▁mat"}
 
 
@@ -74,8 +74,9 @@ def test_texts_other_than_the_table_was_made_from():
     codec = sentencepiece_codec.load_codec(PIECE)
     words = {0: ["▁a", "▁", "▁bcd"]}
     assert sentencepiece_codec._table(None, "", words, codec) == dict(zip(words[0], codec.segment(words[0])))
-    packed = sentencepiece_codec.packed_ids([[1, 70_000], [], [3]])
-    assert sentencepiece_codec.unpacked_ids(packed) == [[1, 70_000], [], [3]]
+    for ids in ([[1, 70_000], [], [3]], [[1, 2], [], [3]], []):
+        found = [sentencepiece_codec.id_bytes(x) for x in ids]
+        assert sentencepiece_codec.unpacked_ids(sentencepiece_codec.packed_ids(found)) == found
     assert sentencepiece_codec.unpacked_words(sentencepiece_codec.packed_words(["", "é\x00", "b"])) == ["", "é\x00", "b"]
 
 
