@@ -46,9 +46,13 @@ def pii_stage(spark, docs, sf_dir):
 
 
 def sentencepiece_stage(spark, docs, sf_dir):
-    """Ids of each text, with their number and whether they decode to it."""
+    """Ids of each text, with their number and the text that they decode to.
+
+    Blocks are a quarter of the operator's own: executors still hold what the stages before left in memory, and smaller
+    tables of words cost more shuffle only.
+    """
     prepare(spark)
-    out = sentencepiece_codec.sentencepiece_codec(docs, public_tokenizers.path("piece_bpe_32k.model"))
+    out = sentencepiece_codec.sentencepiece_codec(docs, public_tokenizers.path("piece_bpe_32k.model"), block_chars=sentencepiece_codec.BLOCK_CHARS // 4)
     return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", "decoded")
 
 
