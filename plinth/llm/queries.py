@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plinth.llm import decontaminate, html_text, pii, quality, sentencepiece_codec, simhash, token_counts, toxicity, vector_search, warc
+from plinth.llm import decontaminate, fill_middle, html_text, language_id, pii, quality, sentencepiece_codec, simhash, token_alignment, token_counts, toxicity, vector_search, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,6 +67,22 @@ def op10_sentencepiece(spark, sf_dir):
     return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op11_fill_middle(spark, sf_dir):
+    out = fill_middle.fill_middle(_table(spark, sf_dir, "documents"))
+    return out.withColumn("output_sha256", F.sha2("output", 256)).withColumn("restored_sha256", F.sha2(fill_middle.restored(F.col("output"), F.col("form")), 256)).drop("output")
+
+
+def op12_token_alignment(spark, sf_dir):
+    a, b = _tokenizer("byte_bpe_50k.json"), _tokenizer("piece_bpe_32k.model")
+    aligned = token_alignment.align(_table(spark, sf_dir, "documents"), a, b)
+    digest = F.when(F.col("groups") != "", F.sha2("groups", 256)).otherwise("").alias("groups_sha256")
+    return token_alignment.with_counts(aligned.select("*", digest).drop("groups"), a, b)
+
+
+def op13_language_id(spark, sf_dir):
+    return language_id.languages(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_quality": op2_quality,
@@ -78,6 +94,9 @@ QUERIES = {
     "op8_decontaminate": op8_decontaminate,
     "op9_pii": op9_pii,
     "op10_sentencepiece": op10_sentencepiece,
+    "op11_fill_middle": op11_fill_middle,
+    "op12_token_alignment": op12_token_alignment,
+    "op13_language_id": op13_language_id,
 }
 
 ORACLES: dict[str, str] = {
@@ -97,4 +116,12 @@ ORACLES: dict[str, str] = {
               FROM e q JOIN e c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id),
         r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
         SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""",
+    "op11_fill_middle": """
+        WITH h AS (SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS d, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS units FROM documents),
+        x AS (SELECT *, len(units) AS n, list_transform(range(0, 4), lambda i: CAST('0x' || substr(d, CAST(8 * i + 1 AS INT), 8) AS BIGINT)) AS r FROM h),
+        k AS (SELECT *, least(r[1] % (n + 1), r[2] % (n + 1)) AS k1, greatest(r[1] % (n + 1), r[2] % (n + 1)) AS k2,
+                     CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR r[3] % 100 >= 90 THEN 'plain' WHEN r[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM x),
+        p AS (SELECT *, array_to_string(units[1:k1], '') AS prefix, array_to_string(units[k1 + 1:k2], '') AS middle, array_to_string(units[k2 + 1:], '') AS suffix FROM k)
+        SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN CAST(length(prefix) AS BIGINT) END AS prefix_chars, CASE WHEN form <> 'plain' THEN CAST(length(middle) AS BIGINT) END AS middle_chars,
+               sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256, sha256(t) AS restored_sha256 FROM p""",
 }
