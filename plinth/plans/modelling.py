@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from plinth.functions import scores
-from plinth.operators import encode, evaluate, models
+from plinth.operators import encode, evaluate, models, trees
 from plinth.operators.aggregates import exact_quantiles
 from plinth.plans import least_squares as ls
 from plinth.plans.least_squares import REGULAR
@@ -177,43 +177,107 @@ def model_knn(spark, sf):
     return models.knn_grid(e, "vec_id", "v", "y", F.col("vec_id") % 100 == 0, _KNN)
 
 
+def _grid_rows(spark, points, errors):
+    rows = [(", ".join(f"{k}={v}" for k, v in sorted(p.items())), round(float(e), 6)) for p, e in zip(points, errors)]
+    return spark.createDataFrame(rows, "parameters string, mse double").orderBy("mse", "parameters")
+
+
+def _binned(spark, sf, bins=32):
+    return trees.Binned.of(frame(spark, sf), FEATURES, bins=bins)
+
+
+_DEPTHS, _FOLDS = (3, 5, 7, 10), range(5)
+
+
 @query("model_tree")
 def model_tree(spark, sf):
-    return models.tuned(ready(spark, sf), models.tree(), {"maxDepth": [3, 6], "minInstancesPerNode": [5, 20]}, k=5)[1]
+    """Depth, least rows to split and least rows of a leaf, over five folds.  A deep tree read to less depth is the shallower tree."""
+    table, leafs = _binned(spark, sf), [(s, m) for s in (2, 5, 10) for m in (1, 2, 4)]
+    specs = [trees.Spec(depth=max(_DEPTHS), min_split=s, min_leaf=m, fold=k) for s, m in leafs for k in _FOLDS]
+    errors = trees.errors_by_depth(table, specs, [[t] for t in trees.grow(table, specs)], [1], list(_DEPTHS))[:, 0].reshape(len(leafs), 5, -1).mean(axis=1)
+    points = [{"max_depth": d, "min_samples_split": s, "min_samples_leaf": m} for s, m in leafs for d in _DEPTHS]
+    return _grid_rows(spark, points, errors.ravel())
+
+
+def _bags(spark, sf, shares, numbers, depths):
+    """Errors of bags of trees, by (rows, features) share, number of trees and depth, averaged over five folds."""
+    table, most = _binned(spark, sf), max(numbers)
+    owners = [(r, f, k) for r, f in shares for k in _FOLDS]
+    specs = [trees.Spec(depth=max(depths), rows=r, repeats=True, features=f, fold=k, seed=1 + t) for r, f, k in owners for t in range(most)]
+    grown = trees.grow(table, specs)
+    groups = [grown[i * most : (i + 1) * most] for i in range(len(owners))]
+    errors = trees.errors_by_depth(table, [specs[i * most] for i in range(len(owners))], groups, list(numbers), list(depths))
+    return errors.reshape(len(shares), 5, len(numbers), len(depths)).mean(axis=1)
 
 
 @query("model_bagging")
 def model_bagging(spark, sf):
-    return models.tuned_holdout(ready(spark, sf), models.bagging(maxDepth=6), {"numTrees": [5, 10], "subsamplingRate": [0.6, 1.0], "featureSubsetStrategy": ["0.5", "all"]})
+    """Number of trees, share of rows and share of features, each drawn for each tree, over five folds."""
+    shares, numbers = [(r, f) for r in (0.6, 0.8, 1.0) for f in (0.6, 0.8, 1.0)], (10, 25, 50)
+    errors = _bags(spark, sf, shares, numbers, (5,))
+    return _grid_rows(spark, [{"n_estimators": n, "max_samples": r, "max_features": f} for r, f in shares for n in numbers], errors.ravel())
 
 
 @query("model_forest")
 def model_forest(spark, sf):
-    return models.tuned_holdout(ready(spark, sf), models.forest(), {"numTrees": [5, 15], "maxDepth": [4, 7]})
+    numbers, depths = (50, 100), (5, 7)
+    errors = _bags(spark, sf, [(1.0, 1.0)], numbers, depths)
+    return _grid_rows(spark, [{"n_estimators": n, "max_depth": d} for n in numbers for d in depths], errors.ravel())
 
 
 @query("model_gbt")
 def model_gbt(spark, sf):
-    return models.tuned_holdout(ready(spark, sf), models.boosted(), {"maxIter": [5, 10], "stepSize": [0.1, 0.3], "maxDepth": [3, 5], "subsamplingRate": [0.7, 1.0]})
+    """Number of rounds, rate, depth and share of rows, over five folds; all chains grow in the same jobs."""
+    axes = [(r, d, s) for r in (0.05, 0.1, 0.2) for d in (3, 5) for s in (0.8, 1.0)]
+    chains, numbers = [(*a, k) for a in axes for k in _FOLDS], (6, 12)
+    specs = [trees.Spec(depth=d, rows=s, fold=k, seed=3) for _, d, s, k in chains]
+    _, losses = trees.boost(_binned(spark, sf), specs, [r for r, *_ in chains], max(numbers))
+    points = [{"learning_rate": r, "max_depth": d, "subsample": s, "n_estimators": n} for r, d, s in axes for n in numbers]
+    errors = [sum(losses[i * 5 + k][n] for k in _FOLDS) / 5 for i in range(len(axes)) for n in numbers]
+    return _grid_rows(spark, points, errors)
+
+
+def held_out_frame(spark, sf):
+    """``frame`` with the held-out rows as fold 0 and all others as fold 1."""
+    return frame(spark, sf).withColumn("fold", F.col("is_train").cast("int"))
 
 
 @query("model_early_stop")
 def model_early_stop(spark, sf):
-    df = ready(spark, sf).withColumn("is_validation", ~F.col("is_train"))
-    model = models.early_stopped("is_validation", maxIter=15, maxDepth=4).fit(df)
-    return models.as_row(spark, "early_stopped", {"n_trees": float(model.getNumTrees), **models.metrics(model.transform(df.where("is_validation")))})
+    """150 rounds at most, ended by 100 without gain on the held-out rows."""
+    df = held_out_frame(spark, sf)
+    table = trees.Binned.of(df, FEATURES, bins=32)
+    [model], [losses] = trees.boost(table, [trees.Spec(depth=2)], [0.1], 150, patience=100, valid_fold=0)
+    best = len(model.trees)
+    return spark.createDataFrame([("early_stopped", best, len(losses) - 1, round(losses[0] ** 0.5, 4), round(losses[best] ** 0.5, 4))], "model string, best_round int, rounds int, rmse_start double, rmse_best double")
+
+
+def quantile_model(spark, sf):
+    """The multi-quantile booster on the training rows, ended by the held-out rows, and the frame."""
+    df = held_out_frame(spark, sf)
+    [model], _ = trees.boost(trees.Binned.of(df, FEATURES), [trees.Spec(depth=4, min_leaf=50)], [0.1], 30, trees.Loss((0.05, 0.5, 0.95)), patience=10, valid_fold=0)
+    return model, df
 
 
 def intervals(spark, sf):
-    df = ready(spark, sf)
-    scored = models.out_of_fold(df, models.boosted(lossType="absolute", maxIter=4, maxDepth=4), k=5)
-    return models.conformal_interval(scored.select("ad_id", "brand", "series", "y", "prediction"), "y", (("brand", "series"), ("brand",), ()))
+    """Held-out rows with their three quantiles; a row's quantiles ascend."""
+    model, df = quantile_model(spark, sf)
+    # rows are scored in their own order, so the target comes along as a part of the key
+    rows = df.where("not is_train").withColumn("k", F.struct("ad_id", "y"))
+    return model.transform(rows, ["q05", "q50", "q95"], "k", ordered=True).select("k.*", "q05", "q50", "q95")
 
 
 @query("model_quantile_interval")
 def model_quantile_interval(spark, sf):
-    out = intervals(spark, sf)
-    return out.select("ad_id", *(F.expm1(c).alias(c) for c in ("y", "q05", "q50", "q95")))
+    return intervals(spark, sf).select("ad_id", *(F.expm1(c).alias(c) for c in ("y", "q05", "q50", "q95")))
+
+
+@query("attrib_tree")
+def attrib_tree(spark, sf):
+    """Shapley values of the median booster's trees for each held-out row, in log price: with the base they add up to the prediction."""
+    model, df = quantile_model(spark, sf)
+    out = model.attributed(df.where("not is_train"), "ad_id", output=1)
+    return out.select("ad_id", *(F.round(c, 6).alias(c) for c in out.columns[1:]))
 
 
 @query("quantile_by_group", "SELECT brand, round(quantile_cont(price, 0.05), 4) AS q05, round(quantile_cont(price, 0.5), 4) AS q50, round(quantile_cont(price, 0.95), 4) AS q95 FROM listings WHERE price IS NOT NULL GROUP BY brand")
@@ -312,7 +376,9 @@ def importance_lofo(spark, sf):
 
 @query("importance_builtin")
 def importance_builtin(spark, sf):
-    return models.importances(models.forest(numTrees=10, maxDepth=5).fit(ready(spark, sf)), FEATURES)
+    """Shares of the gains of a boosted chain on the training rows."""
+    [model], _ = trees.boost(trees.Binned.of(held_out_frame(spark, sf), FEATURES, bins=32), [trees.Spec(depth=3)], [0.2], 8, valid_fold=0)
+    return spark.createDataFrame([(c, round(v, 6)) for c, v in model.importances().items()], "feature string, importance double").orderBy(F.desc("importance"), "feature")
 
 
 _SUBSETS = [s for r in (1, 2, 3) for s in combinations(("brand", "series", "model"), r)]
@@ -362,9 +428,10 @@ def leaderboard(spark, sf):
 def sink_metrics_json(spark, sf):
     folder = shared_path(spark, "metrics")
     out = checkpointed(intervals(spark, sf).select(*(F.expm1(c).alias(c) for c in ("y", "q05", "q50", "q95"))))
-    m = evaluate.regression(out, "y", "q50").crossJoin(evaluate.mape(out, "y", "q50", 2)).crossJoin(evaluate.coverage(out, "y", "q05", "q95", 2)).crossJoin(out.agg(F.count(F.lit(1)).alias("train_size")))
-    io.write_metrics(m.withColumn("model_type", F.lit("conformal")), folder)
-    return spark.read.schema("r2 double, mae double, rmse double, mape double, coverage_percent double, train_size bigint, model_type string").json(folder)
+    sizes = frame(spark, sf).agg(F.count_if("is_train").alias("train_size"), F.count_if(~F.col("is_train")).alias("test_size"))
+    m = evaluate.regression(out, "y", "q50").crossJoin(evaluate.mape(out, "y", "q50", 2)).crossJoin(evaluate.coverage(out, "y", "q05", "q95", 2)).crossJoin(sizes)
+    io.write_metrics(m.withColumn("model_type", F.lit("multi-quantile booster")), folder)
+    return spark.read.schema("r2 double, mae double, rmse double, mape double, coverage_percent double, train_size bigint, test_size bigint, model_type string").json(folder)
 
 
 @query("final_refit", f"""WITH {ls.FRAME}, {ls.fitted('m', REGULAR)}, {ls.by_fold('c', REGULAR)}, e AS (SELECT round(avg(rmse), 4) AS cv_rmse FROM c_e)
