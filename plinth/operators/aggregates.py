@@ -37,7 +37,13 @@ def exact_quantiles(df: DataFrame, keys, value: str, shares) -> DataFrame:
     """
     keys = list(keys)
     n = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v")).groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("n"))
-    ranked = running_totals(n, keys, "_v", ["n"])
+    return counted_quantiles(n, keys, shares)
+
+
+def counted_quantiles(counts: DataFrame, keys, shares) -> DataFrame:
+    """``exact_quantiles`` of distinct values ``_v`` that come with their counts ``n``."""
+    keys = list(keys)
+    ranked = running_totals(counts, keys, "_v", ["n"])
     at = [(F.col("n_all") - 1) * F.lit(float(p)) for p in shares]
     ends = [F.min(F.when(F.col("n_upto") > f(h), F.col("_v"))).alias(f"_{name}{k}") for k, h in enumerate(at) for name, f in (("lo", F.floor), ("hi", F.ceil))]
     out = ranked.groupBy(*keys).agg(F.first("n_all").alias("n_all"), *ends)

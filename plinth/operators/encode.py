@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plinth.session import broadcast_if_small, checkpointed
+
 
 def hashed(key: str, seed: int, parts: int) -> Column:
     """A number below ``parts`` from the first 32 bits of the key's MD5, which other engines make alike."""
@@ -33,23 +35,24 @@ def target_encoded(df: DataFrame, column: str, target: str, fold: str, name: str
     """
     y = F.col(target)
     per = df.where(y.isNotNull()).groupBy(column, fold).agg(F.count(F.lit(1)).alias("n"), F.sum(y).alias("s"), F.sum(y * y).alias("q"))
-    # a category's sums, and those by fold as a small map, so that rows are joined once
-    folds_of = F.map_from_entries(F.collect_list(F.struct(fold, F.struct("n", "s", "q")))).alias("folds")
-    whole = per.where(F.col(fold).isNotNull()).groupBy(column).agg(*(F.sum(c).alias(f"{c}_all") for c in "nsq"), folds_of)
+    per = checkpointed(per)  # a row for each category and fold
+    whole = per.where(F.col(fold).isNotNull()).groupBy(F.col(column).alias("_c")).agg(*(F.sum(c).alias(f"{c}_all") for c in "nsq"))
     by_fold = per.groupBy(fold).agg(*(F.sum(c).alias(f"{c}_fold") for c in "nsq"))
     every = per.agg(*(F.sum(c).alias(f"{c}_total") for c in "nsq"))
-    by_fold = by_fold.crossJoin(F.broadcast(every)).select(F.col(fold).alias("_fold"), *((F.col(f"{c}_total") - F.col(f"{c}_fold")).alias(f"g_{c}") for c in "nsq"))
-    out = df.join(F.broadcast(by_fold), F.col(fold) == F.col("_fold"), "left").drop("_fold")
-    out = out.join(whole.withColumnRenamed(column, "_c"), F.col(column).eqNullSafe(F.col("_c")), "left").drop("_c")
-    own = F.col("folds")[F.col(fold)]
-    rest = {c: F.coalesce(F.col(f"{c}_all"), F.lit(0)) - F.coalesce(own[c], F.lit(0)) for c in "nsq"}
+    by_fold = by_fold.crossJoin(F.broadcast(every)).select(F.col(fold).alias("_f"), *((F.col(f"{c}_total") - F.col(f"{c}_fold")).alias(f"g_{c}") for c in "nsq"))
+    # the value of each category in each fold, from their sums; rows only look it up
+    cells = df.select(F.col(column).alias("_c"), F.col(fold).alias("_f")).distinct().join(per.select(F.col(column).alias("_pc"), F.col(fold).alias("_pf"), *(F.col(c) for c in "nsq")), F.col("_c").eqNullSafe(F.col("_pc")) & F.col("_f").eqNullSafe(F.col("_pf")), "left").drop("_pc", "_pf")
+    cells = cells.join(whole.withColumnRenamed("_c", "_wc"), F.col("_c").eqNullSafe(F.col("_wc")), "left").drop("_wc").join(by_fold.withColumnRenamed("_f", "_bf"), F.col("_f") == F.col("_bf"), "left").drop("_bf")
+    rest = {c: F.coalesce(F.col(f"{c}_all"), F.lit(0)) - F.coalesce(F.col(c), F.lit(0)) for c in "nsq"}
     g_mean = F.col("g_s") / F.col("g_n")
     tau = F.col("g_q") / F.col("g_n") - g_mean * g_mean
     mean = rest["s"] / F.nullif(rest["n"], F.lit(0))
     within = F.greatest(F.lit(0.0), rest["q"] / F.nullif(rest["n"], F.lit(0)) - mean * mean)
     weight = rest["n"] * tau / F.nullif(within + rest["n"] * tau, F.lit(0.0))
     value = F.when(rest["n"] > 0, F.coalesce(weight, F.lit(1.0)) * mean + (1 - F.coalesce(weight, F.lit(1.0))) * g_mean).otherwise(g_mean)
-    return out.select(*df.columns, value.alias(name))
+    values = broadcast_if_small(checkpointed(cells.select("_c", "_f", value.alias("_value"))))
+    out = df.join(values, F.col(column).eqNullSafe(F.col("_c")) & F.col(fold).eqNullSafe(F.col("_f")), "left")
+    return out.select(*(df[c] for c in df.columns), F.col("_value").alias(name))
 
 
 def levels_of(df: DataFrame, column: str, most: int = 1000) -> list:

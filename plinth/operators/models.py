@@ -9,11 +9,11 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import PCA, CountVectorizerModel, RegexTokenizer, VectorAssembler
 from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from plinth.functions import tails
 from plinth.operators.aggregates import exact_quantiles
 from plinth.operators.encode import gram
 
@@ -26,12 +26,6 @@ def linear(y: str = "y", **kw) -> LinearRegression:
     return LinearRegression(labelCol=y, solver="normal", **kw)
 
 
-def ridge(df: DataFrame, alpha: float, y: str = "y") -> LinearRegression:
-    """Squared-error ridge with penalty alpha, in the terms of this library's objective."""
-    s = df.agg(F.stddev_samp(y), F.count(F.lit(1))).first()
-    return LinearRegression(labelCol=y, elasticNetParam=0.0, standardization=False, solver="l-bfgs", regParam=float(alpha * (s[0] or 1.0) / max(1, s[1])))
-
-
 def lasso(alpha: float, y: str = "y") -> LinearRegression:
     return LinearRegression(labelCol=y, elasticNetParam=1.0, standardization=False, regParam=alpha)
 
@@ -40,10 +34,6 @@ def tree(y: str = "y", **kw):
     return DecisionTreeRegressor(labelCol=y, seed=42, **kw)
 
 
-def bagging(y: str = "y", **kw):
-    return RandomForestRegressor(labelCol=y, seed=42, featureSubsetStrategy="all", **kw)
-
-
 def forest(y: str = "y", **kw):
     return RandomForestRegressor(labelCol=y, seed=42, **kw)
 
@@ -52,11 +42,6 @@ def boosted(y: str = "y", **kw):
     return GBTRegressor(labelCol=y, seed=42, **kw)
 
 
-def early_stopped(validation: str, y: str = "y", **kw):
-    """Ends when the rows marked in ``validation`` gain nothing any more."""
-    return GBTRegressor(labelCol=y, seed=42, validationIndicatorCol=validation, validationTol=0.01, **kw)
-
-
 def metrics(predictions: DataFrame, y: str = "y") -> dict[str, float]:
     e = RegressionEvaluator(labelCol=y)
     return {m: float(e.evaluate(predictions, {e.metricName: m})) for m in ("rmse", "mae", "r2")}
@@ -66,37 +51,11 @@ def as_row(spark, name: str, values: dict[str, float]) -> DataFrame:
     return spark.createDataFrame([(name, *(round(v, 4) for v in values.values()))], f"model string, {', '.join(f'{k} double' for k in values)}")
 
 
-def tuned(df: DataFrame, estimator, grid: dict, fold: str = "fold", k: int = 5, y: str = "y", parallelism: int = 4):
-    """The best of an exhaustive grid by mean squared error over given folds, and every point's error."""
-    b = ParamGridBuilder()
-    for name, values in grid.items():
-        b = b.addGrid(getattr(estimator, name), values)
-    points = b.build()
-    model = CrossValidator(estimator=estimator, estimatorParamMaps=points, evaluator=RegressionEvaluator(labelCol=y, metricName="mse"), numFolds=k, foldCol=fold, parallelism=parallelism).fit(df)
-    rows = [(", ".join(f"{p.name}={v}" for p, v in sorted(m.items(), key=lambda x: x[0].name)), float(e)) for m, e in zip(points, model.avgMetrics)]
-    return model.bestModel, df.sparkSession.createDataFrame(rows, "parameters string, mse double").orderBy("mse", "parameters")
-
-
 def parameters(estimator) -> str:
     """What was set on an estimator, by name."""
     return ", ".join(sorted(f"{p.name}={v}" for p, v in estimator._paramMap.items()))  # noqa: SLF001
 
 
-def tuned_holdout(df: DataFrame, estimator, grid: dict, train: str = "is_train", y: str = "y") -> DataFrame:
-    """Every point of a grid fitted on the training rows, with its measures on the others; the best comes first."""
-    b = ParamGridBuilder()
-    for name, values in grid.items():
-        b = b.addGrid(getattr(estimator, name), values)
-    points, e = b.build(), RegressionEvaluator(labelCol=y)
-    fit_on, test = df.where(train), df.where(~F.col(train))
-    rows = []
-    for point in points:
-        predictions = estimator.fit(fit_on, point).transform(test).select(y, "prediction")
-        named = ", ".join(f"{p.name}={v}" for p, v in sorted(point.items(), key=lambda x: x[0].name))
-        rows.append((named, *(round(float(e.evaluate(predictions, {e.metricName: m})), 4) for m in ("rmse", "mae", "r2"))))
-    return df.sparkSession.createDataFrame(rows, "parameters string, rmse double, mae double, r2 double").orderBy("rmse", "parameters")
-
-
 def knn_grid(df: DataFrame, key: str, vector: str, y: str, asked: Column, ks, places: int = 6) -> DataFrame:
     """``k, p, weights, mse``: mean of the k nearest, plain or by inverse distance, for rows ``asked`` against all others.
 
@@ -148,6 +107,69 @@ def linear_errors(grams: dict[int, np.ndarray], at: list[int]) -> list[float]:
     return errors
 
 
+def gram_errors(grams: dict[int, np.ndarray], solve) -> list[float]:
+    """Mean squared error on each fold of a linear model on standardised columns, fitted to the other folds.
+
+    ``solve(xx, xy, n)`` gives coefficients from correlations, covariances with the target, and the number of rows.
+    """
+    errors = []
+    for i in sorted(grams):
+        g = sum(m for k, m in grams.items() if k != i)
+        n, mean = g[0, 0], g[0, 1:] / g[0, 0]
+        cov = g[1:, 1:] / n - np.outer(mean, mean)
+        s = np.sqrt(np.maximum(np.diag(cov)[:-1], 0))
+        s[s == 0] = 1.0
+        b = solve(cov[:-1, :-1] / np.outer(s, s), cov[:-1, -1] / s, n) / s
+        beta, h = np.append(mean[-1] - b @ mean[:-1], b), grams[i]
+        errors.append(float(max(0.0, h[-1, -1] - 2 * beta @ h[:-1, -1] + beta @ h[:-1, :-1] @ beta) / h[0, 0]))
+    return errors
+
+
+def ridge_solution(alpha: float):
+    """Least squares with penalty alpha |b|^2."""
+    return lambda xx, xy, n: np.linalg.solve(n * xx + alpha * np.eye(len(xy)), n * xy)
+
+
+def lasso_solution(alpha: float, most: int = 10_000, tolerance: float = 1e-10):
+    """Half the mean square plus alpha |b|_1, by coordinate descent."""
+
+    def solve(xx, xy, n):
+        b = np.zeros(len(xy))
+        for _ in range(most):
+            before = b.copy()
+            for j in range(len(b)):
+                if xx[j, j] > 0:
+                    r = xy[j] - xx[j] @ b + xx[j, j] * b[j]
+                    b[j] = np.sign(r) * max(0.0, abs(r) - alpha) / xx[j, j]
+            if np.abs(b - before).max() <= tolerance:
+                break
+        return b
+
+    return solve
+
+
+def pcr_solution(components: int):
+    """Least squares on the first principal components."""
+
+    def solve(xx, xy, n):
+        values, vectors = np.linalg.eigh(xx)
+        v, w = vectors[:, ::-1][:, :components], values[::-1][:components]
+        return v @ np.where(w > 1e-9, v.T @ xy / np.maximum(w, 1e-9), 0.0)
+
+    return solve
+
+
+def pls_solution(components: int):
+    return lambda xx, xy, n: pls(np.block([[xx, xy[:, None]], [xy[None, :], np.zeros((1, 1))]]), components)
+
+
+def solved_grid(df: DataFrame, columns, points, y: str = "y", fold: str = "fold") -> DataFrame:
+    """``parameters, mse`` for named solutions: all points and all folds from one pass over the rows."""
+    grams = fold_grams(df, columns, y, fold)
+    rows = [(name, round(float(np.mean(gram_errors(grams, solve))), 6)) for name, solve in points.items()]
+    return df.sparkSession.createDataFrame(rows, "parameters string, mse double").orderBy("mse", "parameters")
+
+
 def compare_linear(df: DataFrame, configs: dict[str, list[str]], y: str = "y", fold: str = "fold") -> DataFrame:
     """``compare_features`` of linear models, all from one pass over the rows."""
     columns = sorted({c for cs in configs.values() for c in cs})
@@ -249,44 +271,27 @@ def centred(df: DataFrame, columns) -> tuple[np.ndarray, np.ndarray]:
     return s / n, g[1:, 1:] - np.outer(s, s) / n
 
 
-def pls_errors(df: DataFrame, columns, y: str, most: int, fold: str = "fold", k: int = 5) -> DataFrame:
-    """Mean squared error over folds for each number of components; the data is read once for each fold."""
-    rows, errors = [], np.zeros((most, k))
-    for i in range(k):
-        mean, g = centred(df.where(F.col(fold) != i), [*columns, y])
-        held = df.where(F.col(fold) == i)
-        predictions = []
-        for c in range(1, most + 1):
-            beta = pls(g, c)
-            predictions.append(F.lit(float(mean[-1] - mean[:-1] @ beta)) + sum(F.lit(float(b)) * F.col(x) for b, x in zip(beta, columns)))
-        got = held.agg(*(F.avg(F.pow(F.col(y) - p, 2)).alias(f"e{c}") for c, p in enumerate(predictions))).first()
-        errors[:, i] = list(got)
-    rows = [(c + 1, float(errors[c].mean())) for c in range(most)]
-    return df.sparkSession.createDataFrame(rows, "components int, mse double").orderBy("mse", "components")
-
-
-def pcr_errors(df: DataFrame, y: str, most: int, fold: str = "fold", k: int = 5) -> DataFrame:
-    """The same for regression on principal components of ``features``."""
-    rows = []
-    for c in range(1, most + 1):
-        model = Pipeline(stages=[PCA(k=c, inputCol="features", outputCol="pcs"), LinearRegression(labelCol=y, featuresCol="pcs", solver="normal")])
-        rows.append((c, float(np.mean(np.square(fold_errors(df, model, fold, k, y))))))
-    return df.sparkSession.createDataFrame(rows, "components int, mse double").orderBy("mse", "components")
-
-
 def cumulative_variance(df: DataFrame, k: int, share: float = 0.95) -> DataFrame:
     total = np.cumsum(PCA(k=k, inputCol="features", outputCol="pcs").fit(df).explainedVariance.toArray())
     first = int(np.argmax(total >= share)) + 1 if (total >= share).any() else k
     return df.sparkSession.createDataFrame([(i + 1, float(v), i + 1 == first) for i, v in enumerate(total)], "component int, cumulative double, is_first boolean")
 
 
-def inference(model, columns) -> DataFrame:
-    """Coefficients with standard errors, t and p, and the fit's R2."""
-    from pyspark.sql import SparkSession
-
-    s = model.summary
-    rows = [(c, float(b), float(e), float(t), float(p), float(s.r2)) for c, b, e, t, p in zip([*columns, "intercept"], [*model.coefficients, model.intercept], s.coefficientStandardErrors, s.tValues, s.pValues)]
-    return SparkSession.active().createDataFrame(rows, "feature string, coefficient double, std_error double, t double, p double, r2 double")
+def inference(df: DataFrame, columns, y: str = "y") -> DataFrame:
+    """Coefficients of least squares with an intercept, their standard errors, t, two-sided p, and the fit's R2: all from one pass."""
+    names, n = [*columns, "intercept"], len(columns)
+    row = df.agg(*(F.avg(c).alias(c) for c in (*columns, y))).first()
+    mean = np.array([row[c] for c in columns])
+    g = fold_grams(df.withColumn("_all", F.lit(0)), columns, y, "_all")[0]  # of deviations from the means
+    scale = np.sqrt(np.diag(g)[1:-1])
+    inverse = np.linalg.inv(g[1:-1, 1:-1] / np.outer(scale, scale)) / np.outer(scale, scale)
+    beta, freedom = inverse @ g[1:-1, -1], g[0, 0] - n - 1
+    rest = g[-1, -1] - beta @ g[1:-1, -1]
+    errors = np.sqrt(rest / freedom * np.append(np.diag(inverse), 1 / g[0, 0] + mean @ inverse @ mean))
+    beta = np.append(beta, row[y] - beta @ mean)
+    rows = [(c, float(b), float(e), float(b / e), float(freedom), float(1 - rest / g[-1, -1])) for c, b, e in zip(names, beta, errors)]
+    out = df.sparkSession.createDataFrame(rows, "feature string, coefficient double, std_error double, t double, freedom double, r2 double")
+    return out.select("feature", "coefficient", "std_error", "t", F.expr(tails.student_two_sided_sql("t", "freedom")).alias("p"), "r2")
 
 
 def text_tokens(df: DataFrame, column: str, name: str = "tokens", most: int = 10_000):

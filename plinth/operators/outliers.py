@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from plinth.functions import tails
 from plinth.operators.aggregates import running_totals
 from plinth.session import checkpointed
 
@@ -97,10 +98,11 @@ def isolation_flags(df: DataFrame, key: str, columns, contamination: float = 0.0
     return scores.crossJoin(F.broadcast(limit)).withColumn("is_iso", F.col("score") > F.col("_limit")).drop("_limit")
 
 
-def consolidated(z: DataFrame, iso: DataFrame, key: str) -> DataFrame:
-    """Rows of ``z`` with ``is_iso``: whether any row of their key is isolated; a key that ``iso`` lacks isn't."""
-    flags = iso.groupBy(key).agg(F.max("is_iso").alias("is_iso"))
-    return z.join(flags, key, "left").withColumn("is_iso", F.coalesce("is_iso", F.lit(False)))
+def consolidated(df: DataFrame, value: str, columns, limit: float = 3.0, **kw) -> DataFrame:
+    """Rows with both flags, ``is_z`` of the value and ``is_iso`` of the columns, each of the row itself: rows are numbered and written first."""
+    rows = checkpointed(df.withColumn("_row", F.monotonically_increasing_id()))
+    iso = isolation_flags(rows, "_row", columns, **kw).select(F.col("_row").alias("_r"), "is_iso")
+    return zscore_flags(rows, value, limit).join(iso, F.col("_row") == F.col("_r")).drop("_row", "_r")
 
 
 def flag_totals(flags: DataFrame) -> DataFrame:
@@ -113,13 +115,15 @@ def moments(df: DataFrame, column: str, places: int = 6) -> DataFrame:
 
 
 def ks_normal(df: DataFrame, column: str, alpha: float = 0.05) -> DataFrame:
-    """One-sample KS of the standardised column against the normal distribution."""
-    from pyspark.ml.stat import KolmogorovSmirnovTest
-
-    s = df.agg(F.avg(column).alias("m"), F.stddev_pop(column).alias("s")).first()
-    z = df.where(F.col(column).isNotNull()).select(((F.col(column) - F.lit(s.m)) / F.lit(s.s or 1.0)).alias("z"))
-    r = KolmogorovSmirnovTest.test(z, "z", "norm", 0.0, 1.0)
-    return r.select(F.round("pValue", 6).alias("p_value"), F.round("statistic", 6).alias("statistic"), (F.col("pValue") >= alpha).alias("normal"))
+    """Greatest gap between the standardised column and the normal distribution, with its asymptotic p; from counts of distinct values dealt by range."""
+    n = df.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    ranked = running_totals(n, [], "v", ["n"])
+    usual = df.agg(F.avg(column).alias("m"), F.stddev_pop(column).alias("s"))
+    z = ranked.crossJoin(F.broadcast(usual)).withColumn("z", (F.col("v") - F.col("m")) / F.when(F.col("s") > 0, F.col("s")).otherwise(1.0))
+    z = z.withColumn("p", F.expr(tails.normal_cdf_sql("z")))
+    gap = z.agg(F.max(F.greatest(F.col("n_upto") / F.col("n_all") - F.col("p"), F.col("p") - (F.col("n_upto") - F.col("n")) / F.col("n_all"))).alias("d"), F.max("n_all").alias("n_all"))
+    out = gap.withColumn("x", F.col("d") * F.sqrt("n_all")).withColumn("p", F.expr(tails.kolmogorov_sql("x")))
+    return out.select(F.round("p", 6).alias("p_value"), F.round("d", 6).alias("statistic"), (F.col("p") >= alpha).alias("normal"))
 
 
 def normal_quantile_sql(p: str) -> str:

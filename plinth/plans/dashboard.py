@@ -214,9 +214,9 @@ def win_group_stat(spark, sf):
 RESIDUALS = """r AS (SELECT ad_id, brand, series, price, round(median(price) OVER (PARTITION BY brand, series), 4) AS predicted FROM listings WHERE price IS NOT NULL)"""
 
 
-def residuals(spark, sf):
-    """Price against its (brand, series) median."""
-    df = listings(spark, sf).select("ad_id", "brand", "series", "price").where("price is not null")
+def residuals(spark, sf, *more):
+    """Price against its (brand, series) median, with more columns of the listing."""
+    df = listings(spark, sf).select("ad_id", "brand", "series", "price", *more).where("price is not null")
     usual = agg.exact_quantiles(df, ["brand", "series"], "price", (0.5,)).select("brand", "series", F.round(F.col("q")[0], 4).alias("predicted"))
     return df.join(usual, ["brand", "series"]).withColumn("residual", F.round(F.col("price") - F.col("predicted"), 4))
 

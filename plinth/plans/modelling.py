@@ -9,7 +9,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from plinth.functions import scores
+from plinth.functions import scores, tails
 from plinth.operators import encode, evaluate, models, trees
 from plinth.operators.aggregates import exact_quantiles
 from plinth.plans import least_squares as ls
@@ -128,27 +128,65 @@ def model_linear(spark, sf):
     return fitted(spark, sf, "linear", models.linear())
 
 
-@query("ols_inference")
+def _inference_sql() -> str:
+    """Coefficients and errors of the scaled columns, in terms of the columns themselves."""
+    n, at = len(REGULAR), {"engine_cc_val": (2250, 1000), "mileage": (25000, 10000), "year": (1995, 1), "risk": (0, 100)}  # what ``least_squares.SCALED`` takes off and divides by
+    shift = [1.0, *(-at[c][0] / at[c][1] for c in REGULAR)]
+    fit = ls.fitted("m", REGULAR)
+    whole = " + ".join(f"{a!r} * {b!r} * g_{i}_{j}" for i, a in enumerate(shift) for j, b in enumerate(shift))
+    rows = [f"SELECT '{c}' AS feature, g_{i}_y / {at[c][1]} AS b, sqrt(s2 * g_{i}_{i}) / {at[c][1]} AS e, nu, r2 FROM m_{n + 1}, s" for i, c in enumerate(REGULAR, 1)]
+    rows.append(f"SELECT 'intercept', {' + '.join(f'{a!r} * g_{i}_y' for i, a in enumerate(shift))}, sqrt(s2 * ({whole})), nu, r2 FROM m_{n + 1}, s")
+    return f"""WITH {ls.FRAME}, {fit}, s AS (SELECT sum(pow(y - prediction, 2)) / (count(*) - {n + 1}) AS s2, CAST(count(*) - {n + 1} AS DOUBLE) AS nu, 1 - sum(pow(y - prediction, 2)) / (count(*) * var_pop(y)) AS r2 FROM m_p),
+        c AS ({' UNION ALL '.join(rows)}), t AS (SELECT *, b / e AS t FROM c)
+        SELECT feature, round(b, 9) AS coefficient, round(e, 9) AS std_error, round(t, 5) AS t, round({tails.student_two_sided_sql('t', 'nu')}, 6) AS p, round(r2, 8) AS r2 FROM t"""
+
+
+@query("ols_inference", _inference_sql())
 def ols_inference(spark, sf):
-    return models.inference(models.linear().fit(ready(spark, sf, REGULAR)), REGULAR)  # the other features are linear in the first, and errors need a regular design
+    out = models.inference(frame(spark, sf), REGULAR)  # the other features are linear in the first, and errors need a regular design
+    return out.select("feature", *(F.round(c, k).alias(c) for c, k in (("coefficient", 9), ("std_error", 9), ("t", 5), ("p", 6), ("r2", 8))))
+
+
+_ALPHAS = (0.01, 0.1, 1.0, 10.0, 100.0, 500.0, 1000.0)
+
 
+def _ridge_sql() -> str:
+    """Standardised by the other folds, one sweep for each fold and penalty."""
+    z = range(len(FEATURES))
+    stats = ", ".join(f"avg({c}) AS m_{i}, stddev_pop({c}) AS s_{i}" for i, c in enumerate(FEATURES))
+    sums = ", ".join([*(f"sum(z_{i} * z_{j}) AS g_{i}_{j}" for i in z for j in z), *(f"sum(z_{i} * y) AS g_{i}_y" for i in z)])
+    cells = ", ".join([*(f"g_{i}_{j} + {'alpha' if i == j else '0'} AS g_{i}_{j}" for i in z for j in z), *(f"g_{i}_y" for i in z)])
+    return f"""WITH {ls.FRAME}, a AS (SELECT * FROM (VALUES {', '.join(f"('alpha={x}', CAST({x} AS DOUBLE))" for x in _ALPHAS)}) v(parameters, alpha)),
+        st AS (SELECT k.k, avg(y) AS m_y, {stats} FROM f JOIN (SELECT unnest(range(0, 5)) AS k) k ON f.fold <> k.k GROUP BY k.k),
+        z AS (SELECT k, fold, y - m_y AS y, {', '.join(f'({c} - m_{i}) / s_{i} AS z_{i}' for i, c in enumerate(FEATURES))} FROM f, st),
+        g AS (SELECT k, {sums} FROM z WHERE fold <> k GROUP BY k), {ls.swept('r', f'SELECT k, alpha, {cells} FROM g, a', len(FEATURES), key='k, alpha')},
+        e AS (SELECT z.k, alpha, avg(pow(y - ({' + '.join(f'z_{i} * g_{i}_y' for i in z)}), 2)) AS mse FROM z JOIN r_{len(FEATURES)} r ON z.k = r.k WHERE z.fold = z.k GROUP BY z.k, alpha)
+        SELECT parameters, round(avg(mse), 6) AS mse FROM e JOIN a USING (alpha) GROUP BY parameters"""
 
-@query("model_ridge")
+
+def _linear_points() -> dict:
+    n = range(1, len(FEATURES) + 1)
+    return {
+        "ridge": {f"alpha={a}": models.ridge_solution(a) for a in _ALPHAS},
+        "lasso": {f"alpha={a}": models.lasso_solution(a) for a in (0.0001, 0.001, 0.01, 0.1, 1.0, 10.0)},
+        "pcr": {f"components={k}": models.pcr_solution(k) for k in n},
+        "pls": {f"components={k}": models.pls_solution(k) for k in n},
+    }
+
+
+@query("model_ridge", _ridge_sql())
 def model_ridge(spark, sf):
-    df = ready(spark, sf)
-    s = df.agg(F.stddev_samp("y"), F.count(F.lit(1))).first()
-    grid = {"regParam": [a * s[0] / s[1] for a in (0.01, 0.1, 1.0, 10.0, 50.0, 100.0, 500.0)]}
-    return models.tuned(df, models.ridge(df, 1.0), grid)[1]
+    return models.solved_grid(frame(spark, sf), FEATURES, _linear_points()["ridge"])
 
 
 @query("model_lasso")
 def model_lasso(spark, sf):
-    return models.tuned(ready(spark, sf), models.lasso(0.001), {"regParam": [0.0001, 0.0005, 0.001, 0.01, 0.1, 1.0]})[1]
+    return models.solved_grid(frame(spark, sf), FEATURES, _linear_points()["lasso"])
 
 
 @query("model_pcr")
 def model_pcr(spark, sf):
-    return models.pcr_errors(ready(spark, sf), "y", len(FEATURES))
+    return models.solved_grid(frame(spark, sf), FEATURES, _linear_points()["pcr"])
 
 
 @query("win_cumulative_variance")
@@ -159,7 +197,7 @@ def win_cumulative_variance(spark, sf):
 
 @query("model_pls")
 def model_pls(spark, sf):
-    return models.pls_errors(encode.standardized(frame(spark, sf), FEATURES).cache(), FEATURES, "y", len(FEATURES))
+    return models.solved_grid(frame(spark, sf), FEATURES, _linear_points()["pls"])
 
 
 _KNN = range(3, 21)
@@ -359,7 +397,15 @@ def cv_config_compare(spark, sf):
 
 @query("grid_search")
 def grid_search(spark, sf):
-    return models.tuned(ready(spark, sf), models.linear(), {"regParam": [0.0, 0.01, 0.1]})[1]
+    """All points of the grids of the linear models and of trees, the best of each model marked."""
+    df = checkpointed(frame(spark, sf))
+    parts = [models.solved_grid(df, FEATURES, points).withColumn("model", F.lit(name)) for name, points in _linear_points().items()]
+    parts.append(model_tree(spark, sf).withColumn("model", F.lit("tree")))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    first = F.row_number().over(Window.partitionBy("model").orderBy("mse", "parameters")) == 1
+    return out.select("model", "parameters", "mse", first.alias("is_best"))
 
 
 def _lofo_sql() -> str:
@@ -396,7 +442,7 @@ def _ablation_sql() -> str:
 @query("ablation_subsets", _ablation_sql())
 def ablation_subsets(spark, sf):
     df = listings(spark, sf).where("price > 0 and model is not null").select("brand", "series", "model", (F.col("ad_id") % 5).alias("fold"), F.log1p("price").alias("y"))
-    return models.group_mean_ablation(df.cache(), ["brand", "series", "model"], "fold")
+    return models.group_mean_ablation(checkpointed(df), ["brand", "series", "model"], "fold")
 
 
 _Z = [f"z_{c}" for c in REGULAR]

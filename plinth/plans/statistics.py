@@ -6,6 +6,7 @@ from itertools import combinations, permutations
 
 from pyspark.sql import functions as F
 
+from plinth.functions import tails
 from plinth.operators import association as assoc
 from plinth.operators import outliers
 from plinth.plans.dashboard import RESIDUALS, residuals
@@ -102,21 +103,22 @@ def stat_redundancy(spark, sf):
 # outliers and residuals
 
 
-_Z = f"WITH {RESIDUALS}, e AS (SELECT *, round(price - predicted, 4) AS residual FROM r), z AS (SELECT *, abs(residual - avg(residual) OVER ()) / stddev_pop(residual) OVER () > 2 AS is_z FROM e)"
+#: Deviations from the mean beyond which a residual is an outlier.
+LIMIT = 3.0
+_Z = f"WITH {RESIDUALS}, e AS (SELECT *, round(price - predicted, 4) AS residual FROM r), z AS (SELECT *, abs(residual - avg(residual) OVER ()) / stddev_pop(residual) OVER () > 3 AS is_z FROM e)"
 
 
-@query("stat_zscore_outlier", f"{_Z} SELECT ad_id, residual FROM z WHERE is_z")
+@query("stat_zscore_outlier", f"{_Z} SELECT ad_id, residual, is_z FROM z")
 def stat_zscore_outlier(spark, sf):
-    return outliers.zscore_flags(residuals(spark, sf), "residual", 2.0).where("is_z").select("ad_id", "residual")
+    return outliers.zscore_flags(residuals(spark, sf), "residual", LIMIT).select("ad_id", "residual", "is_z")
 
 
 ISOLATED = ("price", "kb_mileage", "power_hp_val", "torque_nm")
 
 
 def flagged(spark, sf):
-    """Residuals with both flags of the outlier operators."""
-    iso = outliers.isolation_flags(listings(spark, sf), "ad_id", ISOLATED)
-    return outliers.consolidated(outliers.zscore_flags(residuals(spark, sf), "residual", 2.0), iso, "ad_id")
+    """Residuals with both flags of the outlier operators, each row by its own values."""
+    return outliers.consolidated(residuals(spark, sf, *ISOLATED[1:]), "residual", ISOLATED, LIMIT)
 
 
 @query("outlier_consolidate")
@@ -131,7 +133,7 @@ def agg_flag_totals(spark, sf):
 
 @query("outlier_by_model", f"{_Z} SELECT series, count(*) AS n FROM z WHERE is_z GROUP BY series ORDER BY n DESC, series LIMIT 20")
 def outlier_by_model(spark, sf):
-    return outliers.zscore_flags(residuals(spark, sf), "residual", 2.0).where("is_z").groupBy("series").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "series").limit(20)
+    return outliers.zscore_flags(residuals(spark, sf), "residual", LIMIT).where("is_z").groupBy("series").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "series").limit(20)
 
 
 @query("stat_isolation_forest")
@@ -145,7 +147,9 @@ def resid_moments(spark, sf):
     return outliers.moments(residuals(spark, sf), "residual")
 
 
-@query("resid_ks_normal")
+@query("resid_ks_normal", f"""WITH {RESIDUALS}, e AS (SELECT round(price - predicted, 4) AS v FROM r), c AS (SELECT v, count(*) AS n FROM e GROUP BY v), t AS (SELECT v, n, CAST(sum(n) OVER (ORDER BY v) AS DOUBLE) AS upto, CAST(sum(n) OVER () AS DOUBLE) AS total FROM c),
+    z AS (SELECT n, upto, total, (v - (SELECT avg(v) FROM e)) / (SELECT stddev_pop(v) FROM e) AS z FROM t), p AS (SELECT n, upto, total, {tails.normal_cdf_sql('z')} AS p FROM z), g AS (SELECT max(greatest(upto / total - p, p - (upto - n) / total)) AS d, max(total) AS total FROM p),
+    x AS (SELECT d, d * sqrt(total) AS x FROM g), k AS (SELECT d, {tails.kolmogorov_sql('x')} AS p FROM x) SELECT round(p, 6) AS p_value, round(d, 6) AS statistic, p >= 0.05 AS normal FROM k""")
 def resid_ks_normal(spark, sf):
     return outliers.ks_normal(residuals(spark, sf), "residual")
 

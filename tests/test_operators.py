@@ -99,7 +99,7 @@ def test_vif_and_pls(spark):
     y = x @ [1.0, -2.0, 0.5]
     df = spark.createDataFrame([(*map(float, a), float(b), i % 5) for i, (a, b) in enumerate(zip(x, y))], "a double, b double, c double, y double, fold int")
     assert all(r.vif < 1.3 for r in models.vif(df, ["a", "b", "c"]).collect())
-    errors = {r.components: r.mse for r in models.pls_errors(df, ["a", "b", "c"], "y", 3).collect()}
+    errors = {r.parameters: r.mse for r in models.solved_grid(df, ["a", "b", "c"], {str(k): models.pls_solution(k) for k in (1, 2, 3)}).withColumn("parameters", F.col("parameters").cast("int")).collect()}
     assert errors[3] < 1e-12 < errors[1]
 
 
@@ -125,14 +125,119 @@ def test_page_records():
     assert pages.record("")["attributes"] == []
 
 
-def test_outlier_flags_given_as_tables(spark):
+def test_outlier_flags_are_those_of_the_row(spark):
+    """Rows that share a key don't share flags."""
     from plinth.operators import outliers
 
-    z = spark.createDataFrame([(1, True), (2, False), (2, True), (3, False), (4, False)], "ad_id long, is_z boolean")
-    iso = spark.createDataFrame([(1, False), (2, False), (2, True), (3, True)], "ad_id long, is_iso boolean")
-    both = outliers.consolidated(z, iso, "ad_id")
-    assert sorted((r.ad_id, r.is_z, r.is_iso) for r in both.collect()) == [(1, True, False), (2, False, True), (2, True, True), (3, False, True), (4, False, False)]
-    assert tuple(outliers.flag_totals(both).first()) == (2, 3, 4)
+    rows = [(k % 7, float(k % 11), float(k % 5), 0.01 * (k % 13)) for k in range(400)] + [(3, 900.0, -700.0, 0.0), (3, 5.0, 2.0, 50.0)]
+    both = outliers.consolidated(spark.createDataFrame(rows, "k long, a double, b double, r double"), "r", ("a", "b"), contamination=0.004, trees=30)
+    got = sorted((r.a, r.b, r.is_z, r.is_iso) for r in both.where("is_z or is_iso").collect())
+    assert both.count() == 402 and (900.0, -700.0, False, True) in got and (5.0, 2.0, True, False) in got and len(got) <= 4
+    flags = spark.createDataFrame([(True, False), (False, True), (True, True), (False, False)], "is_z boolean, is_iso boolean")
+    assert tuple(outliers.flag_totals(flags).first()) == (2, 2, 3)
+
+
+def test_tails_against_closed_forms(spark):
+    import math
+
+    from plinth.functions import tails
+
+    z = [x / 7 for x in range(-80, 81)]
+    df = spark.createDataFrame([(x,) for x in z], "z double").select("z", F.expr(tails.normal_cdf_sql("z")).alias("p"))
+    assert all(abs(r.p - 0.5 * math.erfc(-r.z / math.sqrt(2))) < 1e-13 for r in df.collect())
+    # two-sided tails of Student's distribution with 20 and 50 degrees of freedom, by integration
+    for freedom in (20, 50, 3000):
+        c = math.exp(math.lgamma((freedom + 1) / 2) - math.lgamma(freedom / 2)) / math.sqrt(freedom * math.pi)
+        for t in (0.1, 1.0, 2.5, 5.0):
+            h = t / 2000
+            inside = 2 * sum((1 if k in (0, 2000) else 4 if k % 2 else 2) * c * (1 + (k * h) ** 2 / freedom) ** (-(freedom + 1) / 2) for k in range(2001)) * h / 3
+            got = spark.sql(f"SELECT {tails.student_two_sided_sql(f'CAST({t} AS DOUBLE)', f'CAST({freedom} AS DOUBLE)')} AS p").first().p
+            assert abs(got - (1 - inside)) < 1e-7, (freedom, t, got, 1 - inside)
+    assert abs(spark.sql(f"SELECT {tails.kolmogorov_sql('CAST(1.3581 AS DOUBLE)')} AS p").first().p - 0.05) < 1e-5
+
+
+def test_ks_of_normal_and_other_values(spark):
+    import numpy as np
+
+    from plinth.operators import outliers
+
+    rng = np.random.default_rng(1)
+    for x, normal in ((rng.normal(5, 3, 900), True), (rng.uniform(size=900), False), (rng.integers(0, 3, 900).astype(float), False)):
+        r = outliers.ks_normal(spark.createDataFrame([(float(v),) for v in x], "v double"), "v").first()
+        v = np.sort(x)
+        from math import erfc
+
+        p = np.array([0.5 * erfc(-(a - x.mean()) / x.std() / 2**0.5) for a in v])
+        upto, before = np.searchsorted(v, v, side="right") / 900, np.searchsorted(v, v) / 900
+        assert abs(r.statistic - max((upto - p).max(), (p - before).max())) < 1e-6 and r.normal == normal
+
+
+def test_gram_solutions(spark):
+    """Ridge and lasso by their conditions of optimality, components up to all columns by least squares."""
+    import numpy as np
+
+    from plinth.operators import models
+
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(300, 3)) * [1, 10, 0.1] + [0, 100, 5]
+    y = x @ [1.0, -0.2, 3.0] + rng.normal(size=300)
+    df = spark.createDataFrame([(*map(float, r), float(t), i % 5) for i, (r, t) in enumerate(zip(x, y))], "a double, b double, c double, y double, fold int")
+    grams = models.fold_grams(df, ["a", "b", "c"])
+
+    def plain(fit):
+        errors = []
+        for k in range(5):
+            out = np.arange(300) % 5 == k
+            m, s, t = x[~out].mean(0), x[~out].std(0), y[~out].mean()
+            b = fit((x[~out] - m) / s, y[~out] - t)
+            errors.append(((y[out] - t - (x[out] - m) / s @ b) ** 2).mean())
+        return errors
+
+    for alpha in (0.01, 10.0, 500.0):
+        assert np.allclose(models.gram_errors(grams, models.ridge_solution(alpha)), plain(lambda z, t: np.linalg.solve(z.T @ z + alpha * np.eye(3), z.T @ t)), rtol=1e-8)  # noqa: B023
+    full = plain(lambda z, t: np.linalg.lstsq(z, t, rcond=None)[0])
+    for solution in (models.pcr_solution(3), models.pls_solution(3), models.lasso_solution(0.0)):
+        assert np.allclose(models.gram_errors(grams, solution), full, rtol=1e-6)
+    xx, xy = np.array([[1, 0.5, 0.1], [0.5, 1, 0.3], [0.1, 0.3, 1]]), np.array([0.9, -0.2, 0.05])
+    for alpha in (0.01, 0.2, 2.0):
+        b = models.lasso_solution(alpha)(xx, xy, 10)
+        slope = xy - xx @ b
+        assert np.all(np.abs(slope) <= alpha + 1e-8) and np.allclose(slope[b != 0], alpha * np.sign(b[b != 0]), atol=1e-8)
+    one = models.pcr_solution(1)(xx, xy, 10)
+    v = np.linalg.eigh(xx)[1][:, -1]
+    assert np.allclose(one, v * (v @ xy) / (v @ xx @ v))
+
+
+def test_medians_fill_level_by_level_like_a_plain_version(spark):
+    import random
+    from statistics import median
+
+    from plinth.operators import impute
+
+    rng = random.Random(4)
+    rows = [(i, rng.choice(["a", "b", None]), rng.choice([1, 2, 3, None]), rng.choice([None, None, 1.0, 2.0, 7.5, 9.0]), rng.choice([None, 3.0, 4.0])) for i in range(300)]
+    df = spark.createDataFrame(rows, "id int, g string, h int, v double, w double")
+    levels = (("g", "h"), ("g",), ("h",))
+    got = {r.id: (r.v, r.v_imputed, r.w, r.w_imputed) for r in impute.median_hierarchical(df, ["v", "w"], levels).collect()}
+    want = {}
+    for c in (3, 4):
+        value, source = {r[0]: r[c] for r in rows}, {r[0]: "Original" if r[c] is not None else None for r in rows}
+        for level in [*levels, ()]:
+            at = ["_ g h".split().index(k) for k in level]
+            groups = {}
+            for r in rows:
+                if value[r[0]] is not None and all(r[k] is not None for k in at):
+                    groups.setdefault(tuple(r[k] for k in at), []).append(value[r[0]])
+            for r in rows:
+                key = tuple(r[k] for k in at)
+                if value[r[0]] is None and key in groups and None not in key:
+                    want[r[0], c] = (median(groups[key]), " & ".join(level) or "Overall")
+            for (i, k), (v, s) in want.items():
+                if k == c and value[i] is None:
+                    value[i], source[i] = v, s
+        for i in value:
+            want[i, c] = (value[i], source[i])
+    assert got == {i: (*want[i, 3], *want[i, 4]) for i in got} and len(got) == 300
 
 
 def test_isolation_forest_on_few_rows_and_any_partitioning(spark):
@@ -191,7 +296,7 @@ def test_linear_inference_and_fold_errors_in_closed_form(spark):
     x = rng.normal(size=(400, 2))
     y = 2 + x @ [1.5, -0.5] + 0.3 * rng.normal(size=400)
     df = spark.createDataFrame([(float(a), float(b), float(2 * a + 1), float(t), i % 5) for i, ((a, b), t) in enumerate(zip(x, y))], "a double, b double, a2 double, y double, fold int")
-    got = {r.feature: r for r in models.inference(models.linear().fit(models.assembled(df, ["a", "b"])), ["a", "b"]).collect()}
+    got = {r.feature: r for r in models.inference(df, ["a", "b"]).collect()}
     d = np.column_stack([x, np.ones(400)])
     beta = np.linalg.solve(d.T @ d, d.T @ y)
     s2 = ((y - d @ beta) ** 2).sum() / 397
