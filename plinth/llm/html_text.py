@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from plinth.llm.boosting import BoostedTrees, fit_trees
 
-MAX_PAGES, MAX_CHARS, LAYOUTS = 500, 16_384, 500
+MAX_PAGES, MAX_CHARS, MAX_TAGS, LAYOUTS = 500, 16_384, 2_000, 500
 
 # Names of HTML elements.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -81,6 +81,7 @@ def _attributes(source: str) -> dict[str, str]:
 def parse(page: str) -> Node:
     """The tree of block elements; text leaves hold their text in one line."""
     root = Node("html", {}, None)
+    path, open_at = [root], {}  # open elements, and the places of each tag among them
     here, pieces, inline, in_link, link_chars = root, [], 0, 0, 0
     at, n = 0, len(page)
 
@@ -94,6 +95,22 @@ def parse(page: str) -> Node:
                 here.children.append(leaf)
         pieces, inline, link_chars = [], 0, 0
 
+    def nearest(tags) -> int:
+        """The place of the innermost open element of these tags; 0 if there is none."""
+        return max((open_at[t][-1] for t in tags if open_at.get(t)), default=0)
+
+    def leave(place: int) -> Node:
+        for node in path[place:]:
+            open_at[node.tag].pop()
+        del path[place:]
+        return path[-1]
+
+    def enter(node: Node) -> Node:
+        node.parent.children.append(node)
+        open_at.setdefault(node.tag, []).append(len(path))
+        path.append(node)
+        return node
+
     while at < n:
         m = _MARKUP.search(page, at)
         if m is None:
@@ -127,31 +144,21 @@ def parse(page: str) -> Node:
             continue
         if tag in ("html", "body"):
             if not closing and tag == "body":
-                here = Node("body", _attributes(m[3]), root)
-                root.children.append(here)
+                leave(1)
+                here = enter(Node("body", _attributes(m[3]), root))
             continue
         if closing:
-            up = here
-            while up is not None and up.tag != tag:
-                up = up.parent
-            if up is not None and up.parent is not None:
-                here = up.parent
+            here = leave(nearest((tag,)) or len(path))
             continue
         if tag in CLOSED_BY_BLOCK:
-            up = here
-            while up is not None and up.tag not in ("p", "td", "th", "table", "li"):
-                up = up.parent
-            if up is not None and up.tag == "p":
-                here = up.parent
+            place = nearest(("p", "td", "th", "table", "li"))
+            if place and path[place].tag == "p":
+                here = leave(place)
         if tag in SAME:
-            up = here
-            while up is not None and up.tag not in SAME[tag] and up.tag not in BARRIER.get(tag, ()):
-                up = up.parent
-            if up is not None and up.tag in SAME[tag]:
-                here = up.parent
-        node = Node(tag, _attributes(m[3]), here)
-        here.children.append(node)
-        here = node
+            place = nearest((*SAME[tag], *BARRIER.get(tag, ())))
+            if place and path[place].tag in SAME[tag]:
+                here = leave(place)
+        here = enter(Node(tag, _attributes(m[3]), here))
     flush()
     return root
 
@@ -356,7 +363,7 @@ def layout(seed: int) -> str:
     return f"<html><head><title>{phrase(2, 8)}</title><style>p{{}}</style></head><body>{body}{foot}</body></html>"
 
 
-def fit(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", max_pages: int = MAX_PAGES, max_chars: int = MAX_CHARS, layouts: int = LAYOUTS) -> BoostedTrees:
+def fit(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", max_pages: int = MAX_PAGES, max_chars: int = MAX_CHARS, max_tags: int = MAX_TAGS, layouts: int = LAYOUTS) -> BoostedTrees:
     """Trees from the features of a bounded sample's nodes; features are made where the pages are.
 
     The sample's rows are put in an order of their own before training, so the model doesn't depend on partitions.
@@ -383,7 +390,7 @@ def fit(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", max_p
         return x, np.frombuffer(b"".join(r[2] for r in found))
 
     spark = pages.sparkSession
-    fits = F.col(id_col).isNotNull() & F.contains(F.col(html_col), F.lit("<article")) & (F.length(html_col) <= max_chars)
+    fits = F.col(id_col).isNotNull() & F.contains(F.col(html_col), F.lit("<article")) & (F.length(html_col) <= max_chars) & (F.length(html_col) - F.length(F.replace(html_col, F.lit("<"), F.lit(""))) <= max_tags)
     key = F.xxhash64(F.col(id_col), F.col(html_col))
     # keys first, so that no page but the chosen ones leaves its task
     chosen = pages.where(fits).select(key.alias("key")).distinct().orderBy("key").limit(max_pages)

@@ -27,6 +27,17 @@ def test_deep_pages_need_no_recursion():
     assert leaves("<div>" * 30_000 + "x") == ["x"]
 
 
+def test_unclosed_elements_and_stray_ends_take_time_in_proportion():
+    import time
+
+    took = []
+    for n in (20_000, 160_000):
+        began = time.process_time()
+        assert len(h.ordered(h.parse("<div>" * n + "x" + "</p>" * n + "</b></div>"))) == n + 2
+        took.append(time.process_time() - began)
+    assert took[1] < 24 * took[0] + 1  # 8 in proportion, 64 with its square
+
+
 def test_decoding_is_consistent_and_best():
     rng = np.random.default_rng(0)
     for seed in range(5):
