@@ -38,6 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plinth.llm.similarity import unused
 from plinth.session import broadcast_if_small, checkpointed
 
 #: Fixed masks: places that count, of a span of ten words; and those for items of 10 to 15 words.
@@ -241,5 +242,6 @@ def remove_leaking(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id"
     """The rows of ``docs`` whose text leaks no item, with their columns."""
     texts = docs.where(F.col(text_col).isNotNull()).select(F.md5(text_col).alias("doc"), F.col(text_col).alias("text"))
     found = _found(texts, benchmark.select(F.col(item_col).alias("item"), F.col(item_text_col).alias("text")))
-    leaking = checkpointed(found.select(F.col("doc").alias("_leaking")).distinct())
-    return docs.join(broadcast_if_small(leaking), F.md5(docs[text_col]) == F.col("_leaking"), "left_anti")
+    name = unused(docs, "_leaking")
+    leaking = checkpointed(found.select(F.col("doc").alias(name)).distinct())
+    return docs.join(broadcast_if_small(leaking), F.md5(docs[text_col]) == F.col(name), "left_anti")

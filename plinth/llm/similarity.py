@@ -206,20 +206,29 @@ def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return placed.join(least, "root").select(F.col("id").alias(id_col), "component_id")
 
 
+def unused(df: DataFrame, stem: str) -> str:
+    """A column name that ``df`` doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while stem in taken:
+        stem += "_"
+    return stem
+
+
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
     """The least row of each group, with its columns: that with the least id (nulls last), of rows that share it that with the least hash of the text.
 
     A row is known by its id and text, so rows that share an id, null or not, but not their group are decided each on its
     own; of rows that repeat both one stays.
     """
+    key, digest = unused(df, "_id"), unused(df, "_h")
     placed = checkpointed(_placed(df, id_col, text_col, words, similarity))
     least = checkpointed(placed.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "h")).alias("kept")))
-    decided = placed.join(least, "root").select(F.col("id").alias("_id"), F.col("h").alias("_h"), (F.col("id").eqNullSafe(F.col("kept.id")) & (F.col("h") == F.col("kept.h"))).alias("stays"))
-    decided = checkpointed(decided.groupBy("_id", "_h").agg(F.max("stays").alias("stays"), F.count(F.lit(1)).alias("n")))
-    gone = checkpointed(decided.where("not stays").select("_id", "_h"))
-    again = checkpointed(decided.where("stays and n > 1").select("_id", "_h"))
-    same = F.xxhash64(F.coalesce(df[text_col], F.lit(""))) == F.col("_h")
-    same = same & df[id_col].eqNullSafe(F.col("_id"))
+    decided = placed.join(least, "root").select(F.col("id").alias(key), F.col("h").alias(digest), (F.col("id").eqNullSafe(F.col("kept.id")) & (F.col("h") == F.col("kept.h"))).alias("stays"))
+    decided = checkpointed(decided.groupBy(key, digest).agg(F.max("stays").alias("stays"), F.count(F.lit(1)).alias("n")))
+    gone = checkpointed(decided.where("not stays").select(key, digest))
+    again = checkpointed(decided.where("stays and n > 1").select(key, digest))
+    same = F.xxhash64(F.coalesce(df[text_col], F.lit(""))) == F.col(digest)
+    same = same & df[id_col].eqNullSafe(F.col(key))
     kept = df.join(broadcast_if_small(gone), same, "left_anti")
     if again.isEmpty():
         return kept

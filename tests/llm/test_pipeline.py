@@ -175,3 +175,17 @@ def test_rows_of_one_id(spark):
     assert [x for x in got if x not in ("a", "g")] == ["b", "c", "d", "h"] and len(got) == 5
     groups = similarity.similar_groups(df).collect()
     assert len(groups) == len(rows) and sorted({r.component_id for r in groups if r.component_id}) == [1, 6]
+
+
+def test_stages_with_columns_of_internal_names(spark):
+    """Other columns may have any name, those that a stage uses for itself included."""
+    from plinth.llm import decontaminate
+
+    names = ("_h", "_id", "_leaking", "id", "h", "root", "item", "doc", "stays", "n", "kept")
+    text = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen"
+    rows = [(1, text, *names), (2, text, *names), (3, "another text of few words", *names), (3, "a third one here", *names)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"{n} string" for n in names))
+    kept = similarity.keep_one(df)
+    assert kept.columns == df.columns and sorted((r.doc_id, r["_h"]) for r in kept.collect()) == [(1, "_h"), (3, "_h"), (3, "_h")]
+    clean = decontaminate.remove_leaking(df, spark.createDataFrame([(0, text)], "item_id long, text string"))
+    assert clean.columns == df.columns and sorted(r.doc_id for r in clean.collect()) == [3, 3]
