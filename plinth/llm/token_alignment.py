@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from plinth.session import shared_path
 
-#: Pieces that a task keeps at once, and the longest of them.
+#: Pieces that a task keeps at once (and so many before them), and the longest of them.
 KEPT_PIECES, KEPT_CHARS = 200_000, 64
 #: Characters of texts that a task holds as results before it hands them on, about.
 OUT_CHARS = 1_000_000
@@ -94,7 +94,9 @@ class Aligner:
         #: Decimal ids with what may stand behind them.
         self.width = max(len(self.a_bytes), len(self.b_bytes))
         self.said = [f"{i}{mark}" for mark in (",", "|", ";", "\n") for i in range(self.width)]
+        #: What pieces gave, and what they gave before there were too many.
         self.kept: dict[str, tuple | None] = {}
+        self.old: dict[str, tuple | None] = {}
 
     def align(self, texts: list[str]) -> list:
         """For each text, given without the space before it, ``n_a, n_b, groups, same ids, odd pairs (a << 32 | b), groups as text``; None if tokens and bytes differ."""
@@ -143,21 +145,22 @@ class Aligner:
         """``align`` of each text, piece by piece; texts without tokens give zeros."""
         nothing = (0, 0, 0, b"", b"", "")
         cut = [_CUT.split(t) if t else [] for t in texts]
-        # kept pieces first have a space of their own before them in every place, as the text's start has
-        fresh = list(dict.fromkeys(p for ps in cut for p in ps if p not in self.kept))
-        if len(self.kept) + len(fresh) > KEPT_PIECES:
-            self.kept.clear()
-            fresh = list(dict.fromkeys(p for ps in cut for p in ps))
+        wanted = dict.fromkeys(chain.from_iterable(cut))
+        missing = [p for p in wanted if p not in self.kept]
+        if len(self.kept) + len(missing) > KEPT_PIECES:  # those met again since the last time stay
+            self.old, self.kept, missing = self.kept, {}, list(wanted)
+        self.kept.update((p, self.old[p]) for p in missing if p in self.old)
+        fresh = [p for p in missing if p not in self.kept]
         # together, pieces are independent only if white space neither begins nor ends them
-        alone = [p for p in fresh if p[:1].isspace() or p[-1:].isspace()]
+        alone = [p for p in fresh if p[0].isspace() or p[-1].isspace()]
         self.kept.update((p, self.align([p])[0]) for p in alone)
-        fit = [p for p in fresh if p not in self.kept]
+        fit = [p for p in fresh if p not in self.kept] if alone else fresh
         for lo in range(0, len(fit), 1000):
             part = fit[lo : lo + 1000]
             self.kept.update(zip(part, self.align(part)))
         out = []
         for t, ps in zip(texts, cut):
-            found = [self.kept[p] for p in ps]
+            found = list(map(self.kept.__getitem__, ps))
             if None in found:
                 out.append(self.align([t])[0] or nothing)
             elif found:
@@ -212,7 +215,7 @@ def align(df: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", text_
                 vector += np.bincount(np.frombuffer(b"".join([x[3] for x in found]), np.int32), minlength=len(vector))
                 yield batch(b.column(0).slice(lo, hi - lo), list(range(row, row + hi - lo)), found, same, odd)
                 row, lo = row + hi - lo, hi
-        aligner.kept.clear()  # workers outlive their tasks
+        aligner.kept, aligner.old = {}, {}  # workers outlive their tasks
         held = np.flatnonzero(vector)
         if len(held):
             yield batch(pa.nulls(1, kind), [None], [(0, 0, 0, b"", b"", "")], [(held, vector[held])], [(held[:0], held[:0])])
