@@ -7,7 +7,7 @@ from itertools import combinations
 import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.evaluation import RegressionEvaluator
-from pyspark.ml.feature import PCA, CountVectorizerModel, RegexTokenizer, VectorAssembler
+from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,6 +16,7 @@ from pyspark.sql.window import Window
 from plinth.functions import tails
 from plinth.operators.aggregates import exact_quantiles
 from plinth.operators.encode import gram
+from plinth.session import broadcast_if_small, checkpointed
 
 
 def assembled(df: DataFrame, columns, name: str = "features") -> DataFrame:
@@ -294,15 +295,22 @@ def inference(df: DataFrame, columns, y: str = "y") -> DataFrame:
     return out.select("feature", "coefficient", "std_error", "t", F.expr(tails.student_two_sided_sql("t", "freedom")).alias("p"), "r2")
 
 
-def text_tokens(df: DataFrame, column: str, name: str = "tokens", most: int = 10_000):
-    """Rows with a count vector over all words of the column, those words in the vector's order, and in how many rows each is; more words than ``most`` are an error."""
-    words = RegexTokenizer(inputCol="_text", outputCol="_words", pattern=r"\W+", minTokenLength=1)
-    rows = words.transform(df.withColumn("_text", F.coalesce(column, F.lit(""))))
-    in_rows = {r.word: r.n for r in rows.select(F.explode(F.array_distinct("_words")).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n")).limit(most + 1).collect()}
-    if len(in_rows) > most:
-        raise ValueError(f"{column} has more than {most} words; a vector over all of them isn't a feature")
-    known = sorted(in_rows)
-    return CountVectorizerModel.from_vocabulary(known or [""], "_words", name).transform(rows).drop("_text", "_words"), known, in_rows
+def token_table(df: DataFrame, column: str) -> DataFrame:
+    """The inverted table ``text, word, n, in_rows``: how often each word is in each distinct text, and how many rows of ``df`` have it; any number of words."""
+    texts = df.groupBy(F.coalesce(column, F.lit("")).alias("text")).agg(F.count(F.lit(1)).alias("times"))
+    words = F.filter(F.split(F.lower("text"), r"\W+"), lambda w: w != "")
+    found = checkpointed(texts.select("text", "times", F.explode(words).alias("word")).groupBy("text", "times", "word").agg(F.count(F.lit(1)).alias("n")))
+    rows = checkpointed(found.groupBy("word").agg(F.sum("times").alias("in_rows")))
+    return found.join(broadcast_if_small(rows), "word").select("text", "word", "n", "in_rows")
+
+
+def with_token_statistics(df: DataFrame, column: str) -> DataFrame:
+    """Rows with ``n_tokens, n_distinct, l2`` of their counts of words, and ``rarest``, the word that fewest rows have (the least of ties; none: empty)."""
+    by_text = token_table(df, column).groupBy("text").agg(F.sum("n").cast("double").alias("n_tokens"), F.count(F.lit(1)).alias("n_distinct"), F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("l2"), F.min(F.struct("in_rows", "word")).alias("rarest"))
+    by_text = broadcast_if_small(checkpointed(by_text.withColumnRenamed("text", "_text")), 100_000)
+    out = df.join(by_text, F.coalesce(df[column], F.lit("")) == F.col("_text"), "left")
+    none = {"n_tokens": F.lit(0.0), "n_distinct": F.lit(0).cast("long"), "l2": F.lit(0.0)}
+    return out.select(*(df[c] for c in df.columns), *(F.coalesce(c, v).alias(c) for c, v in none.items()), F.coalesce("rarest.word", F.lit("")).alias("rarest"))
 
 
 def linear_contributions(df: DataFrame, coefficients: dict[str, float]) -> DataFrame:

@@ -86,17 +86,9 @@ def fill_category_literal(spark, sf):
     SELECT ad_id, CAST(len(words) AS DOUBLE) AS n_tokens, CAST(coalesce(s.k, 0) AS BIGINT) AS n_distinct, round(coalesce(s.l2, 0), 6) AS l2, coalesce(s.rarest, '') AS rarest
     FROM listings JOIN t ON coalesce(model, '') = t.m LEFT JOIN s ON s.m = t.m""")
 def encode_text_tokens(spark, sf):
-    """Of each row's vector over the whole vocabulary: tokens, distinct ones, length, and the word that fewest rows have."""
-    from pyspark.ml.functions import vector_to_array
-
-    df, words, in_rows = models.text_tokens(listings(spark, sf).select("ad_id", "model"), "model")
-    rank = {w: k for k, w in enumerate(sorted(words, key=lambda w: (in_rows[w], w)))}
-    names = F.array(*(F.lit(w) for w in sorted(words, key=rank.get)))
-    order = F.array(*(F.lit(rank[w]) for w in words))
-    df = df.select("ad_id", vector_to_array("tokens").alias("v"))
-    held = F.filter(F.transform(F.sequence(F.lit(0), F.size("v") - 1), lambda i: F.when(F.col("v")[i] > 0, order[i])), lambda r: r.isNotNull())
-    total = lambda f: F.aggregate("v", F.lit(0.0), lambda a, x: a + f(x))
-    return df.select("ad_id", total(lambda x: x).alias("n_tokens"), F.size(held).cast("long").alias("n_distinct"), F.round(F.sqrt(total(lambda x: x * x)), 6).alias("l2"), F.when(F.size(held) > 0, names[F.array_min(held)]).otherwise("").alias("rarest"))
+    """Of each row's counts of words: tokens, distinct ones, length, and the word that fewest rows have."""
+    out = models.with_token_statistics(listings(spark, sf).select("ad_id", "model"), "model")
+    return out.select("ad_id", "n_tokens", "n_distinct", F.round("l2", 6).alias("l2"), "rarest")
 
 
 @query("assemble_features", f"WITH {ls.FRAME} SELECT ad_id, [power_hp_val, torque_nm, engine_cc_val, mileage, year, risk] AS features FROM f")

@@ -311,14 +311,15 @@ def test_linear_inference_and_fold_errors_in_closed_form(spark):
     assert np.allclose(models.linear_errors(grams, [0, 1]), wanted) and np.allclose(models.linear_errors(grams, [0, 1, 2]), wanted)
 
 
-def test_text_tokens_cover_every_word(spark):
-    import pytest
-
+def test_token_table_of_any_number_of_words(spark):
     from plinth.operators import models
 
-    df = spark.createDataFrame([("a b a",), (None,), ("C-d",)], "t string")
-    out, words, rows = models.text_tokens(df, "t")
-    assert words == ["a", "b", "c", "d"] and rows["a"] == 1
-    assert sorted(tuple(r.tokens.toArray()) for r in out.collect()) == [(0, 0, 0, 0), (0, 0, 1, 1), (2, 1, 0, 0)]
-    with pytest.raises(ValueError):
-        models.text_tokens(df, "t", most=3)
+    df = spark.createDataFrame([(1, "a b a"), (2, None), (3, "C-d"), (4, "a b a"), (5, " !"), (6, "D")], "id int, t string")
+    table = {(r.text, r.word): (r.n, r.in_rows) for r in models.token_table(df, "t").collect()}
+    assert table == {("a b a", "a"): (2, 2), ("a b a", "b"): (1, 2), ("C-d", "c"): (1, 1), ("C-d", "d"): (1, 2), ("D", "d"): (1, 2)}
+    got = {r.id: (r.n_tokens, r.n_distinct, round(r.l2, 6), r.rarest) for r in models.with_token_statistics(df, "t").collect()}
+    none = (0.0, 0, 0.0, "")
+    assert got == {1: (3.0, 2, 2.236068, "a"), 2: none, 3: (2.0, 2, 1.414214, "c"), 4: (3.0, 2, 2.236068, "a"), 5: none, 6: (1.0, 1, 1.0, "d")}
+    many = spark.range(0, 1_000_000, 1, 8).select((F.col("id") % 1000).alias("id"), F.concat(F.lit("w"), "id", F.lit(" all")).alias("t"))
+    r = models.token_table(many, "t").agg(F.count(F.lit(1)).alias("n"), F.max("in_rows").alias("most")).first()
+    assert tuple(r) == (2_000_000, 1_000_000)
