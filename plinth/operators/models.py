@@ -5,7 +5,7 @@ from __future__ import annotations
 from itertools import combinations
 
 import numpy as np
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import PipelineModel
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, LinearRegression, RandomForestRegressor
@@ -337,14 +337,6 @@ def conformal_interval(scored: DataFrame, y: str, levels=((), ), low: float = 0.
     return out.select(*scored.columns, (F.col("prediction") + q[0]).alias("q05"), F.col("prediction").alias("q50"), (F.col("prediction") + q[1]).alias("q95"))
 
 
-def out_of_fold(df: DataFrame, estimator, fold: str = "fold", k: int = 5) -> DataFrame:
-    out = None
-    for i in range(k):
-        part = estimator.fit(df.where(F.col(fold) != i)).transform(df.where(F.col(fold) == i))
-        out = part if out is None else out.unionByName(part)
-    return out
-
-
 def save(model: PipelineModel, folder: str, version: str) -> str:
     path = f"{folder}/{version}"
     model.write().overwrite().save(path)
