@@ -12,7 +12,9 @@ ids of its marked words by position.
 2.  A bucket's task segments each distinct word of all blocks once, and gives
     every block the ids of its words in the order in which they came.
 3.  The ids of a block are written as one file in the shared folder, and the
-    tasks that read the texts again put the ids in place by position.
+    tasks that read the texts again put the ids in place by position: they
+    number a block's words, read its file bucket by bucket into one buffer and
+    gather each text's ids from there.  The texts themselves aren't held.
 
 A block's file says by a digest which words its ids belong to.  Should a task
 meet other texts than those its file was made from (rows that come in another
@@ -39,10 +41,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plinth.llm.memory import giving_back
 from plinth.session import shared_path
 
-#: Characters of a block of texts, and of all texts for each bucket of words, about.
-BLOCK_CHARS, BUCKET_CHARS = 16_000_000, 32_000_000
+#: Characters of a block of texts, and distinct words of a bucket, about.
+BLOCK_CHARS, BUCKET_WORDS = 16_000_000, 250_000
 #: Bytes of ids that a task holds before it hands them on, about.
 OUT_BYTES = 4_000_000
 MARK = "▁"
@@ -107,14 +110,26 @@ def packed_ids(found: list[bytes]) -> bytes:
     return struct.pack("<II", len(found), np.dtype(kind).itemsize) + np.array([len(ids) // 4 for ids in found], np.uint32).tobytes() + flat.astype(kind).tobytes()
 
 
-def unpacked_ids(data: bytes) -> list[bytes]:
+def ids_arrays(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of ids of the words, and the ids of all of them."""
     n, width = struct.unpack_from("<II", data)
-    sizes = np.frombuffer(data, np.uint32, n, 8)
-    flat = np.frombuffer(data, {2: np.uint16, 4: np.uint32}[width], int(sizes.sum()), 8 + 4 * n).astype(np.uint32).tobytes()
-    ends = (4 * np.cumsum(sizes, dtype=np.int64)).tolist()
+    sizes = np.frombuffer(data, np.uint32, n, 8).astype(np.int64)
+    return sizes, np.frombuffer(data, {2: np.uint16, 4: np.uint32}[width], int(sizes.sum()), 8 + 4 * n)
+
+
+def unpacked_ids(data: bytes) -> list[bytes]:
+    sizes, flat = ids_arrays(data)
+    flat = flat.astype(np.uint32).tobytes()
+    ends = (4 * np.cumsum(sizes)).tolist()
     return [flat[a:b] for a, b in zip([0, *ends[:-1]], ends)]
 
 
+def words_digest(packed: bytes) -> int:
+    from xxhash import xxh64_intdigest
+
+    return int(np.uint64(xxh64_intdigest(packed)).view(np.int64))
+
+
 def _rows(batches, block_chars: int):
     """(number of the block, id, text) of each row; a block is consecutive rows that hold about so many characters."""
     number, size = 0, 0
@@ -127,19 +142,30 @@ def _rows(batches, block_chars: int):
             yield number, key.as_py(), text
 
 
-def _buckets(texts, buckets: int) -> dict[int, list[str]]:
-    """The distinct words of texts by bucket, in the order in which they come."""
+class Numbering(dict):
+    """Numbers words in the order in which they come."""
+
+    def __missing__(self, word):
+        self[word] = n = len(self)
+        return n
+
+
+def _buckets(words: list[str], buckets: int) -> dict[int, list[int]]:
+    """The places of distinct words by bucket."""
     from xxhash import xxh32_intdigest
 
-    seen: dict = {}
-    for t in texts:
-        seen.update(dict.fromkeys(marked_words(t)))
     out: dict = {}
-    for w in seen:
-        out.setdefault(xxh32_intdigest(w.encode("utf-8", "surrogatepass")) % buckets, []).append(w)
+    for k, w in enumerate(words):
+        out.setdefault(xxh32_intdigest(w.encode("utf-8", "surrogatepass")) % buckets, []).append(k)
     return out
 
 
+def distinct_words(rows: DataFrame) -> int:
+    """About how many distinct words the texts have."""
+    words = rows.select(F.explode(F.split("text", f"[ {MARK}]+")).alias("word"))
+    return words.agg(F.approx_count_distinct("word")).first()[0]
+
+
 def word_lists(rows: DataFrame, buckets: int, block_chars: int) -> DataFrame:
     """``part, block, bucket, words`` of the rows' tasks."""
 
@@ -148,19 +174,23 @@ def word_lists(rows: DataFrame, buckets: int, block_chars: int) -> DataFrame:
 
         part = TaskContext.get().partitionId()
         for number, block in groupby(_rows(batches, block_chars), itemgetter(0)):
-            found = sorted((k, packed_words(ws)) for k, ws in _buckets(map(itemgetter(2), block), buckets).items())
+            seen: dict = {}
+            for _, _, text in block:
+                seen.update(dict.fromkeys(marked_words(text)))
+            words = list(seen)
+            del seen
+            found = sorted((k, packed_words([words[i] for i in places])) for k, places in _buckets(words, buckets).items())
+            del words
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array([part] * len(found), pa.int32()), pa.array([number] * len(found), pa.int32()), pa.array([k for k, _ in found], pa.int32()), pa.array([w for _, w in found], pa.binary())], names=["part", "block", "bucket", "words"])
 
-    return rows.mapInArrow(run, "part int, block int, bucket int, words binary")
+    return rows.mapInArrow(giving_back(run), "part int, block int, bucket int, words binary")
 
 
 def word_ids(lists: DataFrame, model: str, buckets: int) -> DataFrame:
     """``part, block, bucket, digest, ids``: for each list the ids of its words, each distinct word segmented once."""
 
     def run(batches):
-        from xxhash import xxh64_intdigest
-
         def batch(out):
             kinds = (pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary())
             return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), kinds)], names=["part", "block", "bucket", "digest", "ids"])
@@ -174,7 +204,7 @@ def word_ids(lists: DataFrame, model: str, buckets: int) -> DataFrame:
                 words = unpacked_words(data)
                 fresh = [w for w in words if w not in table]
                 table.update(zip(fresh, codec.segment(fresh)))
-                out.append((part.as_py(), block.as_py(), at, int(np.uint64(xxh64_intdigest(data)).view(np.int64)), packed_ids([table[w] for w in words])))
+                out.append((part.as_py(), block.as_py(), at, words_digest(data), packed_ids([table[w] for w in words])))
                 size += len(out[-1][-1])
                 if size > OUT_BYTES:
                     yield batch(out)
@@ -184,7 +214,7 @@ def word_ids(lists: DataFrame, model: str, buckets: int) -> DataFrame:
 
     # a bucket is in one task, its rows one after the other
     dealt = lists.repartition(buckets, "bucket").sortWithinPartitions("bucket")
-    return dealt.mapInArrow(run, "part int, block int, bucket int, digest long, ids binary")
+    return dealt.mapInArrow(giving_back(run), "part int, block int, bucket int, digest long, ids binary")
 
 
 def _filesystem(path: str):
@@ -205,31 +235,59 @@ def write_tables(ids: DataFrame, folder: str) -> None:
         name = f"{top}/{part}-{block}"
         own = f"{name}.{TaskContext.get().taskAttemptId()}"
         with where.open_output_stream(own, compression=None) as f, pa.ipc.new_file(f, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
-            w.write_table(table)
+            w.write_table(table, max_chunksize=1)  # read bucket by bucket
         where.move(own, name)
         return pa.table({"n": pa.array([table.num_rows], pa.int64())})
 
     ids.groupBy("part", "block").applyInArrow(write, "n long").agg(F.sum("n")).collect()  # one number
 
 
-def _table(where, name: str, by_bucket: dict[int, list[str]], codec: Codec) -> dict[str, bytes]:
-    """Word to ids for one block, from its file as far as that was made from the same words."""
-    from xxhash import xxh64_intdigest
-
-    held = {}
-    if where is not None:
-        try:
-            with where.open_input_file(name) as f:
-                for r in pa.ipc.open_file(f).read_all().to_pylist():
-                    held[r["bucket"]] = r
-        except FileNotFoundError:
-            pass
-    table: dict = {}
-    for bucket, words in by_bucket.items():
-        r = held.get(bucket)
-        same = r is not None and r["digest"] == int(np.uint64(xxh64_intdigest(packed_words(words))).view(np.int64))
-        table.update(zip(words, unpacked_ids(r["ids"]) if same else codec.segment(words)))
-    return table
+def _stored(where, name: str):
+    """(bucket, digest, ids) of a block's file, one bucket in memory at a time; nothing if there is no file."""
+    if where is None:
+        return
+    try:
+        f = where.open_input_file(name)
+    except FileNotFoundError:
+        return
+    with f:
+        reader = pa.ipc.open_file(f)
+        for k in range(reader.num_record_batches):
+            b = reader.get_batch(k)
+            for bucket, digest, ids in zip(b.column("bucket"), b.column("digest"), b.column("ids")):
+                yield bucket.as_py(), digest.as_py(), ids.as_py()
+
+
+class WordTable:
+    """Ids of a block's numbered words in one buffer, from the block's file as far as that was made from the same words."""
+
+    def __init__(self, stored, words: list[str], buckets: int, codec: Codec):
+        by_bucket = _buckets(words, buckets)
+        self.starts, self.sizes, parts, at = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64), [], 0
+
+        def put(places, sizes, ids):
+            nonlocal at
+            self.sizes[places] = sizes
+            self.starts[places] = at + np.cumsum(sizes) - sizes
+            parts.append(ids.astype(np.int32))
+            at += len(ids)
+
+        for bucket, digest, ids in stored:
+            places = by_bucket.get(bucket)
+            if places is not None and digest == words_digest(packed_words([words[k] for k in places])):
+                put(places, *ids_arrays(ids))
+                del by_bucket[bucket]
+        for places in by_bucket.values():
+            put(places, *ids_arrays(packed_ids(codec.segment([words[k] for k in places]))))
+        self.flat = np.concatenate(parts) if parts else np.zeros(0, np.int32)
+
+    def ids(self, texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of texts given by their words' numbers, and where each text's ids end, a zero first."""
+        numbers = np.concatenate(texts)
+        sizes = self.sizes[numbers]
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        places = np.repeat(self.starts[numbers] - ends[:-1], sizes) + np.arange(ends[-1])
+        return self.flat[places], ends[np.cumsum([0, *map(len, texts)])]
 
 
 def sentencepiece_codec(df: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", batch_chars: int = 1_000_000, block_chars: int = BLOCK_CHARS) -> DataFrame:
@@ -239,8 +297,8 @@ def sentencepiece_codec(df: DataFrame, model: str, id_col: str = "doc_id", text_
     """
     spark, kind = df.sparkSession, df.schema[id_col].dataType
     rows = df.select(id_col, F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
-    buckets = max(1, -(-chars // BUCKET_CHARS), min(2 * spark.sparkContext.defaultParallelism, -(-chars // 100_000)))
+    words = distinct_words(rows)
+    buckets = max(1, -(-words // BUCKET_WORDS), min(2 * spark.sparkContext.defaultParallelism, -(-words // 10_000)))
     folder = shared_path(spark, "words")
     write_tables(word_ids(word_lists(rows, buckets, block_chars), model, buckets), folder)
 
@@ -250,22 +308,29 @@ def sentencepiece_codec(df: DataFrame, model: str, id_col: str = "doc_id", text_
         part, codec = TaskContext.get().partitionId(), load_codec(model)
         where, top = _filesystem(folder)
         for number, block in groupby(_rows(batches, block_chars), itemgetter(0)):
-            _, keys, texts = zip(*block)
-            table = _table(where, f"{top}/{part}-{number}", _buckets(texts, buckets), codec)
+            numbers, keys, texts, chars = Numbering(), [], [], []
+            for _, key, text in block:
+                found = marked_words(text)
+                keys.append(key)
+                chars.append(len(text))
+                texts.append(np.fromiter(map(numbers.__getitem__, found), np.int32, len(found)))
+            words = list(numbers)
+            del numbers
+            table = WordTable(_stored(where, f"{top}/{part}-{number}"), words, buckets, codec)
+            del words
             lo = 0
             while lo < len(texts):
                 hi, size = lo, 0
-                while hi < len(texts) and (hi == lo or size + len(texts[hi]) <= batch_chars):
-                    size += len(texts[hi])
+                while hi < len(texts) and (hi == lo or size + chars[hi] <= batch_chars):
+                    size += chars[hi]
                     hi += 1
-                ids = [b"".join([table[w] for w in marked_words(t)]) for t in texts[lo:hi]]
-                ends = np.cumsum([0, *[len(x) // 4 for x in ids]]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(ids), np.int32)))
-                decoded = codec.sp.decode([np.frombuffer(x, np.int32).tolist() for x in ids], num_threads=1)
+                ids, ends = table.ids(texts[lo:hi])
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32()))
+                decoded = codec.sp.decode([ids[a:b].tolist() for a, b in zip(ends[:-1], ends[1:])], num_threads=1)
                 yield pa.RecordBatch.from_arrays([pa.array(keys[lo:hi], kinds), lists, pa.array(decoded, pa.string())], names=[id_col, "ids", "decoded"])
                 lo = hi
 
     from pyspark.sql.pandas.types import to_arrow_type
 
     kinds = to_arrow_type(kind)
-    return rows.mapInArrow(run, f"`{id_col}` {kind.simpleString()}, ids array<int>, decoded string")
+    return rows.mapInArrow(giving_back(run), f"`{id_col}` {kind.simpleString()}, ids array<int>, decoded string")

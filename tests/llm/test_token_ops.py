@@ -3,6 +3,7 @@
 import hashlib
 import random
 
+import numpy as np
 import public_tokenizers as P
 import pytest
 import sentencepiece
@@ -72,8 +73,15 @@ def test_each_distinct_word_is_segmented_once(spark):
 
 def test_texts_other_than_the_table_was_made_from():
     codec = sentencepiece_codec.load_codec(PIECE)
-    words = {0: ["▁a", "▁", "▁bcd"]}
-    assert sentencepiece_codec._table(None, "", words, codec) == dict(zip(words[0], codec.segment(words[0])))
+    words = ["▁a", "▁", "▁bcd"]
+    want = codec.segment(words)
+    right = sentencepiece_codec.words_digest(sentencepiece_codec.packed_words(words))
+    stale = [(0, right + 1, sentencepiece_codec.packed_ids([b"", b"", b""])), (7, right, b"")]
+    for stored in ([], stale, [(0, right, sentencepiece_codec.packed_ids(want))]):
+        table = sentencepiece_codec.WordTable(stored, words, 1, codec)
+        texts = [np.array(x, np.int32) for x in ([2, 0, 2], [], [1], [])]
+        ids, ends = table.ids(texts)
+        assert [ids[a:b].astype(np.uint32).tobytes() for a, b in zip(ends[:-1], ends[1:])] == [b"".join(want[k] for k in t) for t in texts]
     for ids in ([[1, 70_000], [], [3]], [[1, 2], [], [3]], []):
         found = [sentencepiece_codec.id_bytes(x) for x in ids]
         assert sentencepiece_codec.unpacked_ids(sentencepiece_codec.packed_ids(found)) == found
