@@ -10,7 +10,9 @@ such a place doesn't depend on what stands before it, so the right chunk's ids
 from there on are the ids of the whole text.  If the overlap holds no such
 place (one very long word, say) the overlap is doubled, up to the left
 chunk's start, where it always succeeds; a text that is one word without any
-boundary is so encoded as a whole in the end, which exact counts need.
+boundary is so encoded as a whole in the end, which exact counts need.  An
+overlap longer than a chunk brings as much new text, so such a text is encoded
+in pieces that double, in time in proportion to its length.
 
 Nulls count as the empty text, which has no tokens.  Repeated rows are counted
 each on its own, an empty table gives an empty result, and columns other than
@@ -27,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plinth.llm.memory import giving_back
+
 #: Characters of a chunk, and of the first overlap tried.
 CHUNK_CHARS, OVERLAP_CHARS = 65536, 256
 
@@ -68,7 +72,7 @@ def encode_spliced(tok, margin: int, text: str, chunk: int = CHUNK_CHARS, overla
         width = overlap
         while True:
             left = max(origin, end - width)
-            right = min(n, end + chunk)
+            right = min(n, end + max(chunk, end - left))  # an overlap wider than a chunk brings as much that is new, so a text without boundaries is read a few times only
             nxt = tok.encode(text[left:right], add_special_tokens=False)
             nplaces, nfirsts = _words(nxt, left)
             proven = {p: f for p, f in zip(places, firsts) if origin <= p and p + margin <= end}
@@ -105,5 +109,5 @@ def token_counts(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col
 
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = df.select(id_col, text.alias("text"), F.octet_length(text).cast("long").alias("n_bytes"))
-    out = rows.mapInArrow(count, f"`{id_col}` {kind}, n_bytes long, n_tokens long")
+    out = rows.mapInArrow(giving_back(count), f"`{id_col}` {kind}, n_bytes long, n_tokens long")
     return out.withColumn("over_limit", F.col("n_tokens") > max_tokens)

@@ -32,6 +32,23 @@ def test_splicing_equals_whole_text(chunk, overlap):
         assert ids == tok.encode(t or "", add_special_tokens=False).ids, repr(t)[:80]
 
 
+def test_text_without_boundaries_is_read_a_few_times():
+    tok, margin = token_counts.load_tokenizer(BPE)
+
+    class Counting:
+        read = 0
+
+        def encode(self, text, **options):
+            self.read += len(text)
+            return tok.encode(text, **options)
+
+    for text in ("abcdefghij" * 20_000, "x" * 200_000, "word " * 40_000):
+        counting = Counting()
+        ids = [i for part in token_counts.encode_spliced(counting, margin, text, 1000, 16) for i in part]
+        assert ids == tok.encode(text, add_special_tokens=False).ids
+        assert counting.read < 10 * len(text)
+
+
 def test_token_counts_rows(spark):
     tok, _ = token_counts.load_tokenizer(BPE)
     df = spark.createDataFrame([(k, t, "x") for k, t in enumerate(TEXTS)] + [(0, "", "again"), (None, "hello", "n")], "doc_id long, text string, n_tokens string")
