@@ -38,6 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plinth.llm.memory import giving_back
 from plinth.llm.similarity import unused
 from plinth.session import broadcast_if_small, checkpointed
 
@@ -160,8 +161,8 @@ def _found(texts: DataFrame, benchmark: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array([item.as_py()] * len(h), b.column(0).type)], names=["seed", "item"])
 
     source = benchmark.where(F.col("text").isNotNull())
-    items = checkpointed(source.mapInArrow(item_words, f"item {item_kind}, words array<long>").where(F.size("words") > 0))
-    seeds = checkpointed(items.mapInArrow(item_seeds, f"seed long, item {item_kind}"))
+    items = checkpointed(source.mapInArrow(giving_back(item_words), f"item {item_kind}, words array<long>").where(F.size("words") > 0))
+    seeds = checkpointed(items.mapInArrow(giving_back(item_seeds), f"seed long, item {item_kind}"))
     sizes = [r.n for r in items.select(F.size("words").alias("n")).where(F.col("n") < SMALL_ITEMS.stop).distinct().collect()]  # fifteen values at most
     masks = masks_for(sizes)
     bits = min(MAX_BITS, max(16, int(np.ceil(np.log2(BITS_PER_SEED * (seeds.count() + 1))))))
@@ -194,7 +195,7 @@ def _found(texts: DataFrame, benchmark: DataFrame) -> DataFrame:
                         rows[key].append(v)
             yield pa.RecordBatch.from_arrays([pa.array(rows["doc"], b.column(0).type), pa.array(rows["base"], pa.int32()), pa.array(rows["words"], pa.list_(pa.int64())), pa.array(rows["seed"], pa.list_(pa.int64())), pa.array(rows["at"], pa.list_(pa.int32()))], names=["doc", "base", "words", "seed", "at"])
 
-    found = checkpointed(texts.mapInArrow(stretches, f"doc {kind}, base int, words array<long>, seed array<long>, at array<int>").withColumn("stretch", F.monotonically_increasing_id()))
+    found = checkpointed(texts.mapInArrow(giving_back(stretches), f"doc {kind}, base int, words array<long>, seed array<long>, at array<int>").withColumn("stretch", F.monotonically_increasing_id()))
     pairs = found.select("stretch", F.explode(F.array_distinct("seed")).alias("seed")).join(broadcast_if_small(seeds), "seed").select("stretch", "item").distinct()
 
     def verify(batches):
@@ -218,7 +219,7 @@ def _found(texts: DataFrame, benchmark: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out) if out else [[]] * 6, kinds)], names=["doc", "item", "matched", "item_words", "first_word", "last_word"])
 
     cases = pairs.join(found, "stretch").join(items.withColumnRenamed("words", "item_words"), "item")
-    verified = cases.select("doc", "item", "base", "words", "seed", "at", "item_words").mapInArrow(verify, f"doc {kind}, item {item_kind}, matched double, item_words int, first_word int, last_word int")
+    verified = cases.select("doc", "item", "base", "words", "seed", "at", "item_words").mapInArrow(giving_back(verify), f"doc {kind}, item {item_kind}, matched double, item_words int, first_word int, last_word int")
     best = verified.groupBy("doc", "item").agg(F.min(F.struct((-F.col("matched")).alias("m"), "first_word", "last_word", "item_words")).alias("b"))
     return best.select("doc", "item", (-F.col("b.m")).alias("matched"), "b.item_words", "b.first_word", "b.last_word")
 
@@ -233,7 +234,7 @@ def _bloom(seeds: DataFrame, bits: int) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(p >> 6), pa.array(np.left_shift(np.uint64(1), (p & 63).astype(np.uint64)).view(np.int64))], names=["at", "bits"])
 
     out = np.zeros(1 << (bits - 6), np.int64)
-    gathered = seeds.select("seed").mapInArrow(probes, "at long, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits")).toPandas()
+    gathered = seeds.select("seed").mapInArrow(giving_back(probes), "at long, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits")).toPandas()
     out[gathered["at"].to_numpy(np.int64)] = gathered["bits"].to_numpy(np.int64)
     return out.view(np.uint8)
 

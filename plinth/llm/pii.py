@@ -37,6 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plinth.llm.boosting import BoostedTrees, fit_trees
+from plinth.llm.memory import giving_back
 
 KINDS = ("email", "ip", "card", "phone")
 MAX_DOCS, MAX_WINDOWS, EXAMPLES, PRECISION = 400, 8, 6000, 0.98
@@ -283,7 +284,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_doc
     texts = docs.where(F.col(id_col).isNotNull() & (F.length(text_col) > 0))
     chosen = texts.select((~F.col(text_col).rlike("[0-9@]")).alias("bare"), F.xxhash64(id_col).alias("h"), id_col).orderBy("bare", "h", id_col).limit(max_docs).select(id_col)
     texts = texts.join(F.broadcast(chosen), id_col, "left_semi").select(text_col)
-    seen = sorted({tuple(w) for w in texts.mapInArrow(found, "left string, s string, right string, kind int, good boolean").collect()})
+    seen = sorted({tuple(w) for w in texts.mapInArrow(giving_back(found), "left string, s string, right string, kind int, good boolean").collect()})
     known, contexts = [w for w in seen if w[3] >= 0], [left + right for left, _, right, k, _ in seen if k < 0] or ["and so on as it was said before "]
     # examples for the thresholds come from spans that train no tree
     parts = [w for k, w in enumerate(known) if k % 4 == 0], [w for k, w in enumerate(known) if k % 4]
@@ -327,7 +328,7 @@ def detect(docs: DataFrame, model: Detector, id_col: str = "doc_id", text_col: s
             spans = [[{"kind": KINDS[k], "start": s, "end": e, "base": f, "score": p} for s, k, e, f, p in model.spans(t.as_py())] for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(spans, shape)], names=[id_col, "spans"])
 
-    return docs.select(id_col, F.coalesce(text_col, F.lit("")).alias("text")).mapInArrow(run, f"`{id_col}` {kind}, spans {SPANS}")
+    return docs.select(id_col, F.coalesce(text_col, F.lit("")).alias("text")).mapInArrow(giving_back(run), f"`{id_col}` {kind}, spans {SPANS}")
 
 
 def joined(spans: Column) -> Column:

@@ -35,6 +35,7 @@ from pyspark.sql import functions as F
 
 from plinth.llm.components import connected_components
 from plinth.llm.golay import LENGTH, near_indices
+from plinth.llm.memory import giving_back
 from plinth.session import checkpointed
 
 #: (shift, bits) of the segments of a fingerprint.
@@ -72,7 +73,7 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], names=[id_col, "fp"])
 
     rows = df.select(id_col, F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return rows.mapInArrow(run, f"`{id_col}` {kind}, fp long")
+    return rows.mapInArrow(giving_back(run), f"`{id_col}` {kind}, fp long")
 
 
 def _keys(batches):
@@ -103,7 +104,7 @@ def _ball(batches):
 def fingerprint_links(distinct: DataFrame) -> DataFrame:
     """``a, b``: links among distinct fingerprints (column ``fp``) whose components are those of all pairs within two bits."""
     assert all(n <= LENGTH for _, n in SEGMENTS)
-    keys = distinct.select("fp").mapInArrow(_keys, "key long, fp long, nearest boolean")
+    keys = distinct.select("fp").mapInArrow(giving_back(_keys), "key long, fp long, nearest boolean")
     sizes = keys.groupBy("key").agg(F.sum(F.col("nearest").cast("long")).alias("n"), F.sum((~F.col("nearest")).cast("long")).alias("m")).where("n > 0 and m > 1")
     # a key whose pairs would be more than the rows of its members' balls
     sizes = checkpointed(sizes.select("key", (F.col("n") * F.col("m") > 65 * F.col("m") + 65).alias("large")))
@@ -115,7 +116,7 @@ def fingerprint_links(distinct: DataFrame) -> DataFrame:
         .where("a <> b and bit_count(a ^ b) <= 2").select("a", "b")
     )
     many = met.where("large and not nearest").select("fp").distinct()
-    around = many.mapInArrow(_ball, "around long, fp long")
+    around = many.mapInArrow(giving_back(_ball), "around long, fp long")
     hung = checkpointed(around.groupBy("around").agg(F.min("fp").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1").select("around", "a"))
     stars = around.join(hung, "around").where("a <> fp").select("a", F.col("fp").alias("b"))
     return pairs.union(stars).distinct()

@@ -35,6 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plinth.llm.components import connected_components
+from plinth.llm.memory import giving_back
 from plinth.llm.simhash import fingerprint, fingerprint_links
 from plinth.session import broadcast_if_small, checkpointed
 
@@ -125,7 +126,7 @@ def _sketches(rows: DataFrame, words: int) -> DataFrame:
                 keys.append(band_keys(s))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(digests, pa.int64()), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(keys, pa.list_(pa.int64()))], names=["id", "h", "digest", "fp", "keys"])
 
-    return checkpointed(rows.mapInArrow(sketch, f"id {kind}, h long, digest long, fp long, keys array<long>"))
+    return checkpointed(rows.mapInArrow(giving_back(sketch), f"id {kind}, h long, digest long, fp long, keys array<long>"))
 
 
 def _placed(df: DataFrame, id_col: str, text_col: str, words: int, similarity: float) -> DataFrame:
@@ -153,7 +154,7 @@ def _placed(df: DataFrame, id_col: str, text_col: str, words: int, similarity: f
             sets = [shingle_set(t.as_py(), words) for t in b.column(0)]
             yield pa.RecordBatch.from_arrays([pa.array([set_digest(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["digest", "s"])
 
-    sets = checkpointed(texts.mapInArrow(shingles, "digest long, s binary").join(named, "digest", "left_semi").dropDuplicates(["digest"]))
+    sets = checkpointed(texts.mapInArrow(giving_back(shingles), "digest long, s binary").join(named, "digest", "left_semi").dropDuplicates(["digest"]))
 
     def verify(batches):
         for b in batches:
@@ -166,7 +167,7 @@ def _placed(df: DataFrame, id_col: str, text_col: str, words: int, similarity: f
 
     pairs = live.where("digest <> head").select(F.least("digest", "head").alias("x"), F.greatest("digest", "head").alias("y")).union(close.select(F.least("x", "y"), F.greatest("x", "y"))).distinct()
     both = pairs.join(sets.select(F.col("digest").alias("x"), F.col("s").alias("sx")), "x").join(sets.select(F.col("digest").alias("y"), F.col("s").alias("sy")), "y")
-    links = checkpointed(both.select("x", "y", "sx", "sy").mapInArrow(verify, "x long, y long"))
+    links = checkpointed(both.select("x", "y", "sx", "sy").mapInArrow(giving_back(verify), "x long, y long"))
     roots = checkpointed(connected_components(links, "x", "y"))
 
     # what is left: keys whose members other than the head, which met all, have several roots
