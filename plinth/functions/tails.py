@@ -32,3 +32,10 @@ def kolmogorov_sql(x: str, terms: int = 30) -> str:
     """The chance that the scaled greatest gap of an empirical distribution, root of n times the statistic, is over ``x``; its asymptotic series."""
     series = " + ".join(f"{'-' if k % 2 == 0 else ''}2 * exp(-2.0 * {k * k} * {x} * {x})" for k in range(1, terms + 1))
     return f"(CASE WHEN {x} < 0.3 THEN 1.0 ELSE greatest(0.0, least(1.0, {series.replace('+ -', '- ')})) END)"
+
+
+def digamma_sql(x: str) -> str:
+    """The derivative of ln gamma at ``x`` of at least 1: its asymptotic series six steps up, and the recurrence down."""
+    y = f"(CAST({x} AS DOUBLE) + 6)"
+    series = f"ln({y}) - 1 / (2 * {y}) - 1 / (12 * pow({y}, 2)) + 1 / (120 * pow({y}, 4)) - 1 / (252 * pow({y}, 6)) + 1 / (240 * pow({y}, 8))"
+    return f"({series} - {' - '.join(f'1 / (CAST({x} AS DOUBLE) + {j})' for j in range(6))})"

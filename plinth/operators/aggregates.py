@@ -134,6 +134,30 @@ def running_totals(df: DataFrame, groups, value: str, counts) -> DataFrame:
     return dealt.join(parts, on).select(*df.columns, *((F.sum(c).over(upto) + F.col(f"_before_{c}")).alias(f"{c}_upto") for c in counts), *(f"{c}_all" for c in counts), F.coalesce(F.lead(value).over(own), F.col("_next")).alias("next_value"))
 
 
+def with_neighbours(df: DataFrame, groups, value: str, columns, k: int, name: str = "near") -> DataFrame:
+    """Adds an array of structs of ``columns``: the row's own, the up to k before it and the up to k after it in its group, by ``value``, which must be distinct there.
+
+    Rows are dealt by ranges of (group, value) and sorted within a range; each range of a group also gets a halo of the k rows
+    on either side, from the ends of the k ranges next to it, so that a group of any size is spread over many tasks.
+    """
+    groups, item = list(groups), F.struct(*columns)
+    dealt = checkpointed(df.repartitionByRange(*groups, value).withColumn("_part", F.spark_partition_id()))
+    inside = Window.partitionBy(*groups, "_part").orderBy(value)
+    ends = dealt.select(*groups, "_part", F.struct(value, item.alias("item")).alias("_e"), F.row_number().over(inside).alias("_up"), F.row_number().over(Window.partitionBy(*groups, "_part").orderBy(F.desc(value))).alias("_down"))
+    side = lambda c: F.sort_array(F.collect_list(F.when(F.col(c) <= k, F.col("_e"))))  # noqa: E731  at most k of a range
+    ends = ends.where((F.col("_up") <= k) | (F.col("_down") <= k)).groupBy(*groups, "_part").agg(side("_up").alias("_first"), side("_down").alias("_last"))
+    parts = Window.partitionBy(*groups).orderBy("_part")  # a row for each range of a group; each has a row at least, so k of them have the k nearest
+    before = F.slice(F.reverse(F.flatten(F.collect_list("_last").over(parts.rowsBetween(-k, -1)))), 1, k)
+    after = F.slice(F.flatten(F.collect_list("_first").over(parts.rowsBetween(1, k))), 1, k)
+    halo = ends.select(*(F.col(g).alias(f"_g{i}") for i, g in enumerate(groups)), F.col("_part").alias("_p"), before.alias("_before"), after.alias("_after"))
+    on = [F.col("_part") == F.col("_p"), *(F.col(g).eqNullSafe(F.col(f"_g{i}")) for i, g in enumerate(groups))]
+    below, above = (F.collect_list(item).over(inside.rowsBetween(*ends_)) for ends_ in ((-k, -1), (1, k)))
+    here = dealt.withColumn("_below", below).withColumn("_above", above).join(halo, on)
+    left = F.slice(F.concat(F.reverse("_below"), F.col("_before.item")), 1, k)
+    right = F.slice(F.concat("_above", F.col("_after.item")), 1, k)
+    return here.select(*df.columns, F.concat(left, F.array(item), right).alias(name))
+
+
 def ecdf_columns(df: DataFrame, feature: str, value: str, counts) -> DataFrame:
     """Adds to distinct (feature, value) rows with counts the cumulative share of each count, and the next value."""
     t = running_totals(df, [feature], value, counts)

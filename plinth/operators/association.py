@@ -9,7 +9,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plinth.operators.aggregates import exact_quantiles, running_totals
+from plinth.functions import tails
+from plinth.operators.aggregates import exact_quantiles, running_totals, with_neighbours
+from plinth.session import checkpointed
 
 
 def pearson(df: DataFrame, columns, places: int = 6) -> DataFrame:
@@ -93,6 +95,48 @@ def binned(df: DataFrame, column: str, name: str) -> DataFrame:
     return df.crossJoin(F.broadcast(s)).withColumn(name, bin_.cast("long")).drop("_w", "_low")
 
 
+def _closed_counts(balls: DataFrame, groups) -> DataFrame:
+    """``balls`` (groups, v, n, low, high) with ``_in``: how many of the group's values, by their counts n, lie in [low, high].
+
+    The ends are put among the values with a count of nothing; one running count over both answers all.
+    """
+    groups = list(groups)
+    at = lambda c, n: balls.select(*groups, F.col(c).alias("at"), n.alias("n"))
+    places = at("v", F.col("n")).unionByName(at("low", F.lit(0))).unionByName(at("high", F.lit(0))).groupBy(*groups, "at").agg(F.sum("n").alias("n"))
+    t = running_totals(places, groups, "at", ["n"])
+    low = t.select(*groups, F.col("at").alias("low"), (F.col("n_upto") - F.col("n")).alias("_under"))
+    high = t.select(*groups, F.col("at").alias("high"), F.col("n_upto").alias("_upto"))
+    return balls.join(low, [*groups, "low"]).join(high, [*groups, "high"]).withColumn("_in", F.col("_upto") - F.col("_under")).drop("_upto", "_under")
+
+
+def neighbour_information(df: DataFrame, column: str, label: str, k: int = 3) -> DataFrame:
+    """``mi``, one row: mutual information in nats of a number and a label, by the distances to the k-th neighbours of the same label (Ross 2014).
+
+    A row's ball reaches its k-th nearest row of its label (the farthest, if the label has fewer others); psi of the others of its label
+    within the closed ball is set against psi of the others of all labels there, so ties need no noise: among equal values the
+    ball has no width and both count copies.  Labels of a single row tell nothing and are left out, as are rows with a null or NaN;
+    less than nothing is 0, and without any row the result is null.
+
+    Rows are counted by (label, value) first, so that repeated values cost nothing, and no task holds a label.
+    """
+    rows = df.select(F.col(label).alias("c"), F.col(column).cast("double").alias("v")).where("c is not null and v is not null and not isnan(v)")
+    counts = rows.groupBy("c", "v").agg(F.count(F.lit(1)).alias("n"))
+    sizes = counts.groupBy("c").agg(F.sum("n").alias("size")).where("size > 1")
+    near = with_neighbours(counts.join(sizes, "c"), ["c"], "v", ("v", "n"), k)
+    others = lambda s: F.least(F.lit(k), (s["n"] - (s["v"] == F.col("v")).cast("long")).cast("int"))
+    far = F.flatten(F.transform("near", lambda s: F.array_repeat(F.abs(s["v"] - F.col("v")), others(s))))
+    near = near.withColumn("r", F.element_at(F.sort_array(far), F.least(F.lit(k), (F.col("size") - 1).cast("int"))))
+    # the ends are the neighbours' own values where these lie at the ball's border, whatever v - r rounds to
+    inside = F.transform(F.filter("near", lambda s: F.abs(s["v"] - F.col("v")) <= F.col("r")), lambda s: s["v"])
+    low, high = F.least(F.col("v") - F.col("r"), F.array_min(inside)), F.greatest(F.col("v") + F.col("r"), F.array_max(inside))
+    balls = checkpointed(near.select("c", "v", "n", "size", low.alias("low"), high.alias("high")))  # read five times each
+    own = checkpointed(_closed_counts(balls, ["c"]).withColumnRenamed("_in", "same"))
+    both = _closed_counts(own, [])
+    psi = lambda x: F.sum(F.col("n") * F.expr(tails.digamma_sql(x)))
+    total = both.agg(F.sum("n").alias("t"), (psi("(same - 1)") - psi("size") - psi("(_in - 1)")).alias("s"))
+    return total.select(F.when(F.col("t") > 0, F.greatest(F.lit(0.0), F.expr(tails.digamma_sql("t")) + F.col("s") / F.col("t"))).alias("mi"))
+
+
 def entropy(df: DataFrame, column: str, places: int = 6) -> DataFrame:
     """Shannon entropy in nats of the non-null values."""
     n = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("n"))

@@ -100,6 +100,38 @@ def stat_redundancy(spark, sf):
     return share.select(F.col("x").alias("feature"), value.alias("redundancy"), F.when(value > 90, "drop").when(value > 70, "review").otherwise("keep").alias("verdict"))
 
 
+#: Neighbours of the same label that set a row's ball.
+_NEIGHBOURS = 3
+
+
+def _neighbour_sql(x: str) -> str:
+    far = f"list_sort(flatten(list_transform(near, lambda s: list_transform(range(least({_NEIGHBOURS}, s.n - CAST(s.v = v AS BIGINT))), lambda i: abs(s.v - v)))))"
+    psi = lambda e: f"sum(n * {tails.digamma_sql(e)})"
+    return f"""SELECT '{x}' AS feature, greatest(0, {tails.digamma_sql('sum(n)')} + ({psi('(same - 1)')} - {psi('size')} - {psi('(around - 1)')}) / sum(n)) AS mi FROM (
+        SELECT *, sum(n) OVER (PARTITION BY c ORDER BY v RANGE BETWEEN r PRECEDING AND r FOLLOWING) AS same, sum(n) OVER (ORDER BY v RANGE BETWEEN r PRECEDING AND r FOLLOWING) AS around FROM (
+        SELECT *, {far}[CAST(least({_NEIGHBOURS}, size - 1) AS BIGINT)] AS r FROM (
+        SELECT *, sum(n) OVER (PARTITION BY c) AS size, list({{'v': v, 'n': n}}) OVER (PARTITION BY c ORDER BY v ROWS BETWEEN {_NEIGHBOURS} PRECEDING AND {_NEIGHBOURS} FOLLOWING) AS near FROM (
+        SELECT model AS c, CAST({x} AS DOUBLE) AS v, count(*) AS n FROM listings WHERE model IS NOT NULL AND {x} IS NOT NULL GROUP BY ALL)) WHERE size > 1))"""
+
+
+_SHARE_SQL = "round(CASE WHEN h < 1e-12 THEN 100 ELSE least(100, 100 * mi / h) END, 4)"
+
+
+@query("stat_redundancy_neighbours", f"""WITH {_FD.format(t='b', c='kb_mileage')}, {_FD.format(t='e', c='engine_cc_val')}, h AS (SELECT 'kb_mileage' AS feature, ln(sum(n)) - sum(n * ln(n)) / sum(n) AS h FROM (SELECT bin, count(*) AS n FROM b WHERE bin IS NOT NULL GROUP BY 1)
+        UNION ALL SELECT 'engine_cc_val', ln(sum(n)) - sum(n * ln(n)) / sum(n) FROM (SELECT bin, count(*) AS n FROM e WHERE bin IS NOT NULL GROUP BY 1)),
+    i AS ({_neighbour_sql('kb_mileage')} UNION ALL {_neighbour_sql('engine_cc_val')}) SELECT feature, round(mi, 6) AS mi, {_SHARE_SQL} AS redundancy FROM i JOIN h USING (feature)""")
+def stat_redundancy_neighbours(spark, sf):
+    """What the model tells of a number, without bins but for the number's own entropy, as a share of that."""
+    out = None
+    for x in ("kb_mileage", "engine_cc_val"):
+        df = listings(spark, sf).select("model", x)
+        h = assoc.entropy(assoc.binned(df, x, "bin").select("bin"), "bin", 12).select(F.col("entropy").alias("h"))
+        row = assoc.neighbour_information(df, x, "model", _NEIGHBOURS).crossJoin(F.broadcast(h))  # one row each
+        row = row.select(F.lit(x).alias("feature"), F.round("mi", 6).alias("mi"), F.expr(_SHARE_SQL).alias("redundancy"))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 # outliers and residuals
 
 

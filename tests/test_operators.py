@@ -1,5 +1,6 @@
 """Closed forms and invariants of the operators."""
 
+import math
 import random
 
 import numpy as np
@@ -256,8 +257,6 @@ def test_isolation_forest_on_few_rows_and_any_partitioning(spark):
 def test_pearson_with_nulls_and_constants(spark):
     import numpy as np
 
-    from plinth.operators import association
-
     rng = np.random.default_rng(1)
     x = rng.normal(size=(300, 3)) * [1, 1e4, 1] + [0, 5e6, 7]
     rows = [tuple(None if rng.random() < 0.2 else float(v) for v in r) + (2.5,) for r in x]
@@ -272,8 +271,6 @@ def test_pearson_with_nulls_and_constants(spark):
 def test_exact_quantiles_and_arrays(spark):
     import numpy as np
 
-    from plinth.operators import aggregates
-
     rng = np.random.default_rng(2)
     rows = [(None if i % 11 == 0 else f"g{i % 3}", None if i % 7 == 0 else float(rng.integers(0, 40))) for i in range(500)]
     df = spark.createDataFrame(rows, "g string, v double")
@@ -323,3 +320,65 @@ def test_token_table_of_any_number_of_words(spark):
     many = spark.range(0, 1_000_000, 1, 8).select((F.col("id") % 1000).alias("id"), F.concat(F.lit("w"), "id", F.lit(" all")).alias("t"))
     r = models.token_table(many, "t").agg(F.count(F.lit(1)).alias("n"), F.max("in_rows").alias("most")).first()
     assert tuple(r) == (2_000_000, 1_000_000)
+
+
+def _psi(x):
+    out = 0.0
+    while x < 12:
+        out, x = out - 1 / x, x + 1
+    return out + math.log(x) - 1 / (2 * x) - 1 / (12 * x**2) + 1 / (120 * x**4) - 1 / (252 * x**6)
+
+
+def _plain_information(rows, k):
+    """Every distance of every row."""
+    sizes = {c: sum(d == c for d, _ in rows) for c, _ in rows}
+    rows = [(c, v) for c, v in rows if sizes[c] > 1]
+    s = 0.0
+    for i, (c, v) in enumerate(rows):
+        r = sorted(abs(u - v) for j, (d, u) in enumerate(rows) if d == c and j != i)[min(k, sizes[c] - 1) - 1]
+        within = [d == c for j, (d, u) in enumerate(rows) if j != i and abs(u - v) <= r]
+        s += _psi(sum(within)) - _psi(len(within)) - _psi(sizes[c])
+    return max(0.0, _psi(len(rows)) + s / len(rows))
+
+
+@pytest.mark.parametrize("k", [1, 3, 7])
+def test_neighbour_information_equals_all_distances(spark, k):
+    rng = random.Random(k)
+    rows = [("a" if i % 3 else rng.choice("bcdefg"), float(rng.choice([5, 5, 5, rng.randrange(4000), rng.randrange(40)]))) for i in range(500)]
+    rows = [(c, v + (40 if c in "bc" else 0)) for c, v in rows] + [("alone", 7.0), ("two", 9.0), ("two", 9.0), ("pair", 1.0), ("pair", 3000.0)]
+    extra = [(None, 4.0), ("a", None), ("a", float("nan"))]
+    df = spark.createDataFrame(rows + extra, "label string, x double")
+    got = association.neighbour_information(df, "x", "label", k).first().mi
+    assert got == pytest.approx(_plain_information(rows, k), abs=1e-9)
+    assert association.neighbour_information(df.limit(0), "x", "label", k).first().mi is None
+
+
+def test_neighbour_information_of_known_cases(spark):
+    rng = random.Random(1)
+    free = [(rng.choice("ab"), rng.gauss(0, 1)) for _ in range(3000)]
+    apart = [(c, rng.gauss(100 if c == "a" else 0, 1)) for c, _ in free]
+    for rows, wanted in ((free, 0.0), (apart, math.log(2))):
+        assert association.neighbour_information(spark.createDataFrame(rows, "label string, x double"), "x", "label").first().mi == pytest.approx(wanted, abs=0.03)
+    # equal values only: the plain information of counts, but for psi in place of ln
+    rows = [("a", 1.0)] * 400 + [("b", 2.0)] * 400 + [("b", 1.0)] * 200
+    plain = 0.4 * math.log(0.4 / (0.6 * 0.4)) + 0.4 * math.log(0.4 / (0.4 * 0.6)) + 0.2 * math.log(0.2 / (0.6 * 0.6))
+    assert association.neighbour_information(spark.createDataFrame(rows, "label string, x double"), "x", "label").first().mi == pytest.approx(plain, abs=0.01)
+
+
+def test_with_neighbours_over_many_ranges(spark):
+    rng = random.Random(2)
+    rows = sorted({(c, rng.randrange(10_000)) for c in "aaaaaab" for _ in range(60)} | {("c", 1)})
+    df = spark.createDataFrame(rows, "g string, v long")
+    before = spark.conf.get("spark.sql.shuffle.partitions"), spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.shuffle.partitions", "150")  # most ranges have a row or two, fewer than k
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        got = agg.with_neighbours(df, ["g"], "v", ("v",), 4).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before[0])
+        spark.conf.set("spark.sql.adaptive.enabled", before[1])
+    assert len(got) == len(rows)
+    for r in got:
+        mine = [v for g, v in rows if g == r.g]
+        i = mine.index(r.v)
+        assert sorted(s.v for s in r.near) == mine[max(0, i - 4) : i + 5]
