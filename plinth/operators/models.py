@@ -68,6 +68,11 @@ def knn_grid(df: DataFrame, key: str, vector: str, y: str, asked: Column, ks, pl
     pairs = df.crossJoin(queries).where(F.col(key) != F.col("q")).select("q", "qy", key, y, gaps.alias("gaps"))
     pairs = pairs.select("q", "qy", key, y, F.explode(F.array(*(F.struct(F.lit(p).alias("p"), F.round(d, 9).alias("d")) for p, d in ((1, total(lambda x: x)), (2, F.sqrt(total(lambda x: x * x))))))).alias("m")).select("q", "qy", key, y, "m.*")
     near = pairs.withColumn("r", F.row_number().over(Window.partitionBy("q", "p").orderBy("d", key))).where(F.col("r") <= max(ks))
+    return neighbour_errors(near, y, ks, places)
+
+
+def neighbour_errors(near: DataFrame, y: str, ks, places: int = 6) -> DataFrame:
+    """``k, p, weights, mse`` from ranked neighbours ``p, q, qy, r, d`` with their own ``y``, for each of ``ks`` and both weightings."""
     near = near.withColumn("k", F.explode(F.filter(F.array(*(F.lit(k) for k in ks)), lambda k: k >= F.col("r"))))
     copy = (F.col("d") == 0).cast("double")
     by = near.groupBy("k", "p", "q").agg(F.first("qy").alias("qy"), F.avg(y).alias("uniform"), F.sum(copy * F.col(y)).alias("cy"), F.sum(copy).alias("c"), F.sum(F.when(copy == 0, F.col(y) / F.col("d"))).alias("wy"), F.sum(F.when(copy == 0, 1 / F.col("d"))).alias("w"))

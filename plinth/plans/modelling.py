@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from plinth.functions import scores, tails
-from plinth.operators import encode, evaluate, models, trees
+from plinth.operators import encode, evaluate, models, neighbours, trees
 from plinth.operators.aggregates import exact_quantiles
 from plinth.plans import least_squares as ls
 from plinth.plans.least_squares import REGULAR
@@ -207,6 +207,22 @@ def model_knn(spark, sf):
     return models.knn_grid(e, "vec_id", "v", "y", F.col("vec_id") % 100 == 0, _KNN)
 
 
+@query("model_knn_all", f"""
+    WITH e AS (SELECT vec_id, embedding, CAST(label AS DOUBLE) AS y FROM embeddings),
+    b AS (SELECT a.vec_id, a.y AS y, b.y AS yb, b.vec_id AS other, round(sqrt(list_sum(list_transform(range(1, len(a.embedding) + 1), lambda i: pow(CAST(a.embedding[i] AS DOUBLE) - CAST(b.embedding[i] AS DOUBLE), 2)))), 9) AS d FROM e a JOIN e b ON b.vec_id <> a.vec_id),
+    r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY d, other) AS r FROM b), k AS (SELECT unnest({list(_KNN)}) AS k),
+    g AS (SELECT k, vec_id, any_value(y) AS y, avg(yb) AS plain, CASE WHEN min(d) = 0 THEN sum(CASE WHEN d = 0 THEN yb ELSE 0 END) / sum(CASE WHEN d = 0 THEN 1 ELSE 0 END) ELSE sum(yb / d) / sum(1 / d) END AS near FROM r JOIN k ON r <= k GROUP BY k, vec_id)
+    SELECT CAST(k AS INT) AS k, CAST(2 AS INT) AS p, weights, round(avg(pow(y - prediction, 2)), 6) AS mse FROM (SELECT k, 'uniform' AS weights, y, plain AS prediction FROM g UNION ALL SELECT k, 'distance', y, near FROM g) GROUP BY ALL""")
+def model_knn_all(spark, sf):
+    """Every row against all other rows, by the exact neighbour join."""
+    e = table(spark, sf, "embeddings").select("vec_id", "embedding", F.col("label").cast("double").alias("y"))
+    near, _ = neighbours.neighbour_join(e, "vec_id", "embedding", max(_KNN))
+    values = e.select(F.col("vec_id").alias("other"), "y")
+    near = near.join(values, "other").join(values.select(F.col("other").alias("key"), F.col("y").alias("qy")), "key")
+    near = near.select(F.lit(2).alias("p"), F.col("key").alias("q"), "qy", F.col("rank").alias("r"), F.round("d", 9).alias("d"), "y")
+    return models.neighbour_errors(near, "y", _KNN)
+
+
 def _grid_rows(spark, points, errors):
     rows = [(", ".join(f"{k}={v}" for k, v in sorted(p.items())), round(float(e), 6)) for p, e in zip(points, errors)]
     return spark.createDataFrame(rows, "parameters string, mse double").orderBy("mse", "parameters")
