@@ -90,36 +90,59 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
-_AT = re.compile(r"\s?[(\[{<]\s?(?:at|AT|@|æt)\s?[)\]}>]\s?| (?:at|AT) |\s?＠\s?")
-_SPELLED_DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:(?:\.|\s?[(\[{<]\s?(?:dot|DOT|\.)\s?[)\]}>]\s?| (?:dot|DOT) )[A-Za-z0-9-]++)++")
+#: Full-width signs and what they stand for, one for one, so that offsets stay.
+_WIDE = re.compile("[０-９＠＋．]")
+_NARROW = str.maketrans("０１２３４５６７８９＠＋．", "0123456789@+.")
+
+# any few signs around a word or sign for "at" and "dot"
+_AT = re.compile(r"[\W_]{1,3}(?:[Aa][Tt]|æt)[\W_]{1,3}|\s?[(\[{<]?\s?@\s?[)\]}>]?\s?")
+_DOT = r"(?:\.|\s\.\s|\s?[(\[{<]\s?\.\s?[)\]}>]\s?|[\W_]{1,3}[Dd][Oo][Tt][\W_]{1,3})"
+_SPELLED_DOMAIN = re.compile(rf"[A-Za-z0-9]++(?:-++[A-Za-z0-9]++)*(?:{_DOT}[A-Za-z0-9]++(?:-++[A-Za-z0-9]++)*)+")
 _GENERATORS = (
-    (1, re.compile(r"(?<![0-9])[0-9]{1,3}(?:\s?[(\[]\s?(?:\.|dot)\s?[)\]]\s?[0-9]{1,3}){3}(?![0-9])")),
+    (1, re.compile(rf"(?<![0-9])[0-9]{{1,3}}(?:(?:{_DOT}|\W?[.·•]\W?)[0-9]{{1,3}}){{3}}(?![0-9])")),
     (1, re.compile(r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])")),
-    (2, re.compile(r"(?<![0-9])[0-9]{4}(?:[._/ – ][0-9]{4}){2,3}(?:[._/ – ][0-9]{1,3})?(?![0-9])")),
+    (2, re.compile(r"(?<![0-9])[0-9]{4}(?:[\W_]{1,3}[0-9]{4}){2,3}(?:[\W_]{1,3}[0-9]{1,3})?(?![0-9])")),
     (2, re.compile(r"(?<![0-9])[0-9]{13,19}(?![0-9])")),
-    (3, re.compile(r"(?<![0-9A-Za-z+(])\(?[0-9]{2,5}\)?(?:[ .\-/ ][0-9]{2,5}){1,5}(?![0-9A-Za-z])")),
-    (3, re.compile(r"(?<![0-9A-Za-z+])0[0-9]{8,13}(?![0-9A-Za-z])")),
+    (3, re.compile(r"(?<![0-9A-Za-z+(])\(?[0-9]{1,5}\)?(?:[^\w\n,;$€£%]{1,2}[0-9]{1,5}){1,7}(?![0-9A-Za-z])")),
+    (3, re.compile(r"(?<![0-9A-Za-z+])0[0-9]{8,14}(?![0-9A-Za-z])")),
     (3, re.compile(r"(?<![0-9A-Za-z+])[2-9][0-9]{9}(?![0-9A-Za-z])")),
 )
 
 
+_DOT_BEFORE = re.compile(r"[\W_]{1,3}[Dd][Oo][Tt][\W_]{1,3}\Z")
+
+
+def _local_start(text: str, end: int, least: int) -> int:
+    """Where what may be the local part of an address, with spelled dots in it, begins."""
+    start = end
+    while True:
+        here = start
+        while start > least and text[start - 1] in _LOCAL:
+            start -= 1
+        # a word, then a spelled dot before it, then a word again
+        dot = _DOT_BEFORE.search(text[max(least, start - 9) : start]) if start < here else None
+        at = start - len(dot[0]) if dot else 0
+        if not dot or at <= least or text[at - 1] not in _LOCAL:
+            return start
+        start = at
+
+
 def candidates(text: str) -> list[tuple[int, int, int, int]]:
     """(start, kind, end, generator) of everything that may be personal data beyond the base formats."""
-    out = []
-    if "at" in text or "AT" in text or "＠" in text or "@" in text or "æt" in text:
-        last = 0
-        for m in _AT.finditer(text):
-            start = m.start()
-            while start > last and text[start - 1] in _LOCAL:
-                start -= 1
-            last = m.end()
-            d = _SPELLED_DOMAIN.match(text, last) if start < m.start() else None
-            if d:
-                out.append((start, 0, d.end(), 0))
+    out, last = [], 0
+    if _WIDE.search(text):  # what would be a base format in ordinary signs
+        text = text.translate(_NARROW)
+        out = [(s, kind, e, len(_GENERATORS) + 1) for s, kind, e in base_spans(text)]
+    for m in _AT.finditer(text):
+        start = _local_start(text, m.start(), last)
+        last = m.end()
+        d = _SPELLED_DOMAIN.match(text, last) if start < m.start() else None
+        if d:
+            out.append((start, 0, d.end(), 0))
     if _DIGITS.search(text):
         for k, (kind, pattern) in enumerate(_GENERATORS, 1):
             out += [(m.start(), kind, m.end(), k) for m in pattern.finditer(text)]
-    return out
+    return list({c[:3]: c for c in reversed(out)}.values())[::-1]  # each span of a kind once, by its first generator
 
 
 #: Words near a span that speak for a kind, and for none.
@@ -136,9 +159,9 @@ _DATE = re.compile(r"(?:19|20)\d\d[./ -]\d{1,2}[./ -]\d{1,2}\Z|\d{1,2}[./ -]\d{1
 
 
 def candidate_features(text: str, start: int, kind: int, end: int, generator: int) -> list[float]:
-    s = text[start:end]
+    s = text[start:end].translate(_NARROW)
     groups = re.findall(r"[0-9]+", s)
-    digits = "".join(groups)
+    digits, between = "".join(groups), re.findall(r"(?<=[0-9])[^0-9]+(?=[0-9])", s)
     before, after = text[max(0, start - 48) : start], text[end : end + 24]
     cues = [0.0] * len(CUES)
     for w in [*_NEAR.findall(before.lower())[-5:], *_NEAR.findall(after.lower())[:2]]:
@@ -147,8 +170,8 @@ def candidate_features(text: str, start: int, kind: int, end: int, generator: in
     letters = sum(map(str.isalpha, s))
     tld = s[-6:].lower().replace("]", " ").replace(")", " ").replace(".", " ").split()
     return [
-        *(float(kind == k) for k in range(len(KINDS))), *(float(generator == g) for g in range(len(_GENERATORS) + 1)), *cues, len(s), len(digits), letters, len(set(digits)), len(groups), len(groups[0]) if groups else 0, len(groups[-1]) if groups else 0, max(map(len, groups), default=0),
-        float(luhn(digits)) if digits else 0.0, float(all(map(_octet, groups))), float("(" in s or "[" in s or "{" in s), float(s.startswith("0")), float(bool(_DATE.fullmatch(s))), float(bool(_DATE.match(s))), float(" " in s), float("." in s), float("-" in s), float("/" in s), float("dot" in s.lower()),
+        *(float(kind == k) for k in range(len(KINDS))), *(float(generator == g) for g in range(len(_GENERATORS) + 2)), *cues, len(s), len(digits), letters, len(set(digits)), len(groups), len(groups[0]) if groups else 0, len(groups[-1]) if groups else 0, max(map(len, groups), default=0),
+        float(luhn(digits)) if digits else 0.0, float(all(map(_octet, groups))), float("(" in s or "[" in s or "{" in s), float(s.startswith("0")), float(bool(_DATE.fullmatch(s))), float(bool(_DATE.match(s))), float(" " in s), float("." in s), float("-" in s), float("/" in s), float("dot" in s.lower()), len(set(between)), max(map(len, between), default=0), float(any(map(str.isspace, between))), float("@" in s),
         float(bool(tld) and tld[-1] in ("com", "org", "net", "edu", "gov", "io", "de", "fr", "es", "uk", "info", "co")), float(bool(re.search(r"[(\[{<]\s?(?:at|AT|@)", s))), float(before[-1:].isalnum()), float(after[:1].isalnum()), float(before.rstrip()[-1:] in "$€£#:="), float(after.lstrip()[:1] in "%€$"), float(before[-1:] == "\n" or not before), float(s.lower().endswith(".")),
     ]
 
@@ -245,20 +268,30 @@ def windows(text: str, most: int) -> list[tuple[str, str, str, int, bool]]:
     return [(text[max(0, s - AROUND) : s], text[s:e], text[e : e + AROUND], k, good) for s, k, e, good in found]
 
 
+#: Signs around spelled words.
+_SIGNS = (("_", "_"), (" _", "_ "), ("-", "-"), (" <", "> "), ("<", ">"), (" /", "/ "), (" ", " "))
+_BROAD = {narrow: wide for wide, narrow in _NARROW.items() if chr(narrow) != "."}
+
+
 def disguised(r: random.Random, s: str, kind: int) -> str:
     """A base span's own data in another way of writing, one that the base formats don't match."""
     digits = "".join(_DIGITS.findall(s))
+    if r.random() < 0.1:
+        return s.translate(_BROAD)
     if kind == 0:
-        at, dot = r.choice([(" [at] ", " [dot] "), ("[at]", "."), (" (at) ", " (dot) "), ("(at)", "."), (" at ", " dot "), (" AT ", " DOT "), ("(@)", "."), (" {at} ", " {dot} "), (" at ", ".")])
+        at, dot = r.choice([(" @ ", "."), ("@ ", " . "), (" [at] ", " [dot] "), ("[at]", "."), (" (at) ", " (dot) "), ("(at)", "."), (" at ", " dot "), (" AT ", " DOT "), ("(@)", "."), (" {at} ", " {dot} "), (" at ", ".")])
+        if r.random() < 0.3:
+            left, right = r.choice(_SIGNS)
+            at, dot = f"{left}{r.choice(['at', 'AT', 'At'])}{right}", f"{left}{r.choice(['dot', 'DOT', 'Dot'])}{right}"
         local, _, domain = s.partition("@")
-        return local + at + domain.replace(".", dot)
+        return (local.replace(".", dot) if r.random() < 0.3 and dot.strip(" .") else local) + at + domain.replace(".", dot)
     if kind == 1:
-        return s.replace(".", r.choice(["[.]", "(.)", "[dot]"]))
+        return s.replace(".", r.choice(["[.]", "(.)", "[dot]", " (dot) ", " dot ", ". "]))
     if kind == 2:
-        return r.choice([".", "_", "/"]).join(digits[k : k + 4] for k in range(0, len(digits), 4))
+        return r.choice([".", "_", "/", " - ", ", ", " / "]).join(digits[k : k + 4] for k in range(0, len(digits), 4))
     tail = digits[-10:]
     a, b, c = tail[:-7], tail[-7:-4], tail[-4:]
-    return r.choice([f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a} {b} {c}", f"{a}.{b}.{c}", f"0{a} {b} {c}", f"00{digits[:-10]} {a} {b} {c}"])
+    return r.choice([f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a} {b} {c}", f"{a}.{b}.{c}", f"0{a} {b} {c}", f"00{digits[:-10]} {a} {b} {c}", f"00{digits}", f"{a}/{b}/{c}", *(r.choice([" ", "-", ".", "/"]).join(digits[k : k + n] for k in range(0, len(digits), n)) for n in (2, 3))])
 
 
 def example(r: random.Random, known: list, contexts: list[str]) -> tuple[str, int, int, int]:
