@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from plinth.functions import tails
-from plinth.operators.aggregates import running_totals
+from plinth.operators.aggregates import exact_quantiles, running_totals
 from plinth.session import checkpointed
 
 #: Coefficients of algorithm AS 241 (Wichura 1988) for the normal quantile, highest power first.
@@ -94,15 +94,19 @@ def _path(n: int) -> float:
 
 def isolation_flags(df: DataFrame, key: str, columns, contamination: float = 0.05, **kw) -> DataFrame:
     scores = checkpointed(isolation_scores(df, key, columns, **kw))
-    limit = scores.agg(F.percentile_approx("score", 1 - contamination, 10000).alias("_limit"))
+    limit = exact_quantiles(scores, [], "score", (1 - contamination,)).select(F.col("q")[0].alias("_limit"))
     return scores.crossJoin(F.broadcast(limit)).withColumn("is_iso", F.col("score") > F.col("_limit")).drop("_limit")
 
 
 def consolidated(df: DataFrame, value: str, columns, limit: float = 3.0, **kw) -> DataFrame:
-    """Rows with both flags, ``is_z`` of the value and ``is_iso`` of the columns, each of the row itself: rows are numbered and written first."""
-    rows = checkpointed(df.withColumn("_row", F.monotonically_increasing_id()))
-    iso = isolation_flags(rows, "_row", columns, **kw).select(F.col("_row").alias("_r"), "is_iso")
-    return zscore_flags(rows, value, limit).join(iso, F.col("_row") == F.col("_r")).drop("_row", "_r")
+    """Rows with both flags, ``is_z`` of the value and ``is_iso`` of the columns, each of the row itself.
+
+    The forest draws rows by all their columns, and copies of a row by their
+    number among the copies, so the flags are the same on any partitioning.
+    """
+    rows = checkpointed(df.withColumn("_copy", F.row_number().over(Window.partitionBy(*df.columns).orderBy(F.lit(0)))))
+    iso = isolation_flags(rows.withColumn("_row", F.struct(*rows.columns)), "_row", columns, **kw).select("_row.*", "is_iso")
+    return zscore_flags(iso, value, limit).select(*df.columns, "is_z", "is_iso")
 
 
 def flag_totals(flags: DataFrame) -> DataFrame:

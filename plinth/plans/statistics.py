@@ -7,6 +7,7 @@ from itertools import combinations, permutations
 from pyspark.sql import functions as F
 
 from plinth.functions import tails
+from plinth.operators import aggregates as agg
 from plinth.operators import association as assoc
 from plinth.operators import outliers
 from plinth.plans.dashboard import RESIDUALS, residuals
@@ -148,9 +149,9 @@ def stat_zscore_outlier(spark, sf):
 ISOLATED = ("price", "kb_mileage", "power_hp_val", "torque_nm")
 
 
-def flagged(spark, sf):
-    """Residuals with both flags of the outlier operators, each row by its own values."""
-    return outliers.consolidated(residuals(spark, sf, *ISOLATED[1:]), "residual", ISOLATED, LIMIT)
+def flagged(spark, sf, *more):
+    """Residuals with both flags of the outlier operators, each row by its own values, and with more columns of the listing."""
+    return outliers.consolidated(residuals(spark, sf, *ISOLATED[1:], *more), "residual", ISOLATED, LIMIT)
 
 
 @query("outlier_consolidate")
@@ -163,9 +164,11 @@ def agg_flag_totals(spark, sf):
     return outliers.flag_totals(flagged(spark, sf))
 
 
-@query("outlier_by_model", f"{_Z} SELECT series, count(*) AS n FROM z WHERE is_z GROUP BY series ORDER BY n DESC, series LIMIT 20")
+@query("outlier_by_model")
 def outlier_by_model(spark, sf):
-    return outliers.zscore_flags(residuals(spark, sf), "residual", LIMIT).where("is_z").groupBy("series").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "series").limit(20)
+    """The models with most rows that have either flag; rows without a model count as ``missing``."""
+    rows = flagged(spark, sf, "model").where("is_z or is_iso")
+    return agg.top_frequent(rows.withColumn("model", F.coalesce("model", F.lit("missing"))), "model", 20)
 
 
 @query("stat_isolation_forest")
