@@ -3,6 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
+from plinth.operators import trees
 from plinth.plans import modelling
 
 
@@ -14,3 +15,48 @@ def test_regular_pipeline_keeps_the_digits_of_least_squares(spark):
     z = np.column_stack([np.ones(len(x)), (x - x.mean(axis=0)) / x.std(axis=0)])
     want = z @ np.linalg.lstsq(z, y, rcond=None)[0]
     assert np.abs(got[:, 5] - want).max() < 2e-13
+
+
+def _repeated(spark, times):
+    rng = np.random.default_rng(5)
+    rows = [(float(a), float(b), float(2 * (a > 4) + b + e), int(k)) for a, b, e, k in zip(rng.integers(0, 9, 400), rng.integers(0, 4, 400), rng.normal(size=400).round(3), rng.integers(0, 5, 400))]
+    df = spark.createDataFrame(rows, "a double, b double, y double, fold int")
+    return trees.Binned.of(df.crossJoin(spark.range(times)).drop("id").repartition(3), ["a", "b"], bins=16)
+
+
+def test_trees_read_runs_of_equal_bins(spark):
+    """A hundred copies of each row make the same trees from no more cells, but for runs that are split; errors by fold come from sums."""
+    one, many = _repeated(spark, 1), _repeated(spark, 100)
+    assert many.df.count() == 40_000 and many.cells.count() <= one.cells.count() + 2 * many.tasks
+    specs = [trees.Spec(depth=3, fold=k) for k in range(2)]
+    a, b = trees.grow(one, specs), trees.grow(many, specs)
+    assert [t.feature for t in a] == [t.feature for t in b] and [t.cut for t in a] == [t.cut for t in b]
+    assert all(np.allclose(np.array(s.value), np.array(t.value)) and np.allclose(100 * np.array(s.weight), t.weight) for s, t in zip(a, b))
+    assert np.allclose(trees.errors_by_depth(one, specs, [[t] for t in a], [1], [3]), trees.errors_by_depth(many, specs, [[t] for t in b], [1], [3]))
+
+
+def test_draws_of_trees_that_share_them_come_in_groups(spark, monkeypatch):
+    table = _repeated(spark, 5)
+    specs = [trees.Spec(depth=3, rows=r, repeats=p, fold=k, seed=s) for s in (1, 2, 3) for r, p in ((0.6, True), (1.0, True), (0.7, False), (1.0, False)) for k in (0, 1)]
+    whole = trees.grow(table, specs)
+    monkeypatch.setattr(trees, "DRAWS", 2)
+    parts = trees.grow(table, specs)
+    assert [(t.feature, t.cut, t.weight) for t in whole] == [(t.feature, t.cut, t.weight) for t in parts]
+    p = table.df.toPandas()
+    for spec, tree in zip(specs, whole):
+        w = trees.drawn(spec, p["row"].to_numpy())
+        assert tree.weight[0] == ((np.ones(len(p)) if w is None else w) * (p["fold"] != spec.fold)).sum()
+
+
+def test_contributions_are_computed_once_for_each_region(spark, monkeypatch):
+    table = _repeated(spark, 1)
+    [model], _ = trees.boost(table, [trees.Spec(depth=3)], [0.3], 3)
+    met, plain = [], trees.shapley
+    monkeypatch.setattr(trees, "shapley", lambda tree, bins, output=0: met.append(len(bins)) or plain(tree, bins, output))
+    x, known = np.random.default_rng(1).integers(0, 9, (5000, 2)).astype(float), []
+    for part in np.array_split(x, 5):
+        got, base = model.contributions(part, 0, known)
+        bins = np.stack([np.searchsorted(e, part[:, k]) for k, e in enumerate(model.edges)], axis=1)
+        want = sum(model.rate * plain(t, bins)[0] for t in model.trees)
+        assert np.allclose(got, want) and np.allclose(got.sum(axis=1) + base, model.values(part)[:, 0])
+    assert sum(met) < 500
