@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from plinth.operators import trees
+from plinth.operators import impute, neighbours, trees
 from plinth.plans import modelling
 
 
@@ -60,3 +60,22 @@ def test_contributions_are_computed_once_for_each_region(spark, monkeypatch):
         want = sum(model.rate * plain(t, bins)[0] for t in model.trees)
         assert np.allclose(got, want) and np.allclose(got.sum(axis=1) + base, model.values(part)[:, 0])
     assert sum(met) < 500
+
+
+def test_modes_join_rows_once(spark):
+    rows = [(i, None if i % 17 == 0 else f"m{i % 6}", f"b{i % 3}", None if i % 2 or i % 6 == 4 else f"v{i * 7 % 5}", None if i % 5 else i % 3) for i in range(300)]
+    df = spark.createDataFrame(rows, "id int, model string, brand string, seg string, code int")
+    levels = (("model", "brand"), ("model",), ("brand",))
+    out = impute.mode_hierarchical(df, ["seg", "code"], levels)
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Join") == 2  # one for each column, none for a level
+    got = {r.id: r for r in out.collect()}
+    for at, c in ((3, "seg"), (4, "code")):
+        for r in rows:
+            want = (r[at], "Original")
+            for level in (*levels, ()) if r[at] is None else ():
+                own = [1 + ("model", "brand").index(k) for k in level]
+                held = [x[at] for x in rows if x[at] is not None and all(x[k] == r[k] and r[k] is not None for k in own)]
+                if held:
+                    want = (min(set(held), key=lambda v: (-held.count(v), v)), " & ".join(level) or "Overall")
+                    break
+            assert (str(got[r[0]][c]), got[r[0]][c + "_imputed"]) == (str(want[0]), want[1])
