@@ -43,6 +43,27 @@ def _nearest(d: np.ndarray, others: np.ndarray, k: int) -> list[list[dict]]:
     return out
 
 
+def _merged(d: np.ndarray, others: np.ndarray, gap: np.ndarray, ids: np.ndarray) -> None:
+    """Takes into the k least (distance, id) of each row, in place, those of ``gap`` (rows x ids)."""
+    k = d.shape[1]
+    for i in np.flatnonzero((gap <= d[:, -1:]).any(axis=1)):
+        at = np.flatnonzero(gap[i] <= d[i, -1])
+        both, names = np.append(d[i], gap[i, at]), np.append(others[i], ids[at])
+        first = np.lexsort((names, both))[:k]
+        d[i], others[i] = both[first], names[first]
+
+
+def _within(a: np.ndarray, b: np.ndarray, reach: np.ndarray) -> np.ndarray:
+    """Distances of all pairs that may be at most ``reach`` apart, infinite for the others; products tell which, with room for their rounding."""
+    out, aa, bb = np.full((len(a), len(b)), np.inf), (a * a).sum(axis=1), (b * b).sum(axis=1)
+    near = aa[:, None] + bb - 2 * (a @ b.T) <= reach[:, None] ** 2 * (1 + 1e-9) + 1e-9 * (aa[:, None] + bb)
+    i, j = np.nonzero(near)
+    for lo in range(0, len(i), step := max(1, _AT_ONCE // max(1, a.shape[1]))):
+        gap = a[i[lo : lo + step]] - b[j[lo : lo + step]]
+        out[i[lo : lo + step], j[lo : lo + step]] = np.sqrt((gap * gap).sum(axis=1))
+    return out
+
+
 def _distinct(rows: DataFrame, k: int, salts: int = 64) -> DataFrame:
     """``v, rep, keys``: each vector once with its least key and its k + 1 least keys; a vector's rows are dealt by salt first."""
     salted = rows.withColumn("s", F.pmod(F.xxhash64("key"), F.lit(salts)))
@@ -61,8 +82,10 @@ def neighbour_join(df: DataFrame, key: str, vector: str, k: int, pivots: int = 2
     Each vector is taken once, whatever its copies.  A bounded sample of them (``pivots``, the only vectors that the driver holds) cuts
     space into cells by the nearest pivot, large cells into blocks.  A row's nearest within its block bound the ball that
     holds its neighbours; it visits the blocks of another cell only if no triangle inequality keeps its ball out of there:
-    neither by the cell's inner and outer radius, nor by the plane midway between the two pivots.  Those who visit
-    a block are dealt over as many tasks as their number needs.
+    neither by the cell's inner and outer radius, nor by the plane midway between the two pivots.
+
+    Blocks meet as packed rows of a cartesian product, which copies no vector for those who visit it: what is written grows
+    with the rows, though distances may grow with their square.  A task keeps a block's k nearest over all blocks that it meets.
     """
     spark = df.sparkSession
     fine = F.col("v").isNotNull() & (F.size("v") > 0) & ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
@@ -93,46 +116,73 @@ def neighbour_join(df: DataFrame, key: str, vector: str, k: int, pivots: int = 2
     members = checkpointed(placed.join(F.broadcast(split), "cell").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")))  # a row for each pivot is broadcast
 
     def at_home(g: pd.DataFrame) -> pd.DataFrame:
-        x = _stacked(g["v"], width)
-        d = distances(x, x)
-        np.fill_diagonal(d, np.inf)
-        near = _nearest(d, g["rep"].to_numpy(), k)
-        return pd.DataFrame({"rep": g["rep"], "v": g["v"], "cell": g["cell"], "block": g["block"], "near": near, "pairs": len(g) - 1})
-
-    home = checkpointed(members.groupBy("cell", "block").applyInPandas(at_home, f"rep long, v array<double>, cell int, block int, {_NEAR}"))
+        x, ids = _stacked(g["v"], width), g["rep"].to_numpy()
+        gap = distances(x, x)
+        np.fill_diagonal(gap, np.inf)
+        d, other = np.full((len(g), k), np.inf), np.full((len(g), k), -1)
+        for i, near in enumerate(_nearest(gap, ids, k)):
+            d[i, : len(near)], other[i, : len(near)] = [n["d"] for n in near], [n["other"] for n in near]
+        return pd.DataFrame({"cell": g["cell"][:1], "block": g["block"][:1], "rep": [ids.tobytes()], "v": [x.tobytes()], "d": [d.tobytes()], "other": [other.astype(np.int64).tobytes()]})
+
+    home = checkpointed(members.groupBy("cell", "block").applyInPandas(at_home, "cell int, block int, rep binary, v binary, d binary, other binary"))
     between = distances(centres, centres)
+    vectors = lambda v: np.frombuffer(v).reshape(-1, width)
+    ranked = lambda d, other: (np.frombuffer(d).reshape(-1, k).copy(), np.frombuffer(other, np.int64).reshape(-1, k).copy())
 
     def visits(batches):
+        """The cells that some row of a block visits, and which of them each row does."""
         for b in batches:
-            d, own = distances(_stacked(b["v"], width), centres), b["cell"].to_numpy()
-            mine = d[np.arange(len(d)), own][:, None]
-            plane = np.divide(d * d - mine * mine, 2 * between[own], out=np.zeros_like(d), where=between[own] > 0)
-            least = np.maximum.reduce([d - outer, inner - d, plane])
-            reach = np.array([n[-1]["d"] if len(n) == k else np.inf for n in b["near"]])[:, None]
-            slack = 1e-9 * (1 + d.max(axis=1, keepdims=True))  # rounding of the bounds
-            open_ = (numbers > 0) & (least <= reach + slack)
-            yield pd.DataFrame({"rep": b["rep"], "v": b["v"], "home": b["cell"], "own": b["block"], "cells": [np.flatnonzero(o).astype("int32") for o in open_]})
-
-    asked = home.select("rep", "v", "cell", "block", "near").mapInPandas(visits, "rep long, v array<double>, home int, own int, cells array<int>")
-    asked = asked.select("rep", "v", "home", "own", F.explode("cells").alias("cell")).join(F.broadcast(split), "cell")
-    asked = asked.select("rep", "v", "home", "own", "cell", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
-    asked = checkpointed(asked.where("home <> cell or own <> block").select("rep", "v", "cell", "block"))
-    shares = asked.groupBy("cell", "block").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("shares"))
-    asked = asked.join(shares, ["cell", "block"]).withColumn("share", F.pmod(F.xxhash64("rep"), F.col("shares")).cast("int"))
-    hosts = members.join(shares, ["cell", "block"]).withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)))
-
-    def away(q: pd.DataFrame, g: pd.DataFrame) -> pd.DataFrame:
-        if not len(q) or not len(g):
-            return pd.DataFrame({"rep": [], "near": [], "pairs": []})
-        near = _nearest(distances(_stacked(q["v"], width), _stacked(g["v"], width)), g["rep"].to_numpy(), k)
-        return pd.DataFrame({"rep": q["rep"], "near": near, "pairs": len(g)})
-
-    by = ["cell", "block", "share"]
-    met = asked.select("rep", "v", *by).groupBy(*by).cogroup(hosts.select("rep", "v", *by).groupBy(*by)).applyInPandas(away, f"rep long, {_NEAR}")
-    found = checkpointed(home.select("rep", "near", "pairs").unionByName(met))
+            opened = []
+            for cell, v, near in zip(b["cell"], b["v"], b["d"]):
+                d = distances(vectors(v), centres)
+                mine = d[:, cell][:, None]
+                plane = np.divide(d * d - mine * mine, 2 * between[cell], out=np.zeros_like(d), where=between[cell] > 0)
+                least = np.maximum.reduce([d - outer, inner - d, plane])
+                slack = 1e-9 * (1 + d.max(axis=1, keepdims=True))  # rounding of the bounds
+                opened.append((numbers > 0) & (least <= np.frombuffer(near).reshape(-1, k)[:, -1:] + slack))
+            b["cells"], b["opened"] = [np.flatnonzero(o.any(axis=0)).astype("int32") for o in opened], [o.tobytes() for o in opened]
+            yield b
+
+    asked = home.mapInPandas(visits, "cell int, block int, rep binary, v binary, d binary, other binary, cells array<int>, opened binary")
+    cores = spark.sparkContext.defaultParallelism
+    asked = checkpointed(asked.repartition(2 * cores, "cell", "block"))
+    hosts = checkpointed(home.select(F.col("cell").alias("c"), F.col("block").alias("b"), F.col("rep").alias("ids"), F.col("v").alias("x")).repartition(cores, "c", "b"))
+    met = asked.crossJoin(hosts).where(F.array_contains("cells", F.col("c")) & ((F.col("cell") != F.col("c")) | (F.col("block") != F.col("b"))))
+
+    def away(batches):
+        now = own = None
+
+        def result():
+            names, _, _, d, other, pairs = own
+            return pd.DataFrame({"rep": names, "near": [[{"d": float(x), "other": int(o)} for x, o in zip(*r) if np.isfinite(x)] for r in zip(d, other)], "pairs": pairs})
+
+        for batch in batches:
+            for r in batch.itertuples(index=False):
+                if (r.cell, r.block) != now:
+                    if own:
+                        yield result()
+                    names, now = np.frombuffer(r.rep, np.int64), (r.cell, r.block)
+                    own = names, vectors(r.v), np.frombuffer(r.opened, bool).reshape(len(names), -1), *ranked(r.d, r.other), np.zeros(len(names), np.int64)
+                _, v, opened, d, other, pairs = own
+                who, ids = np.flatnonzero(opened[:, r.c]), np.frombuffer(r.ids, np.int64)
+                best, names = d[who], other[who]
+                _merged(best, names, _within(v[who], vectors(r.x), best[:, -1]), ids)
+                d[who], other[who] = best, names
+                pairs[who] += len(ids)
+        if own:
+            yield result()
+
+    def alone(batches):
+        for b in batches:
+            for rep, d, other in zip(b["rep"], b["d"], b["other"]):
+                names = np.frombuffer(rep, np.int64)
+                yield pd.DataFrame({"rep": names, "near": [[{"d": float(x), "other": int(o)} for x, o in zip(*r) if np.isfinite(x)] for r in zip(*ranked(d, other))], "pairs": len(names) - 1})
+
+    parts = home.select("rep", "d", "other").mapInPandas(alone, f"rep long, {_NEAR}").unionByName(met.select("cell", "block", "rep", "v", "d", "other", "opened", "c", "ids", "x").mapInPandas(away, f"rep long, {_NEAR}"))
+    found = checkpointed(parts)
     work = found.agg(F.sum("pairs").alias("pairs")).select("pairs", F.lit(total * (total - 1)).alias("of"))
     # a vector among the k least (d, rep) can only be pushed out by rows of those before it, so k vectors are enough
-    best = found.groupBy("rep").agg(F.slice(F.sort_array(F.flatten(F.collect_list("near"))), 1, k).alias("near"))
+    best = found.groupBy("rep").agg(F.slice(F.sort_array(F.array_distinct(F.flatten(F.collect_list("near")))), 1, k).alias("near"))
     copies = best.select("rep", F.explode("near").alias("x")).select("rep", "x.d", F.col("x.other").alias("other"))
     copies = copies.join(points.select(F.col("rep").alias("other"), "keys"), "other").select("rep", F.transform("keys", lambda i: F.struct(F.col("d").alias("d"), i.alias("other"))).alias("near"))
     own = points.select("rep", F.transform("keys", lambda i: F.struct(F.lit(0.0).alias("d"), i.alias("other"))).alias("near"))

@@ -79,3 +79,17 @@ def test_modes_join_rows_once(spark):
                     want = (min(set(held), key=lambda v: (-held.count(v), v)), " & ".join(level) or "Overall")
                     break
             assert (str(got[r[0]][c]), got[r[0]][c + "_imputed"]) == (str(want[0]), want[1])
+
+
+def test_neighbours_write_no_row_for_each_visit(spark, monkeypatch):
+    x = np.random.default_rng(4).normal(size=(240, 16))
+    df = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(x)], "id long, v array<double>")
+    written, plain = [], neighbours.checkpointed
+    monkeypatch.setattr(neighbours, "checkpointed", lambda d: written.append(out := plain(d)) or out)
+    near, work = neighbours.neighbour_join(df, "id", "v", 3, block=20)
+    got = {(r.key, r["rank"]): r.other for r in near.collect()}
+    gap = neighbours.distances(x, x)
+    np.fill_diagonal(gap, np.inf)
+    assert got == {(i, r + 1): int(j) for i in range(240) for r, j in enumerate(np.argsort(gap[i])[:3])}
+    assert work.first().pairs > 240 * 120  # in 16 even dimensions bounds keep little away
+    assert max(d.count() for d in written if "v" in d.columns) <= 240
