@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from plinth.operators import impute, neighbours, trees
 from plinth.plans import modelling
+from plinth.sources import pages
 
 
 def test_regular_pipeline_keeps_the_digits_of_least_squares(spark):
@@ -93,3 +94,18 @@ def test_neighbours_write_no_row_for_each_visit(spark, monkeypatch):
     assert got == {(i, r + 1): int(j) for i in range(240) for r, j in enumerate(np.argsort(gap[i])[:3])}
     assert work.first().pairs > 240 * 120  # in 16 even dimensions bounds keep little away
     assert max(d.count() for d in written if "v" in d.columns) <= 240
+
+
+def _shape(x):
+    return x if isinstance(x, str) else (x.tag, x.attrs, [_shape(i) for i in x.items])
+
+
+def test_plain_pages_are_read_as_the_parser_reads_them():
+    plain = ['<html><body><div class="a b" id="c">x &amp; y &lt z</p> > <br>t<ul><li>1<li>2</ul></div> tail &copy', '<p>a</b></p>b</p>', "no tag &amp;", "", '<div class=""><img src="u?a=1">q</div></html>&am']
+    other = ["<P>a</P>", "<p class=x>a</p>", "<p>a < b</p> c>", "<script>if (a<b) x</script>", "<p>a<!-- <b> -->c</p>", '<p title="a>b">c</p>', "<br/>a", "<title>a<b></title>", "<p", "a<", '<p a="1"b="2">c</p>', "<p >a</p >", '<p t="&lt;">a</p>']
+    for page in plain + other:
+        b = pages._Builder()
+        b.feed(page)
+        b.close()
+        assert _shape(pages.tree(page)) == _shape(b.root), page
+        assert (pages._plain_tree(page) is not None) == (page in plain), page
